@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact, lines, shards
+from tidemark.llm import bpe, chat, exact, langid, lines, shards
 from tidemark.llm.common import documents
 
 
@@ -25,10 +25,20 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(documents(spark, sf_dir))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_languages(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql("SELECT -7L AS conv_id, CAST(id AS BIGINT) AS turn, IF(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_trees(chat.chain(given.unionByName(own))))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.deduplicate_lines(documents(spark, sf_dir))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -37,7 +47,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_shards": op2_shards,
+    "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_chat": op9_chat,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -50,6 +62,19 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
        sha256(body) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY body)
 """,
+    "op9_chat": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, replace(replace(replace(role, '\', '\b'), '<|', '\o'), '|>', '\c') AS role_out,
+             replace(replace(replace(text, '\', '\b'), '<|', '\o'), '|>', '\c') AS text_out FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(role_out) + length(text_out) + 16)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""".replace("\\\\", "\\"),
     "op10_line_dedup": f"""
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM cut),
