@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, exact, langid, lines, shards
+from tidemark.llm import bpe, chat, exact, langid, lines, quality, shards
 from tidemark.llm.common import documents
 
 
@@ -25,6 +25,10 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(documents(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_languages(documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_shards": op2_shards,
+    "op6_quality": op6_quality,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat": op9_chat,
@@ -55,7 +60,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+METRIC_ROWS = ", ".join(f"('{m}', ({scale} * {a} // greatest({b}, 1))::BIGINT)" for m, (a, b, scale, _) in quality.METRICS.items())
+SLACKS = " ".join(f"WHEN '{m}' THEN {spec[3]}" for m, spec in quality.METRICS.items())
+
+
+def _limits(keys: str, name: str) -> str:
+    """Thresholds of merged sketches, as CTEs ``name``."""
+    return f"""
+{name}_m AS (SELECT {keys}, metric, bucket, sum(n) AS n FROM sk GROUP BY ALL),
+{name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {keys}, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}, metric) AS total FROM {name}_m),
+{name}_q AS (SELECT {keys}, metric, max(total) AS docs, min(bucket) FILTER (WHERE 2 * upto >= total) AS q50, min(bucket) FILTER (WHERE 4 * upto >= 3 * total) AS q75
+           FROM {name}_r GROUP BY ALL),
+{name} AS (SELECT {keys}, metric, docs, q50 + greatest(CASE metric {SLACKS} END, {quality.SPREAD} * (q75 - q50)) AS lim FROM {name}_q)"""
+
+
 ORACLES: dict[str, str] = {
+    "op6_quality": f"""
+WITH w AS (SELECT doc_id, lang, source, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 1, 1))) AS i, ws FROM w),
+tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM win),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM tri) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, (VALUES (0), (1), (2)) AS s(o) GROUP BY doc_id),
+q AS (SELECT w.doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+      length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+      coalesce(cov.n, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(coalesce(text, ''), '[^!?]', '', 'g')) AS n_marks,
+      length(regexp_replace(coalesce(text, ''), '[^A-Z]', '', 'g')) AS n_capitals FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
+b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM q),
+v AS (SELECT doc_id, lang, source, metric, x FROM b, LATERAL (VALUES {METRIC_ROWS}) AS m(metric, x) WHERE NOT base_failed),
+sk AS (SELECT lang, source, 1 AS everything, metric, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS bucket, count(*) AS n FROM v GROUP BY ALL),
+{_limits("lang, source", "pl")},
+{_limits("lang", "ll")},
+{_limits("everything", "al")},
+lim AS (SELECT pl.lang, pl.source, pl.metric, CASE WHEN pl.docs >= {quality.MIN_GROUP} THEN pl.lim WHEN ll.docs >= {quality.MIN_GROUP} THEN ll.lim ELSE al.lim END AS lim
+        FROM pl JOIN ll ON pl.lang IS NOT DISTINCT FROM ll.lang AND pl.metric = ll.metric JOIN al ON pl.metric = al.metric),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN lim ON v.lang IS NOT DISTINCT FROM lim.lang AND v.source IS NOT DISTINCT FROM lim.source AND v.metric = lim.metric WHERE x > lim)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
+FROM b LEFT JOIN bad ON b.doc_id = bad.doc_id
+""",
     "op8_exact_dedup": f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS body FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
