@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, classlm, exact, langid, lines, quality, shards, simhash
+from tidemark.llm import bpe, chat, classlm, exact, langid, lines, mixing, quality, shards, simhash
 from tidemark.llm.common import documents
 
 
@@ -29,6 +29,10 @@ def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score_documents(documents(spark, sf_dir))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_shards": op2_shards,
     "op3_class_lm": op3_class_lm,
+    "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_language": op7_language,
