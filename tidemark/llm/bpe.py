@@ -241,7 +241,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_column: str = "do
         token_bytes = own.vocabulary.token_bytes
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
-            counts, id_hashes, text_hashes, all_ids = [], [], [], []
+            counts, id_hashes, text_hashes, all_ids = [], [], [], bytearray()
             start = 0
             while start < len(texts):
                 stop, held = start, 0
@@ -249,22 +249,22 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_column: str = "do
                     held += len(texts[stop] or "")
                     stop += 1
                 for parts in own.encode([t or "" for t in texts[start:stop]]):
-                    n, id_hash, text_hash, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+                    n, id_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
                     for packed in parts:
                         n += len(packed) // 4
                         id_hash.update(packed)
                         text_hash.update(decode(packed, token_bytes))
                         if keep_ids:
-                            kept += memoryview(packed).cast("I").tolist()
+                            all_ids += packed
                     counts.append(n)
                     id_hashes.append(id_hash.hexdigest())
                     text_hashes.append(text_hash.hexdigest())
-                    all_ids.append(kept)
                 start = stop
             columns = [names, pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())]
             labels = [id_column, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(all_ids, "<i4"), pa.int32())))
                 labels.append("ids")
             yield pa.RecordBatch.from_arrays(columns, labels)
 
