@@ -46,6 +46,7 @@ def drop_bitmaps(rows: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     ordered = found.repartitionByRange("h1", "h2", F.desc("doc")).sortWithinPartitions("h1", "h2", F.desc("doc"), "pos")
     by_document = ordered.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("pos"))
     shared = by_document.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("owner")).filter(F.col("n_docs") >= min_documents)
+    shared = materialize(shared, "shared-lines")  # so that the join below has two plain inputs, whose skewed keys Spark splits
     marked = found.join(shared, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("owner")))
     dropped = marked.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     return dropped.select("doc", "text_hash", runs(F.col("gone")).alias("bitmap"))
