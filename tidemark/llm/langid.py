@@ -14,9 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidemark.llm.common import fold_of, utf8_list
+from tidemark.llm.common import fold_of, frequent, utf8_list
 from tidemark.storage import materialize
 
 ORDERS = (4, 3, 2, 1)
@@ -97,12 +96,6 @@ def count_grams(counts: DataFrame) -> DataFrame:
     return counts.select("lang", "word").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, keys: list[str], value: str, most: int) -> list[tuple]:
-    """The ``most`` most frequent values of each key group; ties in binary order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), value))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= most).select("lang", value, "n").collect()
-
-
 class Model:
     """Log10 frequencies of words and n-grams by language, a fixed number of each for a language."""
 
@@ -138,9 +131,9 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """Counts cover all training rows; the model keeps the most frequent words and n-grams of each language."""
     counts = materialize(count_words(docs.select(F.col("text").cast("string"), "lang")), "language-words")
-    words = most_frequent(counts, ["lang"], "word", WORDS_PER_LANGUAGE)
-    sized = count_grams(counts).withColumn("order", F.length("gram"))
-    return Model([tuple(r) for r in words], [tuple(r) for r in most_frequent(sized, ["lang", "order"], "gram", GRAMS_PER_LANGUAGE)])
+    words = frequent(counts, ["lang"], WORDS_PER_LANGUAGE).select("lang", "word", "n").collect()
+    sized = materialize(count_grams(counts).withColumn("order", F.length("gram")), "language-grams")
+    return Model([tuple(r) for r in words], [tuple(r) for r in frequent(sized, ["lang", "order"], GRAMS_PER_LANGUAGE).select("lang", "gram", "n").collect()])
 
 
 def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
