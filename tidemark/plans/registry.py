@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from tidemark.plans import article_queries
+
+MODULES = [article_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

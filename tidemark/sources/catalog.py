@@ -1,0 +1,30 @@
+"""Source catalog: what is due, how it stands, what it covers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def cadence_hours(cadence: Column) -> Column:
+    """Hours of a cadence like 4h; null if it is none of 1, 2, 4, 8, 12 and 24."""
+    return F.when(F.regexp_like(F.trim(cadence), F.lit("^(1|2|4|8|12|24)h$")), F.regexp_extract(cadence, r"(\d+)", 1).cast("int"))
+
+
+def due(sources: DataFrame, last: str, hours: Column, as_of: Column) -> DataFrame:
+    """Sources never tried, or tried at least their cadence ago."""
+    return sources.filter(F.col(last).isNull() | (F.unix_seconds(as_of) - F.unix_seconds(last) >= hours * 3600))
+
+
+def status(last_status: Column, last_success: Column, hours: Column, as_of: Column) -> Column:
+    """error, late (older than 1.5 cadences and 15 minutes), degraded, normal or pending."""
+    late = F.unix_seconds(as_of) - F.coalesce(F.unix_seconds(last_success), F.lit(0)) > hours * 5400 + 900
+    return F.when(last_status == "error", "error").when(last_status.isin("success", "degraded") & late, "late").when(last_status == "degraded", "degraded").when(last_status == "success", "normal").otherwise("pending")
+
+
+def coverage(sources: DataFrame) -> DataFrame:
+    """Configured, available and effective sources and independent groups: in total, by layer and by family."""
+    return sources.groupingSets([[], ["source_layer"], ["source_family"]], "source_layer", "source_family").agg(
+        F.count("*").alias("configured"), F.count_if("available").alias("available"), F.count_if("effective").alias("effective"),
+        F.count_distinct("independent_group").alias("groups"), F.count_distinct(F.when(F.col("effective"), F.col("independent_group"))).alias("effective_groups"),
+    )
