@@ -314,7 +314,7 @@ ORDER BY CAST(newest_at AS DATE) DESC, CASE verification WHEN 'cross-verified' T
     "e_heat": f"WITH {ART}, {_heat('art', 'concept_slug')} SELECT * FROM heat",
     "e_representative": f"WITH {ART}, {PUB}, {REP} SELECT * FROM rep",
     "e_sources": f"""WITH {ART}, {PUB} SELECT signal_slug, row_number() OVER (PARTITION BY signal_slug ORDER BY {WEIGHT} DESC, {EVENT} DESC, url) AS rank, url FROM pub QUALIFY rank <= 8""",
-    "e_latest": f"WITH {ART}, {PUB} SELECT url, {EVENT} AS "at" FROM pub ORDER BY 2 DESC, url LIMIT 320",
+    "e_latest": f"WITH {ART}, {PUB} SELECT url, {EVENT} AS \"at\" FROM pub ORDER BY 2 DESC, url LIMIT 320",
     "e_recency": f"""WITH {ART}, a AS (SELECT doc_id, floor(greatest({AGE_S}, 0) / 3600)::BIGINT AS h FROM art)
 SELECT doc_id, CASE WHEN h < 1 THEN 'now' WHEN h < 24 THEN h || 'h' WHEN h // 24 < 7 THEN (h // 24) || 'd' WHEN h // 24 < 31 THEN (h // 24 // 7) || 'w' ELSE (h // 24 // 30) || 'mo' END AS label FROM a""",
     "e_digest": f"""WITH {ART}, {PUB} SELECT strftime(date_trunc('week', {EVENT}), '%Y-%m-%d') AS week, count(*) AS items,
