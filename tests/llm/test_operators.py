@@ -215,6 +215,16 @@ def test_reply_trees(spark):
     assert chat.format_trees(tree_rows(spark, [])).collect() == []
 
 
+def test_a_repeated_node_has_one_place(spark):
+    """Each message is repeated below two parents: a path would double at every level if both counted."""
+    rows = [(1, n, p, "user", f"{n}", 1.0, "") for n in range(40) for p in ({None} if n == 0 else {n - 1, max(0, n - 2)})]
+    out = chat.format_trees(tree_rows(spark, rows), branches=100)
+    turns = [[t.text for t in r.turns] for r in out.select(chat.parse_turns(F.col("formatted")).alias("turns")).collect()]
+    assert sorted(set(map(int, max(turns, key=len)))) == [0, *range(1, 40, 2)]  # 39 lies below 37, the smaller of 37 and 38
+    cycle = [(1, 0, 1, "user", "a", 1.0, ""), (1, 1, 0, "user", "b", 1.0, ""), (1, 2, None, "user", "c", 1.0, "")]
+    assert [t.text for t in chat.format_trees(tree_rows(spark, cycle)).select(F.explode(chat.parse_turns(F.col("formatted"))).alias("t")).select("t.*").collect()] == ["c"]
+
+
 def test_chain_of_a_long_conversation(spark):
     rows = spark.range(700).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "CAST(id AS STRING) AS text")
     out = chat.digest(chat.format_trees(chat.chain(rows))).collect()[0]

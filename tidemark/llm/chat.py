@@ -18,7 +18,6 @@ from tidemark.llm.common import numbered_in_groups
 from tidemark.storage import materialize
 
 OPEN, CLOSE, FROM, END = "<|", "|>", "<|from ", "<|end|>"
-MOST_TABLES = 40  # paths of up to 2^39 messages
 TURNS_TOGETHER = 256  # turns of one conversation that are numbered by one task
 
 
@@ -42,23 +41,37 @@ def chain(messages: DataFrame, tree: str = "conv_id", turn: str = "turn") -> Dat
     return numbered.select("tree", "node", F.when(F.col("node") > 0, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
-def ancestor_links(nodes: DataFrame) -> list[DataFrame]:
-    """Tables (tree, node, link, hops, total): in table k, ``link`` is the ancestor 2^k above, null beyond the root.
+def one_row_a_node(nodes: DataFrame) -> DataFrame:
+    """(tree, node, link, hops, total) with ``link`` the parent, null where there is none or it does not exist.
 
-    ``hops`` and ``total`` count and sum the scores of the messages from ``node`` to just below ``link``. The last table has
-    no links left, so it holds every depth and path score. A message on a cycle would keep its links for ever;
-    the number of tables is therefore limited, and such messages are on no path.
+    Of rows that repeat a node, the one with the smallest parent (null first), then score, tells its place.
     """
-    start = nodes.select("tree", "node", F.col("parent").alias("link"), F.lit(1).cast("long").alias("hops"), F.coalesce("score", F.lit(0.0)).alias("total"))
-    tables = [materialize(start, "reply-links")]
-    while len(tables) < MOST_TABLES and not tables[-1].filter(F.col("link").isNotNull()).isEmpty():
+    placed = nodes.groupBy("tree", "node").agg(F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("first"))
+    start = materialize(placed.select("tree", "node", F.col("first.parent").alias("link"), F.lit(1).cast("long").alias("hops"), F.col("first.score").alias("total")), "reply-nodes")
+    known = start.select(F.col("tree").alias("tree_2"), F.col("node").alias("node_2"))
+    same = F.col("tree").eqNullSafe(F.col("tree_2")) & (F.col("link") == F.col("node_2"))
+    return start.join(known, same, "left").select("tree", "node", F.col("node_2").alias("link"), "hops", "total")
+
+
+def ancestor_links(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (tree, node, link, hops, total): in table k, ``link`` is the ancestor 2^k above; and the same, without links, of all nodes.
+
+    ``hops`` and ``total`` count and sum the scores of the messages from ``node`` to just below ``link``. A message whose
+    link would pass the root is done and leaves the tables, so a message is joined as often as its own depth has
+    binary digits, however deep other trees are. A message on a cycle would keep its links for ever; no path is longer
+    than the number of messages, so what then has links is on a cycle, and on no path.
+    """
+    start = materialize(one_row_a_node(nodes), "reply-links")
+    tables, done = [start.filter(F.col("link").isNotNull())], start.filter(F.col("link").isNull())
+    messages = start.count()
+    while 1 << (len(tables) - 1) < messages and not tables[-1].isEmpty():
         below = tables[-1]
-        above = below.select(F.col("tree").alias("tree_2"), F.col("node").alias("node_2"), F.col("link").alias("link_2"), F.col("hops").alias("hops_2"), F.col("total").alias("total_2"))
-        joined = below.join(above, F.col("tree").eqNullSafe(F.col("tree_2")) & (F.col("link") == F.col("node_2")), "left")
-        zero = F.lit(0)
-        stepped = joined.select("tree", "node", F.col("link_2").alias("link"), (F.col("hops") + F.coalesce("hops_2", zero)).alias("hops"), (F.col("total") + F.coalesce("total_2", zero)).alias("total"))
-        tables.append(materialize(stepped, "reply-links"))
-    return tables
+        above = below.unionByName(done).select(F.col("tree").alias("tree_2"), F.col("node").alias("node_2"), F.col("link").alias("link_2"), F.col("hops").alias("hops_2"), F.col("total").alias("total_2"))
+        joined = below.join(above, F.col("tree").eqNullSafe(F.col("tree_2")) & (F.col("link") == F.col("node_2")))
+        stepped = materialize(joined.select("tree", "node", F.col("link_2").alias("link"), (F.col("hops") + F.col("hops_2")).alias("hops"), (F.col("total") + F.col("total_2")).alias("total")), "reply-links")
+        tables.append(stepped.filter(F.col("link").isNotNull()))
+        done = done.unionByName(stepped.filter(F.col("link").isNull()))
+    return tables, done
 
 
 def ranked_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -67,14 +80,13 @@ def ranked_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     Paths are ranked by the sum of their scores, ties by the smaller leaf. A parent that does not exist makes its
     message a root.
     """
-    tables = ancestor_links(nodes)
-    whole = tables[-1].filter(F.col("link").isNull())
-    answered = nodes.select(F.col("tree").alias("tree_2"), F.col("parent").alias("node_2")).filter(F.col("node_2").isNotNull()).distinct()
+    tables, whole = ancestor_links(nodes)
+    answered = tables[0].select(F.col("tree").alias("tree_2"), F.col("link").alias("node_2")).distinct()
     leaves = whole.join(answered, F.col("tree").eqNullSafe(F.col("tree_2")) & (F.col("node") == F.col("node_2")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "node"))
     found = leaves.select("tree", "node", rank.alias("branch")).filter(F.col("branch") <= branches)
-    for table in reversed(tables[:-1]):  # each step adds the ancestors 2^k above those found so far
-        links = table.filter(F.col("link").isNotNull()).select(F.col("tree").alias("tree_2"), F.col("node").alias("node_2"), "link")
+    for table in reversed(tables):  # each step adds the ancestors 2^k above those found so far
+        links = table.select(F.col("tree").alias("tree_2"), F.col("node").alias("node_2"), "link")
         up = found.join(links, F.col("tree").eqNullSafe(F.col("tree_2")) & (F.col("node") == F.col("node_2"))).select("tree", F.col("link").alias("node"), "branch")
         found = materialize(found.unionByName(up), "reply-paths")
     depths = whole.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("hops").alias("depth"))
@@ -86,11 +98,11 @@ def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
     Returns ``tree``, ``branch``, ``formatted`` and ``loss_spans``: array of (start, length) in code points of ``formatted``, one
     for each assistant text. Null roles and texts count as empty, null scores as 0; null trees are one tree; messages
-    without a node are left out, and of messages that repeat a node all are formatted, in order of role and text. An
-    empty table gives an empty result; other columns are not read.
+    without a node are left out, and of messages that repeat a node all are formatted, in order of role and text, at
+    the place of the one with the smallest parent. An empty table gives an empty result; other columns are not read.
     """
     nodes = materialize(nodes.filter(F.col("node").isNotNull()), "messages")
-    paths = ranked_paths(nodes.select("tree", "node", "parent", "score").distinct(), branches)
+    paths = ranked_paths(nodes.select("tree", "node", "parent", "score"), branches)
     texts = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = paths.join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "branch", "depth", "role", "text")
     head, body = F.concat(F.lit(FROM), escape(F.col("role")), F.lit(CLOSE)), escape(F.col("text"))
