@@ -164,6 +164,22 @@ def test_wide_near_duplicates(spark, empty):
     assert simhash_wide.keep_one_of_each(empty).collect() == []
 
 
+def test_wide_near_duplicates_at_the_limit(spark):
+    """300 words: six changed ones leave a similarity of 0.816, seven leave 0.789; the bits alone cannot tell these apart."""
+    rng = random.Random(4)
+    words = ["w%d" % i for i in range(5000)]
+    bases = [[rng.choice(words) for _ in range(300)] for _ in range(24)]
+    texts = [" ".join(b) for b in bases]
+    for i, b in enumerate(bases):
+        changed = list(b)
+        for k in range(6 + i % 2):
+            changed[20 + 40 * k] = "new"
+        texts.append(" ".join(changed))
+    got = {r.doc_id: r.component_id for r in simhash_wide.near_duplicate_groups(frame(spark, texts)).collect()}
+    assert all(got[24 + i] == 24 + i for i in range(1, 24, 2))
+    assert sum(got[24 + i] == i for i in range(0, 24, 2)) >= 10
+
+
 def test_quality_counts(odd, empty):
     assert quality.counts_of(b"a b c a b c\n\na b\na b")[:5] == (10, 10, 0, 1, 8)
     assert quality.counts_of("é# $|".encode())[:3] == (2, 4, 3)
