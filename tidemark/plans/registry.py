@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import article_queries, ledger_queries
+from tidemark.plans import article_queries, job_queries, ledger_queries
 
-MODULES = [article_queries, ledger_queries]
+MODULES = [article_queries, job_queries, ledger_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
