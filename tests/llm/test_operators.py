@@ -180,6 +180,44 @@ def test_wide_near_duplicates_at_the_limit(spark):
     assert sum(got[24 + i] == i for i in range(0, 24, 2)) >= 10
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_wide_near_duplicates_of_a_large_group_lose_no_link(spark, rounds):
+    """A chain B of texts near a hub, and texts near only one of B each: groups are those of brute force."""
+    rng = random.Random(5)
+    words = ["w%d" % i for i in range(5000)]
+
+    def changed(text, n):
+        text = list(text)
+        for k in rng.sample(range(10, 290, 20), n):
+            text[k] = f"x{rng.random()}"
+        return text
+
+    hub = [rng.choice(words) for _ in range(300)]
+    texts = [hub]
+    for _ in range(50):
+        texts.append(changed(hub, 4))
+        texts.append(changed(texts[-1], 5))
+    texts += [changed(hub, 12) for _ in range(20)] + [hub[:150] + [rng.choice(words) for _ in range(150)] for _ in range(10)]
+    sets = [set(simhash_wide.shingle_hashes(" ".join(t).encode()).tolist()) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    nodes = spark.createDataFrame([(i, [h - (1 << 64) if h >> 63 else h for h in s]) for i, s in enumerate(sets)], "node long, hashes array<long>")
+    near = {r.node: r.root for r in simhash.components(simhash_wide.links(nodes, rounds)).collect()}
+    assert [near.get(i, i) for i in range(len(sets))] == [find(i) for i in range(len(sets))]
+    got = {r.doc_id: r.component_id for r in simhash_wide.near_duplicate_groups(frame(spark, [" ".join(t) for t in texts])).collect()}
+    assert [got[i] for i in range(len(sets))] == [find(i) for i in range(len(sets))]
+
+
 def test_quality_counts(odd, empty):
     assert quality.counts_of(b"a b c a b c\n\na b\na b")[:5] == (10, 10, 0, 1, 8)
     assert quality.counts_of("é# $|".encode())[:3] == (2, 4, 3)
