@@ -1,6 +1,7 @@
 """Operators against brute force and libraries, with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import collections
+import functools
 import hashlib
 import random
 import struct
@@ -299,3 +300,20 @@ def test_pfair_lag_is_below_one_block(spark, odd, empty):
     assert sorted({r.mix_slot for r in rows}) == list(range(len({(r.source, r.mix_block) for r in rows})))
     assert mixing.mix(empty).collect() == []
     assert mixing.mixed_order(odd).count() == odd.count()
+
+
+def test_mixing_keeps_to_the_given_weights(spark):
+    """Twenty sources, one with a third of the rows: within a block of the square-root targets, far beyond 1,000 slots."""
+    rows = {f"s{i:02}": 16 * 500 for i in range(19)} | {"top": 16 * 4_750, "rare": 16}
+    weights = mixing.tempered_weights(rows) | {"rare": 0.001}
+    total, blocks = sum(weights.values()), {s: n // 16 for s, n in rows.items()}
+    docs = functools.reduce(lambda a, b: a.unionByName(b), [spark.range(n).select(F.col("id").alias("doc_id"), F.lit(s).alias("source")) for s, n in rows.items()])
+    placed = mixing.mix(docs, weights).select("source", "mix_slot").distinct().orderBy("mix_slot").collect()
+    assert [r.mix_slot for r in placed] == list(range(sum(blocks.values())))
+    seen = collections.Counter()
+    for t, row in enumerate(placed, 1):
+        seen[row.source] += 1
+        assert all(abs(seen[s] - t * w / total) < 1 for s, w in weights.items())
+        if seen[row.source] == blocks[row.source]:
+            break  # from here on the others share its part
+    assert t > 8_000

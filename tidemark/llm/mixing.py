@@ -4,18 +4,23 @@ The rows of a source are numbered and cut into blocks. Block j (from 1) of a sou
 (j - 1) / w and due at j / w, rounded outward to whole slots; each slot takes the released block with the earliest
 deadline. With weights that sum to 1 every source is then always less than one block from its target.
 
-Weights are whole shares of a fixed period. The schedule repeats with the period, so it is worked out once for one
-period, a fixed number of slots, and a block's slot follows from its number. When a source runs out, a phase ends,
-and the next one goes on with the weights of the sources left; so all rows are placed, and there are at most as many
-phases as sources. Only one row for each source, its count, reaches the driver.
+Weights are taken exactly, as whole numbers over their sum. The schedule is one sequence, which a single task works
+out with a heap of one entry for each source, block by block, and writes; rows are joined to it by source and block.
+When a source runs out, a phase ends, and the next one goes on with the weights of the sources left; so all rows are
+placed, and there are at most as many phases as sources. Only one row for each source, its count, reaches the driver.
+On request weights are rounded to whole shares of a given period instead.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
+from math import lcm
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import numbered_in_groups
@@ -27,6 +32,7 @@ TEMPERATURE = 0.5
 BUCKETS = 256
 MOST_SOURCES = 500
 NO_SOURCE = "\x00"
+BATCH_BLOCKS = 65_536
 
 
 def tempered_weights(rows: dict[str, int], temperature: float = TEMPERATURE) -> dict[str, float]:
@@ -45,60 +51,78 @@ def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, i
     return shares
 
 
-def pattern(shares: dict[str, int], period: int = PERIOD) -> list[str]:
-    """The source of each slot of a period: earliest deadline first among the released blocks, ties by name."""
+def exact_shares(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def schedule(shares: dict[str, int]) -> Iterator[str]:
+    """The source of each slot, without end: earliest deadline first among the released blocks, ties by name."""
+    total = sum(shares.values())
     waiting: list[tuple[int, str, int]] = [(0, s, 1) for s in sorted(shares)]  # (release, source, block)
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []  # (deadline, source, block)
-    slots = []
-    for now in range(period):
+    now = 0
+    while True:
         while waiting and waiting[0][0] <= now:
             _, source, block = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-block * period // shares[source]), source, block))
+            heapq.heappush(ready, (-(-block * total // shares[source]), source, block))
         _, source, block = heapq.heappop(ready)
-        slots.append(source)
-        if block < shares[source]:
-            heapq.heappush(waiting, (block * period // shares[source], source, block + 1))
-    return slots
+        yield source
+        heapq.heappush(waiting, (block * total // shares[source], source, block + 1))
+        now += 1
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[tuple]:
-    """(source, first block, last block + 1, first slot, shares in a period, places in the period) of every phase.
+def pattern(shares: dict[str, int], period: int = PERIOD) -> list[str]:
+    """The slots of a first period of whole shares."""
+    return list(islice(schedule(shares), period))
 
-    A phase lasts whole periods, as many as no source in it runs out in; then, in a last part of a period, until the
-    first one runs out. Slots are global; a source's place list gives the slots of its blocks inside a period.
-    """
-    left, at, found = {s: n for s, n in blocks.items() if n}, 0, []
+
+def placed_blocks(blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> Iterator[str]:
+    """The source of each slot until all blocks are placed; a phase lasts until the first of its sources runs out."""
+    left = {s: n for s, n in blocks.items() if n}
+    if any(weights[s] <= 0 for s in left):
+        raise ValueError("every source needs a weight above 0")
     while left:
-        shares = whole_shares({s: weights[s] for s in left}, period)
-        slots = pattern(shares, period)
-        places = {s: [] for s in left}
-        for i, s in enumerate(slots):
-            places[s].append(i)
-        whole = min(left[s] // shares[s] for s in left)
-        # the part of a period after the whole ones ends where the first source has placed its last block
-        ends = [places[s][left[s] - whole * shares[s] - 1] if left[s] > whole * shares[s] else -1 for s in left if left[s] - whole * shares[s] < shares[s]]
-        stop = min(ends) + 1
-        for s in sorted(left):
-            taken = whole * shares[s] + sum(p < stop for p in places[s])
-            if taken:
-                first = blocks[s] - left[s]
-                found.append((s, first, first + taken, at, shares[s], places[s]))
-            left[s] -= taken
-        at += whole * period + stop
-        left = {s: n for s, n in left.items() if n}
-    return found
-
-
-PHASES = "_source string, _first long, _last long, _start long, _shares int, _places array<int>"
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str = "doc_id", source_column: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+        own = {s: weights[s] for s in left}
+        for source in schedule(exact_shares(own) if period is None else whole_shares(own, period)):
+            yield source
+            left[source] -= 1
+            if not left[source]:
+                del left[source]
+                break
+
+
+def slots(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> DataFrame:
+    """(_source, _block, _slot) of every block, in one task that holds a count and a heap entry for each source."""
+    if missing := sorted(set(blocks) - set(weights)):
+        raise KeyError(missing[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            placed, seen, at = placed_blocks(blocks, weights, period), dict.fromkeys(blocks, 0), 0
+            while some := list(islice(placed, BATCH_BLOCKS)):
+                numbers = []
+                for source in some:
+                    numbers.append(seen[source])
+                    seen[source] += 1
+                columns = [pa.array(some, pa.string()), pa.array(numbers, pa.int64()), pa.array(range(at, at + len(some)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["_source", "_block", "_slot"])
+                at += len(some)
+
+    return spark.range(1, numPartitions=1).mapInArrow(run, "_source string, _block long, _slot long")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str = "doc_id", source_column: str = "source", block_rows: int = BLOCK_ROWS, period: int | None = None) -> DataFrame:
     """``docs`` with ``mix_block`` (block inside the source), ``mix_slot`` (its place in the schedule) and ``mix_position``.
 
     All rows are kept, once each; sorting by ``mix_position`` (0, 1, ..., increasing, with gaps only where a source's last
     block is short) gives the mixture. Default weights are the square roots of the sources' rows; a source without a
-    given weight is an error. Inside a source rows follow a hash of their id, so blocks are mixed themselves; ties
+    given weight is an error. Weights are exact unless a ``period`` to round them to is given. Inside a source rows follow a hash of their id, so blocks are mixed themselves; ties
     and null ids follow the id, repeated rows any order among themselves. A null source is a source of its own.
     Columns of ``docs`` with those names are replaced. An empty table gives an empty result.
     """
@@ -109,20 +133,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
     weights = tempered_weights(counts) if weights is None else weights
-    plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, weights, period)
+    table = materialize(slots(spark, {s: -(-n // block_rows) for s, n in counts.items()}, weights, period), "mix-slots")
     spread = hashed.withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)).cast("int"))
     numbered = numbered_in_groups(spread, "_group", "_bucket", [F.col("_hash"), F.col(id_column)], "_row")
     blocks = numbered.withColumn("mix_block", F.floor(F.col("_row") / block_rows).cast("long"))
-    table = F.broadcast(spark.createDataFrame(plan, PHASES))
-    inside = (F.col("_group") == F.col("_source")) & (F.col("mix_block") >= F.col("_first")) & (F.col("mix_block") < F.col("_last"))
-    since = F.col("mix_block") - F.col("_first")
-    slot = F.col("_start") + F.floor(since / F.col("_shares")) * period + F.get("_places", (since % F.col("_shares")).cast("int"))
-    placed = blocks.join(table, inside).withColumn("mix_slot", slot.cast("long"))
+    placed = blocks.join(table, (F.col("_group") == F.col("_source")) & (F.col("mix_block") == F.col("_block"))).withColumn("mix_slot", F.col("_slot"))
     position = F.col("mix_slot") * block_rows + F.col("_row") % block_rows
     return placed.withColumn("mix_position", position.cast("long")).select(*docs.columns, "mix_block", "mix_slot", "mix_position")
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with their own columns, laid out in the order of the mixture over the result's partitions."""
-    kept = materialize(docs, "to-mix")  # counted, sampled for the ranges and sorted: read three times, computed once
-    return mix(kept, **options).repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    placed = mix(docs, **options).select(*docs.columns, "mix_position")
+    kept = materialize(placed, "mixed")  # sampled for the ranges and sorted: read twice, computed once
+    return kept.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
