@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import bpe, chat, classlm, exact, langid, lines, mixing, quality, shards, simhash, simhash_wide
 from tidemark.llm.queries import vocabulary_path
 
@@ -317,3 +318,12 @@ def test_mixing_keeps_to_the_given_weights(spark):
         if seen[row.source] == blocks[row.source]:
             break  # from here on the others share its part
     assert t > 8_000
+
+
+def test_the_pipelines_last_stage_carries_the_mixture(spark):
+    docs = frame(spark, [f"text {i % 7}" for i in range(200)], ids=[None if i % 50 == 0 else i // 2 for i in range(200)])
+    stages = dict(corpus_pipeline.STAGES)
+    rows = stages["tokens"](spark, stages["mixing"](spark, docs, ""), "").collect()
+    want = mixing.mix(docs).select("doc_id", "mix_position").collect()
+    key = lambda r: (r.mix_position, r.doc_id or -1)
+    assert sorted(map(key, rows)) == sorted(map(key, want)) and len({r.mix_position for r in rows}) == 200
