@@ -218,7 +218,7 @@ class Model:
 def fit(training: DataFrame, counts: DataFrame) -> Model:
     """A model from training texts and their word counts (word, n)."""
     short = counts.filter(F.octet_length("word") <= KNOWN_WORD_BYTES)
-    known = sorted(((bytes(r[0]), r[1]) for r in frequent(short, [], KNOWN_WORDS).collect()), key=lambda x: (-x[1], x[0]))
+    known = sorted(((bytes(r[0]), r[1]) for r in frequent(short, KNOWN_WORDS).collect()), key=lambda x: (-x[1], x[0]))
     tail = F.expr("substring(word, greatest(octet_length(word) - 1, 1), 2)")
     by_ending = counts.groupBy(tail.alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("types"))
     top = [(bytes(r[0]), r[1], r[2]) for r in by_ending.orderBy(F.desc("n"), "ending").limit(UNIT_ENDINGS).collect()]

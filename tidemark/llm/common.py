@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
@@ -45,37 +44,18 @@ def numbered_in_groups(df: DataFrame, group: str, bucket: str, order: list[Colum
     return joined.withColumn(out, F.col("_start") + F.col("_rn") - 1).drop("_g", "_b", "_start", "_rn")
 
 
-def chunks(values: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
-    """Index ranges of ``values`` holding about ``most`` bytes each; a single longer value is a range of its own."""
-    start, held = 0, 0
-    for i, value in enumerate(values):
-        n = len(value or b"")
-        if i > start and held + n > most:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(values):
-        yield start, len(values)
-
-
-def frequent(counts: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Of (keys, ..., n): the rows with the largest n of each key, at most ``most`` of them.
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Of (..., n): the rows with the largest n, at most ``most`` of them.
 
     A histogram over the leading bits of n says from which count on that holds, so rows with an equal n stay or go
-    together. Only the histogram, a few hundred rows for each key, reaches the driver.
+    together. Only the histogram, a few hundred rows, reaches the driver.
     """
     shift = "CAST(greatest(length(bin(n)) - 6, 0) AS INT)"
-    sized = counts.withColumn("_bucket", F.expr(f"shiftleft(shiftright(n, {shift}), {shift})"))
-    floors: dict[tuple, tuple[int, int | None]] = {}
-    for row in sized.groupBy(*keys, "_bucket").agg(F.count("*").alias("_rows")).orderBy(F.desc("_bucket")).collect():
-        key = tuple(row[k] for k in keys)
-        held, floor = floors.get(key, (0, None))
-        held += row["_rows"]
-        floors[key] = (held, row["_bucket"] if held <= most else floor)
-    kept = [(*key, floor) for key, (_, floor) in floors.items() if floor is not None]
-    schema = ", ".join([*(f"_{k} {counts.schema[k].dataType.simpleString()}" for k in keys), "_floor long"])
-    table = F.broadcast(counts.sparkSession.createDataFrame(kept, schema))
-    same = F.col("n") >= F.col("_floor")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return counts.join(table, same).select(*counts.columns)
+    sized = counts.select(F.expr(f"shiftleft(shiftright(n, {shift}), {shift})").alias("least"))
+    held, floor = 0, None
+    for row in sized.groupBy("least").agg(F.count("*").alias("rows")).orderBy(F.desc("least")).collect():
+        held += row["rows"]
+        if held > most:
+            break
+        floor = row["least"]
+    return counts.filter(F.lit(False) if floor is None else F.col("n") >= floor)
