@@ -28,6 +28,7 @@ ORDERS = (4, 3, 2, 1)
 BACKOFF = math.log10(0.4)
 HEAD_WORDS = 400_000  # words that every task holds; all others are looked up by a join
 HEAD_BYTES = 64  # so are words longer than that
+BROADCAST_GRAMS = 400_000  # n-grams that may go to all tasks; more of them meet the unseen words in a join
 FLUSH = 400_000
 CACHE_TOKENS = 500_000
 BATCH_ROWS = 100_000
@@ -132,7 +133,7 @@ def smoothed(total, languages: list[str], discount: float = 0.0) -> Column:
 def backed_off(words: DataFrame, found: DataFrame, languages: list[str]) -> DataFrame:
     """(word, logs) of unseen words by the longest order with a known n-gram; words without any are left out."""
     by_order = {r["order"]: r for r in found.groupBy("order").agg(*totals(found, languages)).collect()}
-    scored, left = None, words.select("word", "n")
+    scored, left, few = None, words.select("word", "n"), sum(r["kinds"] for r in by_order.values()) <= BROADCAST_GRAMS
     framed = F.concat(F.lit("_"), "word", F.lit("_"))
     for step, order in enumerate(ORDERS, 1):
         if order not in by_order:
@@ -140,6 +141,7 @@ def backed_off(words: DataFrame, found: DataFrame, languages: list[str]) -> Data
         starts = F.when(F.length(framed) >= order, F.sequence(F.lit(1), F.length(framed) - order + 1)).otherwise(F.array().cast("array<int>"))
         pieces = left.select("word", "n", F.explode(F.transform(starts, lambda i: F.substr(framed, i, F.lit(order)))).alias("gram"))
         logs = found.filter(F.col("order") == order).select("gram", smoothed(by_order[order], languages, step * BACKOFF).alias("g"))
+        logs = F.broadcast(logs) if few else logs
         means = each(languages, lambda i: F.avg(F.col("g")[i]))
         done = materialize(pieces.join(logs, "gram").groupBy("word").agg(F.first("n").alias("n"), means.alias("logs")), "language-unseen")
         scored = done if scored is None else scored.unionByName(done)
@@ -153,8 +155,8 @@ class Model:
 
     languages: list[str]
     scores: DataFrame | None = None
-    head: list[bytes] | None = None
-    head_logs: np.ndarray | None = None
+    head: bytes = b""  # words, each ended by a line feed
+    head_logs: np.ndarray | None = None  # 32-bit, as in the scores
 
 
 def fit(rows: DataFrame, head_words: int = HEAD_WORDS) -> Model:
@@ -176,15 +178,15 @@ def fit(rows: DataFrame, head_words: int = HEAD_WORDS) -> Model:
     scored = scored.unionByName(backed_off(counts.filter(~known), found, languages))
     scored = materialize(scored.select("word", "n", F.array(*[F.col("logs")[i] for i in spoken]).cast("array<float>").alias("logs")), "language-scores")
     head = frequent(scored.filter(F.octet_length("word") <= HEAD_BYTES), head_words).select("word", "logs").toArrow()
-    logs = head["logs"].combine_chunks().flatten().to_numpy().reshape(-1, len(spoken)).astype(np.float64)
-    return Model([languages[i] for i in spoken], scored, utf8_list(head["word"].combine_chunks()), logs)
+    logs = head["logs"].combine_chunks().flatten().to_numpy().reshape(-1, len(spoken))
+    return Model([languages[i] for i in spoken], scored, b"".join(w + b"\n" for w in utf8_list(head["word"].combine_chunks())), logs)
 
 
 class Lookup:
     """Rows of the head by raw token: at least 0 a head word, -1 no word, else the word of ``rare`` at -2 minus it."""
 
-    def __init__(self, head: list[bytes]):
-        self.row = {word: i for i, word in enumerate(head)}
+    def __init__(self, head: bytes):
+        self.row = {word: i for i, word in enumerate(head.split(b"\n")[:-1])}
         self.clear()
 
     def clear(self) -> None:
@@ -224,8 +226,7 @@ def identify(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
     shared = docs.sparkSession.sparkContext.broadcast((model.head, model.head_logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, logs = shared.value
-        lookup = Lookup(head)
+        lookup, logs = Lookup(shared.value[0]), shared.value[1].astype(np.float64)
         for batch in batches:
             source, keys, words, ns, copies, letters, bases = [], [], [], [], [], [], []
             for at, text in enumerate(utf8_list(batch.column(1))):
