@@ -14,6 +14,13 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """``n`` column names that ``df`` lacks, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    names = (f"own_{i}" for i in range(len(taken) + n))
+    return [name for name in names if name not in taken][:n]
+
+
 def utf8_list(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of each text in an Arrow string column, None for null."""
     return column.cast(pa.binary()).to_pylist()
