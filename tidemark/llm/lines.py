@@ -1,16 +1,18 @@
 """Line deduplication that returns keep bitmaps instead of text.
 
-A line is known by 128 bits of hash of its key. Occurrences of lines that enough documents share are partitioned
-by ranges of hash, sorted by document and position inside, and streamed: the first document of a line in that
-order owns it, and the lines of all others are marked. What goes back to a document is one run-length bitmap.
+A line is known by 128 bits of hash of its key. Occurrences are partitioned by ranges of (hash, document), sorted by
+document and position inside, and streamed: a window passes over each range in that order and lets the first occurrence
+of a line in a document through. Those first occurrences are counted by line, the largest document owns a line that
+enough documents share, and the lines of all others are marked. What goes back to a document is one run-length bitmap.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemark.llm.common import ascii_lower
+from tidemark.llm.common import ascii_lower, unused
 from tidemark.storage import materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -38,14 +40,14 @@ def long_lines(rows: DataFrame, min_chars: int) -> DataFrame:
 def drop_bitmaps(rows: DataFrame, min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """One row for each (doc, text_hash) that loses lines, with ``bitmap``: array of (first line, lines) that go.
 
-    Ranges of (hash, document) are dealt out, so a line in a third of all documents spans many ranges. Each range is
-    streamed in order and gives one row for a line and document; their count and first document (the largest) merge
-    with partial sums, which leaves one row of a line for each task.
+    Ranges of (hash, document) are dealt out, so a line in a third of all documents spans many ranges. The window's groups
+    are what the ranges keep together, so it needs no shuffle of its own, only their order. Counts and largest documents
+    of the first occurrences merge with partial sums, which leaves one row of a line for each task.
     """
     found = materialize(long_lines(rows, min_chars), "line-hashes")
-    ordered = found.repartitionByRange("h1", "h2", F.desc("doc")).sortWithinPartitions("h1", "h2", F.desc("doc"), "pos")
-    by_document = ordered.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("pos"))
-    shared = by_document.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("owner")).filter(F.col("n_docs") >= min_documents)
+    in_document = Window.partitionBy("h1", "h2", "doc").orderBy("pos")
+    first = found.repartitionByRange("h1", "h2", "doc").withColumn("nth", F.row_number().over(in_document)).filter("nth = 1")
+    shared = first.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("owner")).filter(F.col("n_docs") >= min_documents)
     shared = materialize(shared, "shared-lines")  # so that the join below has two plain inputs, whose skewed keys Spark splits
     marked = found.join(shared, ["h1", "h2"]).filter(~F.col("doc").eqNullSafe(F.col("owner")))
     dropped = marked.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
@@ -66,18 +68,20 @@ def deduplicate_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents
     Keys of at least ``min_chars`` code points that at least ``min_documents`` distinct ids hold lose all their lines
     except in the largest id. A null or empty text is one empty line. Rows with a null id count as one document
     that is smaller than any other; where only that one is left it owns the line. Rows that repeat an id are one
-    document, each keeping or losing lines by that id. Columns of ``docs`` named like a result column are replaced.
+    document, each keeping or losing lines by that id. Columns of ``docs`` named like a result column are replaced, others
+    may have any names.
     """
     docs = docs.drop("drop_bitmap", "n_lines", "n_dropped", "kept_text")
     bitmaps = drop_bitmaps(row_key(docs, id_column, text_column), min_chars, min_documents)
-    bitmaps = bitmaps.select(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("bitmap").alias("drop_bitmap"))
-    same = docs[id_column].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs[text_column]) == F.col("_hash"))
-    joined = docs.join(bitmaps, same, "left").drop("_doc", "_hash")
-    joined = joined.withColumn("_lines", F.split(F.coalesce(F.col(text_column), F.lit("")), "\n"))
+    doc, text_hash, lines = unused(docs, 3)
+    bitmaps = bitmaps.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("bitmap").alias("drop_bitmap"))
+    same = docs[id_column].eqNullSafe(F.col(doc)) & (F.xxhash64(docs[text_column]) == F.col(text_hash))
+    joined = docs.join(bitmaps, same, "left").drop(doc, text_hash)
+    joined = joined.withColumn(lines, F.split(F.coalesce(F.col(text_column), F.lit("")), "\n"))
     # what stays lies before the first run, between runs and after the last
     begin = F.concat(F.array(F.lit(0)), F.transform("drop_bitmap", lambda r: r["first"] + r["count"]))
-    end = F.concat(F.transform("drop_bitmap", lambda r: r["first"]), F.array(F.size("_lines")))
-    stays = F.zip_with(begin, end, lambda a, b: F.slice("_lines", a + 1, b - a))
+    end = F.concat(F.transform("drop_bitmap", lambda r: r["first"]), F.array(F.size(lines)))
+    stays = F.zip_with(begin, end, lambda a, b: F.slice(lines, a + 1, b - a))
     kept = F.when(F.col("drop_bitmap").isNull(), F.coalesce(F.col(text_column), F.lit(""))).otherwise(F.array_join(F.flatten(stays), "\n"))
     n_dropped = F.coalesce(F.aggregate("drop_bitmap", F.lit(0), lambda a, r: a + r["count"]), F.lit(0))
-    return joined.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dropped": n_dropped.cast("long"), "kept_text": kept}).drop("_lines")
+    return joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": n_dropped.cast("long"), "kept_text": kept}).drop(lines)
