@@ -1,9 +1,11 @@
 """Exact deduplication: compressed radix (Patricia) tries over full byte strings.
 
 Every task first runs its own texts through a trie, so that copies meet before anything is shuffled: a text leaves
-the task once, with the number of its rows and their largest id. Texts are then partitioned by length and content
-hash and sorted by it; each partition inserts length, hash and full bytes into one trie. As the order is that of
-the trie's top levels, a subtree is complete when the next prefix comes, and is written out and dropped.
+the task once, with the number of its rows and their largest id. A trie that grows too large spills by subtree: its
+largest branches are sent off, and the rest goes on collecting. Texts are then partitioned by content hash and length
+and sorted by them; each partition inserts hash, length and full bytes into one trie. As the order is that of the
+trie's top levels, all branches before the one in hand are complete: when the trie grows large, their owners are
+written out and they are dropped.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ class Trie:
     def __init__(self):
         self.children: dict[int, list] = {}  # first byte -> [label, children, terminal]
         self.held = 0
+        self.branch: dict[int, int] = {}  # bytes held below each first byte
 
     def insert(self, key: bytes, owner: int, rows: int) -> None:
         """Add rows of ``key``; its terminal keeps the largest id of all."""
@@ -39,7 +42,7 @@ class Trie:
             node = children.get(key[at])
             if node is None:
                 children[key[at]] = [key[at:], {}, (owner, rows)]
-                self.held += len(key) - at + 200
+                self.grow(key[0], len(key) - at + 200)
                 return
             label = node[0]
             if not key.startswith(label, at):
@@ -47,16 +50,27 @@ class Trie:
                 lower = [label[same:], node[1], node[2]]
                 node[0], node[1], node[2] = label[:same], {label[same]: lower}, None
                 label = node[0]
-                self.held += 200
+                self.grow(key[0], 200)
             at += len(label)
             if at == len(key):
                 node[2] = (owner, rows) if node[2] is None else (max(owner, node[2][0]), rows + node[2][1])
                 return
             children = node[1]
 
-    def terminals(self) -> Iterator[tuple[bytes, int, int]]:
-        """(key, owner, rows) of all terminals."""
-        stack = [(b"", node) for node in self.children.values()]
+    def grow(self, first: int, size: int) -> None:
+        self.held += size
+        self.branch[first] = self.branch.get(first, 0) + size
+
+    def spill(self, most: int) -> Iterator[tuple[bytes, int, int]]:
+        """Take out the largest branches until at most ``most`` bytes are held, and give their terminals."""
+        while self.held > most:
+            first = max(self.branch, key=self.branch.get)
+            self.held -= self.branch.pop(first)
+            yield from self.terminals([self.children.pop(first)])
+
+    def terminals(self, branches: list[list] | None = None) -> Iterator[tuple[bytes, int, int]]:
+        """(key, owner, rows) of all terminals, or of those below some branches of the root."""
+        stack = [(b"", node) for node in (self.children.values() if branches is None else branches)]
         while stack:
             above, (label, children, terminal) = stack.pop()
             key = above + label
@@ -78,8 +92,13 @@ def common_prefix(label: bytes, key: bytes, at: int) -> int:
 
 
 def header(n_bytes: int, text_hash: int) -> bytes:
-    """The trie's top levels. No key is a prefix of another unless it is equal: all with one header have one length."""
-    return n_bytes.to_bytes(8, "big") + (text_hash + (1 << 63)).to_bytes(8, "big")
+    """The trie's top levels, in the order of the partitions. No key is a prefix of another unless it is equal: all with one header have one length."""
+    return (text_hash + (1 << 63)).to_bytes(8, "big") + n_bytes.to_bytes(8, "big")
+
+
+def parts(key: bytes) -> tuple[int, int, bytes]:
+    """Length, hash and text of a key."""
+    return int.from_bytes(key[8:16], "big"), int.from_bytes(key[:8], "big") - (1 << 63), key[16:]
 
 
 def signed_hash(body: bytes) -> int:
@@ -88,22 +107,21 @@ def signed_hash(body: bytes) -> int:
 
 
 def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> one row for each distinct text of the task; a trie that grows too large is written out and begun anew."""
+    """(id, text) -> rows of the task's distinct texts: one for each text, and one more for each spill of its branch."""
     trie = Trie()
     for batch in batches:
         for owner, body in zip(batch.column(0).to_pylist(), utf8_list(batch.column(1)), strict=True):
             body = (body or b"").lower()
             trie.insert(header(len(body), signed_hash(body)) + body, NONE if owner is None else owner, 1)
             if trie.held > TRIE_BYTES:
-                yield from partial_rows(trie)
-                trie = Trie()
-    yield from partial_rows(trie)
+                yield from partial_rows(trie.spill(TRIE_BYTES // 2))
+    yield from partial_rows(trie.terminals())
 
 
-def partial_rows(trie: Trie) -> Iterator[pa.RecordBatch]:
+def partial_rows(terminals: Iterator[tuple[bytes, int, int]]) -> Iterator[pa.RecordBatch]:
     rows, held = [], 0
-    for key, owner, count in trie.terminals():
-        rows.append((int.from_bytes(key[:8], "big"), int.from_bytes(key[8:16], "big") - (1 << 63), key[16:], None if owner == NONE else owner, count))
+    for key, owner, count in terminals:
+        rows.append((*parts(key), None if owner == NONE else owner, count))
         held += len(key)
         if held > TRIE_BYTES // 8:
             yield record_batch(rows, pa.binary())
@@ -121,24 +139,25 @@ def record_batch(rows: list[tuple], third: pa.DataType) -> pa.RecordBatch:
 def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted partial rows -> one owner row for each text that more than one row has."""
     trie, subtree = Trie(), None
-    done: list[tuple] = []
     for batch in batches:
         lengths, hashes, bodies, owners, counts = (c.to_pylist() for c in batch.columns)
         for n_bytes, text_hash, body, owner, count in zip(lengths, hashes, bodies, owners, counts, strict=True):
-            if (n_bytes, text_hash) != subtree:
-                done += shared(trie)
-                trie, subtree = Trie(), (n_bytes, text_hash)
+            if trie.held > TRIE_BYTES and (text_hash, n_bytes) != subtree:  # nothing held can come again
+                yield from owner_rows(trie)
+                trie = Trie()
+            subtree = (text_hash, n_bytes)
             trie.insert(header(n_bytes, text_hash) + body, NONE if owner is None else owner, count)
-        if len(done) > 10_000:
-            yield record_batch(done, pa.string())
-            done = []
-    done += shared(trie)
-    if done:
-        yield record_batch(done, pa.string())
+    yield from owner_rows(trie)
 
 
-def shared(trie: Trie) -> list[tuple]:
-    return [(int.from_bytes(key[:8], "big"), int.from_bytes(key[8:16], "big") - (1 << 63), hashlib.sha256(key[16:]).hexdigest(), None if owner == NONE else owner, rows) for key, owner, rows in trie.terminals() if rows > 1]
+def owner_rows(trie: Trie) -> Iterator[pa.RecordBatch]:
+    done = []
+    for key, owner, rows in trie.terminals():
+        if rows > 1:
+            n_bytes, text_hash, body = parts(key)
+            done.append((n_bytes, text_hash, hashlib.sha256(body).hexdigest(), None if owner == NONE else owner, rows))
+    if done:
+        yield record_batch(done, pa.string())
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +174,7 @@ def text_owners(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """One row for each text that more than one row has: its length, hash, digest, largest id and number of rows."""
     given = docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string"))
     partial = given.mapInArrow(combine, PARTIALS)
-    return partial.repartition("n_bytes", "text_hash").sortWithinPartitions("n_bytes", "text_hash").mapInArrow(own, OWNERS)
+    return partial.repartition("text_hash", "n_bytes").sortWithinPartitions("text_hash", "n_bytes").mapInArrow(own, OWNERS)
 
 
 def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
