@@ -6,9 +6,10 @@ deadline. With weights that sum to 1 every source is then always less than one b
 
 Weights are taken exactly, as whole numbers over their sum. The schedule is one sequence, which a single task works
 out with a heap of one entry for each source, block by block, and writes; rows are joined to it by source and block.
-When a source runs out, a phase ends, and the next one goes on with the weights of the sources left; so all rows are
-placed, and there are at most as many phases as sources. Only one row for each source, its count, reaches the driver.
-On request weights are rounded to whole shares of a given period instead.
+Blocks grow with the table, so that the sequence never gets longer than ``MOST_BLOCKS`` and one for each source. When a
+source runs out, a phase ends, and the next one goes on with the weights of the sources left; so all rows are placed,
+and there are at most as many phases as sources. No row reaches the driver but two sums. On request weights are
+rounded to whole shares of a given period instead.
 """
 
 from __future__ import annotations
@@ -20,18 +21,17 @@ from itertools import islice
 from math import lcm
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import numbered_in_groups
 from tidemark.storage import materialize
 
 BLOCK_ROWS = 16
+MOST_BLOCKS = 4_000_000
 PERIOD = 1000
 TEMPERATURE = 0.5
-BUCKETS = 256
-MOST_SOURCES = 500
-NO_SOURCE = "\x00"
+BUCKET_ROWS = 65_536  # rows of a source that one task numbers, about
 BATCH_BLOCKS = 65_536
 
 
@@ -43,6 +43,8 @@ def tempered_weights(rows: dict[str, int], temperature: float = TEMPERATURE) ->
 def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     """Slots of each source in one period: at least one each, the rest by largest remainder (ties by name)."""
     names = sorted(s for s, w in weights.items() if w > 0)
+    if len(names) > period:
+        raise ValueError(f"a period of {period} slots is too short for {len(names)} sources")
     spare, total = period - len(names), sum(weights[s] for s in names)
     exact = {s: weights[s] / total * spare for s in names}
     shares = {s: 1 + int(exact[s]) for s in names}
@@ -95,55 +97,64 @@ def placed_blocks(blocks: dict[str, int], weights: dict[str, float], period: int
                 break
 
 
-def slots(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> DataFrame:
-    """(_source, _block, _slot) of every block, in one task that holds a count and a heap entry for each source."""
-    if missing := sorted(set(blocks) - set(weights)):
-        raise KeyError(missing[0])
+def slots(sources: DataFrame, block_rows: int, period: int | None = None) -> DataFrame:
+    """(source, block, slot) of every block of (source, n, weight), in one task that holds a count and a heap entry for each source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            placed, seen, at = placed_blocks(blocks, weights, period), dict.fromkeys(blocks, 0), 0
-            while some := list(islice(placed, BATCH_BLOCKS)):
-                numbers = []
-                for source in some:
-                    numbers.append(seen[source])
-                    seen[source] += 1
-                columns = [pa.array(some, pa.string()), pa.array(numbers, pa.int64()), pa.array(range(at, at + len(some)), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["_source", "_block", "_slot"])
-                at += len(some)
-
-    return spark.range(1, numPartitions=1).mapInArrow(run, "_source string, _block long, _slot long")
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_column: str = "doc_id", source_column: str = "source", block_rows: int = BLOCK_ROWS, period: int | None = None) -> DataFrame:
+        rows = sorted((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: (r[0] is not None, r[0]))
+        names = pa.array([name for name, _, _ in rows], pa.string())
+        blocks, weights = {i: -(-n // block_rows) for i, (_, n, _) in enumerate(rows)}, {i: w for i, (_, _, w) in enumerate(rows)}
+        placed, seen, at = placed_blocks(blocks, weights, period), [0] * len(rows), 0
+        while some := list(islice(placed, BATCH_BLOCKS)):
+            numbers = []
+            for source in some:
+                numbers.append(seen[source])
+                seen[source] += 1
+            columns = [names.take(pa.array(some, pa.int64())), pa.array(numbers, pa.int64()), pa.array(range(at, at + len(some)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["source", "block", "slot"])
+            at += len(some)
+
+    return sources.select("source", "n", "weight").coalesce(1).mapInArrow(run, "source string, block long, slot long")
+
+
+def weighted(sources: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
+    """(source, n, weight): the given weights, or the square roots of the rows. Each source needs a weight above 0."""
+    if weights is None:
+        return sources.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(TEMPERATURE)))
+    given = sources.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "name string, weight double")
+    joined = sources.join(given, F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
+    if (lacking := joined.filter("weight IS NULL OR weight <= 0").select("source").first()) is not None:
+        raise ValueError(f"source {lacking[0]!r} needs a weight above 0")
+    return joined
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_column: str = "doc_id", source_column: str = "source", block_rows: int | None = None, period: int | None = None) -> DataFrame:
     """``docs`` with ``mix_block`` (block inside the source), ``mix_slot`` (its place in the schedule) and ``mix_position``.
 
     All rows are kept, once each; sorting by ``mix_position`` (0, 1, ..., increasing, with gaps only where a source's last
     block is short) gives the mixture. Default weights are the square roots of the sources' rows; a source without a
-    given weight is an error. Weights are exact unless a ``period`` to round them to is given. Inside a source rows follow a hash of their id, so blocks are mixed themselves; ties
-    and null ids follow the id, repeated rows any order among themselves. A null source is a source of its own.
-    Columns of ``docs`` with those names are replaced. An empty table gives an empty result.
+    given weight above 0 is an error, and so is a ``period`` of fewer slots than sources. Weights are exact unless a
+    ``period`` to round them to is given. Blocks have ``block_rows`` rows: by default 16, or as many as keep the schedule
+    within ``MOST_BLOCKS``. Inside a source rows follow a hash of their id, so blocks are mixed themselves; ties and null
+    ids follow the id, repeated rows any order among themselves. A null source is a source of its own. Columns of
+    ``docs`` with those three names are replaced, others may have any names. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("mix_block", "mix_slot", "mix_position", "_group", "_bucket", "_hash", "_row")
-    hashed = docs.withColumns({"_group": F.coalesce(F.col(source_column).cast("string"), F.lit(NO_SOURCE)), "_hash": F.xxhash64(F.lit(11), F.col(id_column))})
-    counts = {r[0]: r[1] for r in hashed.groupBy("_group").agg(F.count("*")).limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
-    weights = tempered_weights(counts) if weights is None else weights
-    table = materialize(slots(spark, {s: -(-n // block_rows) for s, n in counts.items()}, weights, period), "mix-slots")
-    spread = hashed.withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS)).cast("int"))
-    numbered = numbered_in_groups(spread, "_group", "_bucket", [F.col("_hash"), F.col(id_column)], "_row")
-    blocks = numbered.withColumn("mix_block", F.floor(F.col("_row") / block_rows).cast("long"))
-    placed = blocks.join(table, (F.col("_group") == F.col("_source")) & (F.col("mix_block") == F.col("_block"))).withColumn("mix_slot", F.col("_slot"))
-    position = F.col("mix_slot") * block_rows + F.col("_row") % block_rows
-    return placed.withColumn("mix_position", position.cast("long")).select(*docs.columns, "mix_block", "mix_slot", "mix_position")
-
-
-def mixed_order(docs: DataFrame, **options) -> DataFrame:
+    docs = docs.drop("mix_block", "mix_slot", "mix_position")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_column).cast("string").alias("source"), F.col(id_column).alias("id"), F.xxhash64(F.lit(11), F.col(id_column)).alias("hash"))
+    sources = materialize(rows.groupBy("source").agg(F.count("*").alias("n")), "mix-sources")
+    total, most = sources.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    block_rows = block_rows or max(BLOCK_ROWS, -(-total // MOST_BLOCKS))
+    table = materialize(slots(weighted(sources, weights), block_rows, period), "mix-slots").toDF("of", "mix_block", "mix_slot")
+    buckets = 256 * -(-most // (256 * BUCKET_ROWS)) if most else 256
+    spread = rows.withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
+    numbered = numbered_in_groups(spread, "source", "bucket", [F.col("hash"), F.col("id")], "nth").withColumn("block", F.floor(F.col("nth") / block_rows).cast("long"))
+    placed = numbered.join(table, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("mix_block")))
+    position = F.col("mix_slot") * block_rows + F.col("nth") % block_rows
+    return placed.select("row.*", "mix_block", "mix_slot", position.cast("long").alias("mix_position"))
+
+
+def mixed_order(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, with their own columns, laid out in the order of the mixture over the result's partitions."""
-    placed = mix(docs, **options).select(*docs.columns, "mix_position")
-    kept = materialize(placed, "mixed")  # sampled for the ranges and sorted: read twice, computed once
-    return kept.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    own = docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("of"), F.struct(*docs.columns).alias("row"))
+    kept = materialize(mix(own, id_column="id", source_column="of", **options).select("row", "mix_position"), "mixed")  # sampled for the ranges and sorted: read twice, computed once
+    return kept.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select("row.*")
