@@ -94,22 +94,37 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version={version:06d}")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def store_rebalanced(records: DataFrame, path: str, version: int, shards: int, slots: int = SLOTS) -> int:
+    """Read one version of the map, edit it for the bytes that (virtual_slot, size) records now hold, and store the next one.
+
+    Returns the new version's number. The version read stays as it was.
+    """
+    spark = records.sparkSession
+    held = [(r["virtual_slot"], r["slot_bytes"], r["shard"]) for r in read_map(spark, path, version).collect()]
+    store_map(spark, rebalance(held, slot_bytes(records, slots), shards), path, version + 1)
+    return version + 1
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None, version: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Put all rows into ``shards`` shards of nearly equal bytes.
 
     Returns for each row the id column, ``size``, ``text_crc32`` (null text: empty), ``law`` ('bytes'), ``shard``, ``slot``
     (its place inside the shard, gapless from 0), ``grown_shard`` (null under this law), ``virtual_slot`` and
     ``map_version``. Null ids spread by their text; rows with the same id share a virtual slot and are numbered in
-    order of id and text checksum; an empty table gives an empty result; other columns are not read. Version 0 of
-    the map is written under ``map_path`` (default: the shared folder). Rows cross the network once, without text.
+    order of id and text checksum; an empty table gives an empty result; other columns are not read. Equal texts with
+    unlike ids are records of their own and may lie in several shards. The map is written under ``map_path`` (default:
+    the shared folder): version 0 of a new map, or, where an earlier ``version`` is named, its successor, in which slots
+    have moved only as far as the bytes or the number of shards ask. Rows cross the network once, without text.
     """
     spark = docs.sparkSession
     crc = F.crc32(F.coalesce(F.col(text_column), F.lit("")).cast("binary"))
     sized = docs.select(F.col(id_column), record_size(F.col(text_column)).alias("size"), crc.alias("text_crc32"))
     records = materialize(sized.withColumn("virtual_slot", virtual_slot(F.col(id_column), F.col("text_crc32"), slots)), "shard-records")
     path = map_path or new_path(spark, "slot-map")
-    store_map(spark, place_slots(slot_bytes(records, slots), shards), path, 0)
-    slot_map = read_map(spark, path, 0).select(F.col("version").alias("map_version"), F.col("virtual_slot").alias("_slot"), "shard")
+    if version is None:
+        store_map(spark, place_slots(slot_bytes(records, slots), shards), path, 0)
+    version = 0 if version is None else store_rebalanced(records, path, version, shards, slots)
+    slot_map = read_map(spark, path, version).select(F.col("version").alias("map_version"), F.col("virtual_slot").alias("_slot"), "shard")
     mapped = records.join(F.broadcast(slot_map), records["virtual_slot"] == F.col("_slot")).drop("_slot")
     numbered = numbered_in_groups(mapped, "shard", "virtual_slot", [F.col(id_column), F.col("text_crc32"), F.col("size")], "slot")
     return numbered.select(id_column, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
