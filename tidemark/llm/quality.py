@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import utf8_list
+from tidemark.llm.common import unused, utf8_list
 from tidemark.storage import materialize
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -119,34 +119,38 @@ def adaptive_thresholds(measured: DataFrame, min_group: int = MIN_GROUP) -> Data
     limits = [f"max_{m}" for m in METRICS]
     pairs = thresholds_of(sketch, ["lang", "source"])
     langs = thresholds_of(sketch, ["lang"]).select(F.col("lang").alias("lang_2"), F.col("docs").alias("lang_docs"), *[F.col(m).alias(f"lang_{m}") for m in limits])
-    everything = thresholds_of(sketch.withColumn("all", F.lit(1)), ["all"]).select(F.col("all"), *[F.col(m).alias(f"all_{m}") for m in limits])
-    joined = pairs.join(langs, F.col("lang").eqNullSafe(F.col("lang_2"))).withColumn("all", F.lit(1)).join(everything, "all")
-    chosen = [F.when(F.col("docs") >= min_group, F.col(m)).when(F.col("lang_docs") >= min_group, F.col(f"lang_{m}")).otherwise(F.col(f"all_{m}")).alias(m) for m in limits]
+    everything = thresholds_of(sketch, []).select(*limits).first()  # one row of six numbers
+    joined = pairs.join(langs, F.col("lang").eqNullSafe(F.col("lang_2")))
+    whole = {m: everything[m] if everything else None for m in limits}
+    chosen = [F.when(F.col("docs") >= min_group, F.col(m)).when(F.col("lang_docs") >= min_group, F.col(f"lang_{m}")).otherwise(F.lit(whole[m]).cast("long")).alias(m) for m in limits]
     return materialize(joined.select("lang", "source", *chosen), "quality-thresholds")
 
 
 def judge(measured: DataFrame, thresholds: DataFrame) -> DataFrame:
     """``measured`` with ``_base_failed`` and ``_kept``: below every threshold of its language and source.
 
-    The thresholds are broadcast only if their counted rows are few; otherwise both sides meet by key.
+    The thresholds are broadcast only if their counted rows are few; otherwise both sides meet by key. Columns of those
+    two names are replaced; others may have any names.
     """
-    limits = thresholds.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(f"max_{m}").alias(f"_max_{m}") for m in METRICS])
+    lang, source, *most = unused(measured, 2 + len(METRICS))
+    limits = thresholds.select(F.col("lang").alias(lang), F.col("source").alias(source), *[F.col(f"max_{m}").alias(x) for m, x in zip(METRICS, most, strict=True)])
     if limits.count() <= BROADCAST_ROWS:
         limits = F.broadcast(limits)
-    joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    joined = measured.join(limits, measured["lang"].eqNullSafe(F.col(lang)) & measured["source"].eqNullSafe(F.col(source)), "left")
     inside = F.lit(True)
-    for m in METRICS:
-        inside &= F.coalesce(metric_value(m) <= F.col(f"_max_{m}"), F.lit(True))
-    judged = joined.withColumn("_base_failed", base_failed()).withColumn("_kept", ~F.col("_base_failed") & inside)
-    return judged.drop("_lang", "_source", *[f"_max_{m}" for m in METRICS])
+    for m, x in zip(METRICS, most, strict=True):
+        inside &= F.coalesce(metric_value(m) <= F.col(x), F.lit(True))
+    judged = joined.withColumns({"_base_failed": base_failed(), "_kept": ~base_failed() & inside})
+    return judged.drop(lang, source, *most)
 
 
 def verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The counts, ``base_failed`` and ``kept`` of every row.
 
     A null text has no words and fails the base rules, like an empty one; a null language or source is a value of
-    its own; repeated rows are judged alike; an empty table gives an empty result. Texts are read once and do not
-    cross the network.
+    its own; repeated rows are judged alike; an empty table gives an empty result. A language and source with fewer
+    than ``MIN_GROUP`` passing documents takes the thresholds of its language, or of all documents where that has few
+    too. Texts are read once and do not cross the network.
     """
     measured = materialize(measure(docs.select(id_column, "lang", "source", text_column), text_column).drop(text_column), "quality-counts")
     judged = judge(measured, adaptive_thresholds(measured))
@@ -154,7 +158,13 @@ def verdicts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def keep_good(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns: thresholds in one pass, the joined filter in another."""
+    """The rows of ``docs`` that pass, with all their columns: thresholds in one pass, the joined filter in another.
+
+    Nulls, repeats and empty tables are as for ``verdicts``; columns of ``docs`` may have any names.
+    """
     narrow = measure(docs.select("lang", "source", text_column), text_column).drop(text_column)
     thresholds = adaptive_thresholds(narrow)
-    return judge(measure(docs, text_column), thresholds).filter("_kept").select(*docs.columns)
+    read = {"lang", "source", text_column}
+    plain = {c: c if c in read else f"c{i}" for i, c in enumerate(docs.columns)}
+    judged = judge(measure(docs.select(*[docs[c].alias(x) for c, x in plain.items()]), text_column), thresholds)
+    return judged.filter("_kept").select(*[F.col(x).alias(c) for c, x in plain.items()])
