@@ -17,14 +17,20 @@ def contained(text: Column, terms: list[str]) -> Column:
     return found
 
 
-def lexicon_relevance(text: Column, title: Column, trusted: Column, strong: list[str], weak: list[str], negative: list[str]) -> Column:
+def lexicon_relevance(
+    text: Column, title: Column, trusted: Column, strong: list[str], weak: list[str], negative: list[str], otherwise: Column | None = None, generic: tuple[str, str] | None = None,
+) -> Column:
     """-100 for a negative title; else 6 if trusted, 4 for each strong term, 1 weak, -5 negative, 2 for a version in a
-    trusted title; at most 100. Without trust or a strong term the score is 0."""
+    trusted title; at most 100. Without trust or a strong term the score is ``otherwise`` (0 where none is given). With
+    ``generic``, a title that matches its first pattern and not its second is negative too."""
     low = F.lower(text)
     n_strong = contained(low, strong)
-    version = F.when(trusted & F.regexp_like(title, F.lit(r"(?<![A-Za-z0-9_])v?\d+\.\d+(\.\d+)?(?![A-Za-z0-9_])")), 2).otherwise(0)
+    version = F.when(trusted & F.regexp_like(title, F.lit(r"(?i)(?<![A-Za-z0-9_])v?\d+\.\d+(\.\d+)?(?![A-Za-z0-9_])")), 2).otherwise(0)
     score = F.when(trusted, 6).otherwise(0) + 4 * n_strong + contained(low, weak) - 5 * contained(low, negative) + version
-    return F.when(contained(F.lower(title), negative) > 0, -100).when(~trusted & (n_strong == 0), 0).otherwise(F.least(F.lit(100), score))
+    refused = contained(F.lower(title), negative) > 0
+    if generic is not None:
+        refused |= F.regexp_like(title, F.lit(generic[0])) & ~F.regexp_like(title, F.lit(generic[1]))
+    return F.when(refused, -100).when(~trusted & (n_strong == 0), F.lit(0) if otherwise is None else otherwise).otherwise(F.least(F.lit(100), score))
 
 
 def valid_time(time: Column, as_of: Column) -> Column:

@@ -91,7 +91,7 @@ def ranked_signals(items: DataFrame, as_of: Column, limit: int = 80) -> DataFram
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.join(part, key)
-    order = F.create_map(*[F.lit(x) for pair in (("cross-verified", 4), ("independently-observed", 3), ("official-only", 2), ("practitioner-only", 1), ("community-only", 0)) for x in pair])
+    order = F.create_map(*[F.lit(x) for pair in (("cross-verified", 4), ("official-only", 3), ("independently-observed", 2), ("practitioner-only", 1), ("community-only", 0)) for x in pair])
     ranked = whole.orderBy(F.to_date("newest_at").desc(), order[F.col("verification")].desc(), F.desc("max_relevance"), F.desc("newest_at"), key)
     return ranked.limit(limit)
 

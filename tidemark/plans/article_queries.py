@@ -308,7 +308,7 @@ cheat AS (SELECT concept_slug, round(least(100.0, 5 + least(16, n * 4) + best +
 ORACLES = {
     "flagship_signals": f"""WITH {ART}, {PUB}, {MIX}, {_heat("pub", "signal_slug")}, {REP}, {CNT}
 SELECT * FROM verc JOIN heat USING (signal_slug) JOIN rep USING (signal_slug) JOIN cnt USING (signal_slug)
-ORDER BY CAST(newest_at AS DATE) DESC, CASE verification WHEN 'cross-verified' THEN 4 WHEN 'independently-observed' THEN 3 WHEN 'official-only' THEN 2 WHEN 'practitioner-only' THEN 1 ELSE 0 END DESC,
+ORDER BY CAST(newest_at AS DATE) DESC, CASE verification WHEN 'cross-verified' THEN 4 WHEN 'official-only' THEN 3 WHEN 'independently-observed' THEN 2 WHEN 'practitioner-only' THEN 1 ELSE 0 END DESC,
   max_relevance DESC, newest_at DESC, signal_slug LIMIT 80""",
     "e_source_mix": f"WITH {ART}, {PUB}, {MIX} SELECT * FROM verc",
     "e_heat": f"WITH {ART}, {_heat('art', 'concept_slug')} SELECT * FROM heat",
@@ -383,7 +383,7 @@ SELECT 'part', CAST(p_partkey AS VARCHAR) FROM part WHERE contains(lower(concat_
   FROM heat ORDER BY priority DESC, concept_slug LIMIT 3""",
     "b_hash": "SELECT doc_id, sha256(lang || chr(10) || source || chr(10) || text) AS content_hash FROM documents",
     "b_url": rf"""WITH u AS (SELECT page_id, url, regexp_replace(url || '?utm_source=x&id=1&ref=a#top', '#.*$', '') AS bare FROM pages),
-q AS (SELECT *, list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z_]+|{tx.TRACKING})(=.*)?$')) AS k FROM u)
+q AS (SELECT *, list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND lower(split_part(p, '=', 1)) NOT IN ({", ".join(map(repr, tx.TRACKING))})) AS k FROM u)
 SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN regexp_replace(bare, '\?.*$', '') || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END END AS url FROM q""",
     "b_failure": "SELECT CASE WHEN regexp_matches(text, '(?i)ering') THEN 'timeout' WHEN regexp_matches(text, '(?i)eaux') THEN 'network' ELSE 'unknown' END AS category, count(*) AS n FROM documents GROUP BY 1",
     "g_top_brands": """WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, p_brand) AS k FROM b)
