@@ -46,3 +46,18 @@ def lifecycle(supported: DataFrame, defined: Column, current: Column, idle_days:
     )
     maturity = F.when(defined, 50).otherwise(0) + F.least(F.lit(25), F.col("official_groups") * 25) + F.least(F.lit(25), F.col("practitioner_groups") * 25)
     return supported.withColumns({"maturity": maturity.cast("long"), "stage": stage})
+
+
+def maintained(items: DataFrame, as_of: Column, defined: Column, current: Column) -> DataFrame:
+    """(concept_slug, before, stage, maturity, heat): every concept judged anew by what is published now.
+
+    A concept of which no item is published or watched any more is archived. Idle days count from the newest published item.
+    """
+    public = F.col("publish_decision") == "publish"
+    state = items.groupBy("concept_slug").agg(F.count_if(F.col("publish_decision").isin("publish", "watch")).alias("alive"), F.max(F.when(public, F.col("published_at"))).alias("newest"))
+    idle = F.coalesce(F.floor((F.unix_seconds(as_of) - F.unix_seconds("newest")) / 86400), F.lit(99999))
+    rows = support(items).join(state, "concept_slug").withColumns({"before": current, "idle": idle})
+    stood = F.when(F.col("alive") == 0, "archived").otherwise(F.col("before"))
+    done = lifecycle(rows, defined, stood, F.col("idle"))
+    heat = concept_heat(items, as_of, ("publish",))
+    return done.join(heat, "concept_slug", "left").select("concept_slug", "before", "stage", "maturity", F.coalesce("heat", F.lit(0.0)).alias("heat"))
