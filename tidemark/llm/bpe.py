@@ -28,7 +28,7 @@ PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 
 PAIR_BITS = 20
 BLOCK_CHARS = 4_000_000
-CACHE_PARTS = 800_000
+CACHE_PARTS = 500_000
 CACHED_PART_CHARS = 64
 PORTION_PIECES = 100_000
 

@@ -5,8 +5,9 @@ The rows of a source are numbered and cut into blocks. Block j (from 1) of a sou
 deadline. With weights that sum to 1 every source is then always less than one block from its target.
 
 Weights are taken exactly, as whole numbers over their sum. The schedule is one sequence, which a single task works
-out with a heap of one entry for each source, block by block, and writes; rows are joined to it by source and block.
-Blocks grow with the table, so that the sequence never gets longer than ``MOST_BLOCKS`` and one for each source. When a
+out with a heap of one entry for each source, block by block, and writes. Blocks grow with the table, so that the
+sequence never gets longer than ``MOST_BLOCKS`` and one for each source: eight bytes of each go to all tasks, as one list
+of slots for each source, and no row moves to be placed. When a
 source runs out, a phase ends, and the next one goes on with the weights of the sources left; so all rows are placed,
 and there are at most as many phases as sources. No row reaches the driver but two sums. On request weights are
 rounded to whole shares of a given period instead.
@@ -15,6 +16,7 @@ rounded to whole shares of a given period instead.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from fractions import Fraction
 from itertools import islice
@@ -28,11 +30,11 @@ from tidemark.llm.common import numbered_in_groups
 from tidemark.storage import materialize
 
 BLOCK_ROWS = 16
-MOST_BLOCKS = 4_000_000
+MOST_BLOCKS = 1_000_000
 PERIOD = 1000
 TEMPERATURE = 0.5
 BUCKET_ROWS = 65_536  # rows of a source that one task numbers, about
-BATCH_BLOCKS = 65_536
+BATCH_SOURCES = 1_000
 
 
 def tempered_weights(rows: dict[str, int], temperature: float = TEMPERATURE) -> dict[str, float]:
@@ -98,23 +100,19 @@ def placed_blocks(blocks: dict[str, int], weights: dict[str, float], period: int
 
 
 def slots(sources: DataFrame, block_rows: int, period: int | None = None) -> DataFrame:
-    """(source, block, slot) of every block of (source, n, weight), in one task that holds a count and a heap entry for each source."""
+    """(source, slots): the slot of each block of (source, n, weight), in one task that holds a heap entry for each source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: (r[0] is not None, r[0]))
-        names = pa.array([name for name, _, _ in rows], pa.string())
         blocks, weights = {i: -(-n // block_rows) for i, (_, n, _) in enumerate(rows)}, {i: w for i, (_, _, w) in enumerate(rows)}
-        placed, seen, at = placed_blocks(blocks, weights, period), [0] * len(rows), 0
-        while some := list(islice(placed, BATCH_BLOCKS)):
-            numbers = []
-            for source in some:
-                numbers.append(seen[source])
-                seen[source] += 1
-            columns = [names.take(pa.array(some, pa.int64())), pa.array(numbers, pa.int64()), pa.array(range(at, at + len(some)), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["source", "block", "slot"])
-            at += len(some)
+        places = [array("q") for _ in rows]
+        for slot, source in enumerate(placed_blocks(blocks, weights, period)):
+            places[source].append(slot)
+        for first in range(0, len(rows), BATCH_SOURCES):
+            some = range(first, min(len(rows), first + BATCH_SOURCES))
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some], pa.string()), pa.array([places[i] for i in some], pa.list_(pa.int64()))], ["source", "slots"])
 
-    return sources.select("source", "n", "weight").coalesce(1).mapInArrow(run, "source string, block long, slot long")
+    return sources.select("source", "n", "weight").coalesce(1).mapInArrow(run, "source string, slots array<long>")
 
 
 def weighted(sources: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
@@ -144,17 +142,17 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_colu
     sources = materialize(rows.groupBy("source").agg(F.count("*").alias("n")), "mix-sources")
     total, most = sources.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     block_rows = block_rows or max(BLOCK_ROWS, -(-total // MOST_BLOCKS))
-    table = materialize(slots(weighted(sources, weights), block_rows, period), "mix-slots").toDF("of", "mix_block", "mix_slot")
+    table = F.broadcast(materialize(slots(weighted(sources, weights), block_rows, period), "mix-slots").toDF("of", "slots"))
     buckets = 256 * -(-most // (256 * BUCKET_ROWS)) if most else 256
     spread = rows.withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
     numbered = numbered_in_groups(spread, "source", "bucket", [F.col("hash"), F.col("id")], "nth").withColumn("block", F.floor(F.col("nth") / block_rows).cast("long"))
-    placed = numbered.join(table, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("mix_block")))
-    position = F.col("mix_slot") * block_rows + F.col("nth") % block_rows
-    return placed.select("row.*", "mix_block", "mix_slot", position.cast("long").alias("mix_position"))
+    placed = numbered.join(table, F.col("source").eqNullSafe(F.col("of"))).withColumn("place", F.get("slots", F.col("block").cast("int")))
+    position = F.col("place") * block_rows + F.col("nth") % block_rows
+    return placed.select("row.*", F.col("block").alias("mix_block"), F.col("place").alias("mix_slot"), position.cast("long").alias("mix_position"))
 
 
 def mixed_order(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, with their own columns, laid out in the order of the mixture over the result's partitions."""
     own = docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("of"), F.struct(*docs.columns).alias("row"))
-    kept = materialize(mix(own, id_column="id", source_column="of", **options).select("row", "mix_position"), "mixed")  # sampled for the ranges and sorted: read twice, computed once
-    return kept.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select("row.*")
+    placed = mix(own, id_column="id", source_column="of", **options).select("row", "mix_position")
+    return placed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select("row.*")
