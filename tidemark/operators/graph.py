@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidemark.operators.ordering import numbered
 from tidemark.storage import materialize
 
 
@@ -49,5 +49,6 @@ def levels(edges: DataFrame) -> DataFrame:
         placed = placed.unionByName(ready.withColumn("depth", F.lit(depth)))
         open_edges = materialize(open_edges.join(left.withColumnRenamed("node", "src"), "src", "left_semi"), "open-edges")
         waiting, depth = left, depth + 1
-    column = Window.partitionBy("depth")
-    return materialize(placed, "levels").select("node", "depth", F.row_number().over(column.orderBy("node")).alias("rank"), F.count("*").over(column).alias("column_size"))
+    placed = materialize(placed, "levels")
+    sizes = placed.groupBy("depth").agg(F.count("*").alias("column_size"))
+    return numbered(placed, "depth", "node", "rank").join(sizes, "depth").select("node", "depth", "rank", "column_size")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tidemark.operators.ordering import numbered
 from tidemark.operators.signals import event_time
 
 
@@ -56,10 +56,9 @@ def first_by_url(items: DataFrame, position: str) -> DataFrame:
 
 
 def fair_order(items: DataFrame, source: str, position: str) -> DataFrame:
-    """Adds ``turn``: one item of each source in turn, sources by their first item."""
-    own = F.row_number().over(Window.partitionBy(source).orderBy(position))
+    """Adds ``turn``: one item of each source in turn, sources by their first item, ``first_position``."""
     first = items.groupBy(source).agg(F.min(position).alias("first_position"))
-    return items.withColumn("turn", own).join(first, source)
+    return numbered(items, source, position, "turn").join(first, source)
 
 
 def guards(items: DataFrame) -> DataFrame:

@@ -47,6 +47,21 @@ def verification(mix: DataFrame) -> DataFrame:
     return mix.withColumns({"verification": state, "confidence": confidence})
 
 
+HEAT = ("engagement", "freshness", "velocity", "participation", "score")
+
+
+def heat_of(sums: DataFrame) -> DataFrame:
+    """Adds the parts of heat and their score, from total, freshest, recent and groups."""
+    parts = {
+        "engagement": bounded(F.log1p("total") / F.log1p(F.lit(10000.0)) * 100),
+        "freshness": bounded(F.lit(100.0) * F.exp(-F.col("freshest") / 72.0)),
+        "velocity": bounded(F.when(F.col("recent") > 0, 30 + F.log2(F.col("recent") + 1) * 22).otherwise(0.0)),
+        "participation": bounded(F.when(F.col("groups") > 0, 18 + F.log2(F.col("groups") + 1) * 24).otherwise(0.0)),
+    }
+    scored = sums.withColumns(parts).withColumn("score", bounded(F.col("engagement") * 0.35 + F.col("freshness") * 0.25 + F.col("velocity") * 0.2 + F.col("participation") * 0.2))
+    return scored.withColumns({c: F.round(c, 1) for c in HEAT})
+
+
 def heat(items: DataFrame, key: str, as_of: Column) -> DataFrame:
     """Engagement, freshness, velocity, participation and their weighted score, each 0 to 100 with one decimal."""
     age = hours_before(as_of, event_time())
@@ -56,14 +71,7 @@ def heat(items: DataFrame, key: str, as_of: Column) -> DataFrame:
         F.count_if(age <= 24).alias("recent"),
         F.count_distinct(F.coalesce("independent_group", "source_id")).alias("groups"),
     )
-    parts = {
-        "engagement": bounded(F.log1p("total") / F.log1p(F.lit(10000.0)) * 100),
-        "freshness": bounded(F.lit(100.0) * F.exp(-F.col("freshest") / 72.0)),
-        "velocity": bounded(F.when(F.col("recent") > 0, 30 + F.log2(F.col("recent") + 1) * 22).otherwise(0.0)),
-        "participation": bounded(F.when(F.col("groups") > 0, 18 + F.log2(F.col("groups") + 1) * 24).otherwise(0.0)),
-    }
-    scored = sums.withColumns(parts).withColumn("score", bounded(F.col("engagement") * 0.35 + F.col("freshness") * 0.25 + F.col("velocity") * 0.2 + F.col("participation") * 0.2))
-    return scored.select(key, *[F.round(c, 1).alias(c) for c in (*parts, "score")])
+    return heat_of(sums).select(key, *HEAT)
 
 
 def representatives(items: DataFrame, key: str) -> DataFrame:
@@ -83,16 +91,40 @@ def signal_counts(items: DataFrame, key: str) -> DataFrame:
     )
 
 
-def ranked_signals(items: DataFrame, as_of: Column, limit: int = 80) -> DataFrame:
-    """Published items -> the top signals: newest day, then verification, relevance, time and slug."""
+def signals_of(published: DataFrame, key: str, as_of: Column) -> DataFrame:
+    """Mix, verification, heat, representative and counts of each key's published items, in one pass.
+
+    Items are summed up by (key, independent group), and those sums by key, so what is shuffled is one row for each group of
+    each task, and no key is held by one task as rows.
+    """
+    age, time = hours_before(as_of, event_time()), event_time()
+    best = F.struct(
+        (-layer_weight(F.col("source_layer"))).alias("w"), (-F.col("editorial_score")).alias("e"), (-F.col("relevance_score")).alias("r"), (-F.unix_micros(time)).alias("t"), F.col("url"), F.col("source_layer"), F.col("editorial_score"),
+    )
+    groups = published.groupBy(key, F.coalesce("independent_group", "source_id").alias("grp")).agg(
+        F.max(layer_weight(F.col("source_layer"))).alias("w"), F.sum(F.greatest(F.coalesce("engagement_count", F.lit(0)), F.lit(0))).alias("total"), F.min(age).alias("freshest"), F.count_if(age <= 24).alias("recent"),
+        F.count("*").alias("n"), F.max("relevance_score").alias("relevance"), F.max(time).alias("newest"), F.min(best).alias("best"),
+    )
+    sums = groups.groupBy(key).agg(
+        *[F.count_if(F.col("w") == w).alias(layer) for layer, w in LAYERS.items()], F.sum("total").alias("total"), F.min("freshest").alias("freshest"), F.sum("recent").alias("recent"), F.count("*").alias("groups"),
+        F.sum("n").alias("evidence_count"), F.max("relevance").alias("max_relevance"), F.max("newest").alias("newest_at"), F.min("best").alias("best"),
+    )
+    rep = {"rep_url": "url", "rep_layer": "source_layer", "rep_editorial": "editorial_score"}
+    return verification(heat_of(sums)).select(
+        key, *LAYERS, "verification", "confidence", *HEAT, *[F.col(f"best.{c}").alias(name) for name, c in rep.items()], "evidence_count", F.col("groups").alias("independent_groups"), "max_relevance", "newest_at"
+    )
+
+
+def ranked_signals(items: DataFrame, as_of: Column, limit: int = 80, newest: int | None = None) -> DataFrame:
+    """Published items -> the top signals: newest day, then verification, relevance, time and slug.
+
+    With ``newest``, only so many of the newest published items count.
+    """
     key = "signal_slug"
     published = items.filter(F.col("publish_decision") == "publish")
-    parts = [verification(source_mix(published, key)), heat(published, key, as_of), representatives(published, key), signal_counts(published, key)]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.join(part, key)
+    published = published if newest is None else published.orderBy(event_time().desc(), "url").limit(newest)
     order = F.create_map(*[F.lit(x) for pair in (("cross-verified", 4), ("official-only", 3), ("independently-observed", 2), ("practitioner-only", 1), ("community-only", 0)) for x in pair])
-    ranked = whole.orderBy(F.to_date("newest_at").desc(), order[F.col("verification")].desc(), F.desc("max_relevance"), F.desc("newest_at"), key)
+    ranked = signals_of(published, key, as_of).orderBy(F.to_date("newest_at").desc(), order[F.col("verification")].desc(), F.desc("max_relevance"), F.desc("newest_at"), key)
     return ranked.limit(limit)
 
 
@@ -117,12 +149,14 @@ def recency_label(as_of: Column, time: Column) -> Column:
     return F.when(hours < 1, "now").when(hours < 24, text(hours, "h")).when(days < 7, text(days, "d")).when(days < 31, text(days / 7, "w")).otherwise(text(days / 30, "mo"))
 
 
-def pulses(items: DataFrame, terms: DataFrame, as_of: Column) -> DataFrame:
+def pulses(items: DataFrame, terms: list[str], as_of: Column) -> DataFrame:
     """Mentions of each term in the last 7 and 30 days, both ends included; terms without any are left out.
 
-    ``terms`` (term) is a small lexicon: it is broadcast by its caller after counting it.
+    The terms are part of the expression: each text is passed over once for each of them, and no join is made. For long lists
+    see ``identity.mentions``.
     """
     seconds = F.unix_seconds(as_of) - F.unix_seconds(event_time())
-    hits = items.select("doc_id", F.lower("text").alias("haystack"), seconds.alias("age")).join(terms, F.col("haystack").contains(F.col("term")))
-    days = lambda n: F.count_if((F.col("age") >= 0) & (F.col("age") <= n * 86400))
-    return hits.groupBy("term").agg(days(7).alias("mentions_7d"), days(30).alias("mentions_30d")).filter(F.col("mentions_30d") > 0)
+    recent = items.select(F.lower("text").alias("haystack"), seconds.alias("age")).filter(F.col("age").between(0, 30 * 86400))
+    found = F.array_compact(F.array(*[F.when(F.contains("haystack", F.lit(t.lower())), F.lit(t)) for t in terms]))
+    hits = recent.select("age", F.explode(found).alias("term"))
+    return hits.groupBy("term").agg(F.count_if(F.col("age") <= 7 * 86400).alias("mentions_7d"), F.count("*").alias("mentions_30d"))

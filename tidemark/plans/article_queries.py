@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions import text as tx
+from tidemark.operators import clustering as cl
 from tidemark.operators import knowledge as kn
 from tidemark.operators import scoring as sc
 from tidemark.operators import signals as sg
+from tidemark.operators import views as vw
 from tidemark.plans.inputs import ART, AS_OF_SQL, articles, as_of, table
 from tidemark.sources import catalog as ct
 
@@ -84,8 +85,7 @@ def e_digest(spark, sf_dir):
 
 
 def e_pulses(spark, sf_dir):
-    terms = spark.createDataFrame([(t,) for t in STRONG + WEAK + NEGATIVE], "term string")
-    return sg.pulses(articles(spark, sf_dir), F.broadcast(terms), as_of())
+    return sg.pulses(articles(spark, sf_dir), STRONG + WEAK + NEGATIVE, as_of())
 
 
 def e_discussion(spark, sf_dir):
@@ -177,13 +177,8 @@ def d_tokens(spark, sf_dir):
 
 
 def d_jaccard(spark, sf_dir):
-    """Pairs of one signal whose titles share tokens at 0.375 or more; pairs meet only by a shared token of the signal."""
-    items = published(spark, sf_dir).select("doc_id", "signal_slug", tx.tokens(F.col("title")).alias("tokens")).filter(F.size("tokens") > 0)
-    tokens = items.select("doc_id", "signal_slug", F.explode("tokens").alias("token"), F.size("tokens").alias("n"))
-    right = tokens.select(F.col("doc_id").alias("other_id"), "signal_slug", "token", F.col("n").alias("m"))
-    shared = tokens.join(right, ["signal_slug", "token"]).filter(F.col("doc_id") < F.col("other_id")).groupBy("doc_id", "other_id", "n", "m").agg(F.count("*").alias("common"))
-    scored = shared.withColumn("similarity", F.round(F.col("common") / (F.col("n") + F.col("m") - F.col("common")), ROUND))
-    return scored.filter(F.col("similarity") >= 0.375).select("doc_id", "other_id", "similarity")
+    """Pairs of one signal whose titles share tokens at 0.375 or more."""
+    return cl.similar_pairs(published(spark, sf_dir).select("doc_id", "signal_slug", tx.tokens(F.col("title")).alias("tokens")), "signal_slug")
 
 
 def d_upsert(spark, sf_dir):
@@ -286,9 +281,8 @@ def d_alias(spark, sf_dir):
 
 def g_top_brands(spark, sf_dir):
     """The largest 13 brands, and all others together."""
-    brands = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "p_brand"))
-    return brands.withColumn("name", F.when(rank <= 13, F.col("p_brand")).otherwise("other")).groupBy("name").agg(F.sum("n").alias("n"))
+    brands = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("n"))
+    return vw.grouped_tail(brands, "name", other="other")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -9,18 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one that is then set."""
+    """The folder named in ``spark.checkpoint.dir``. Only a local master may do without: it has one machine, and gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+def job_root(spark: SparkSession) -> str:
+    """Where this application writes."""
+    return f"{shared_root(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; a retried job never meets an older run's files."""
-    return f"{shared_root(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
+    return f"{job_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all that this application wrote into the shared folder; nothing that was read from there may be used afterwards."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(job_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
