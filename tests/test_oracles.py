@@ -37,9 +37,3 @@ def test_same_rows(spark, duck, name):
     at = [names.index(c) for c in columns]
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in result.fetchall())
 
-
-def test_entry_without_training_data_operators():
-    """The entry module guards its import of the training-data operators, and only that."""
-    import __spark_entry__
-
-    assert "flagship_signals" in __spark_entry__.queries()
