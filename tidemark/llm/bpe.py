@@ -28,7 +28,7 @@ PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N
 
 PAIR_BITS = 20
 BLOCK_CHARS = 4_000_000
-CACHE_PARTS = 500_000
+CACHE_PARTS = 800_000
 CACHED_PART_CHARS = 64
 PORTION_PIECES = 100_000
 
@@ -134,8 +134,8 @@ class Encoder:
     so the part from one space to the next has its own pieces whatever stands around it; parts are looked up whole.
     """
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, cache_parts: int = CACHE_PARTS):
+        self.vocabulary, self.cache_parts = vocabulary, cache_parts
         self.find = regex.compile(PIECE).findall
         self.iterate = regex.compile(PIECE).finditer
         self.open_space = regex.compile(f" (?:[{SPACE}]|$)").search
@@ -151,9 +151,9 @@ class Encoder:
 
     def learn(self, parts: set[str], heads: set[str]) -> None:
         """Bring the ids of " " + part and of each head into the caches; all their distinct pieces share one index."""
-        if len(self.cache) > CACHE_PARTS:
+        if len(self.cache) > self.cache_parts:
             self.cache.clear()
-        if len(self.heads) > CACHE_PARTS // 8:
+        if len(self.heads) > self.cache_parts // 8:
             self.heads.clear()
         fresh = [(self.cache, p, self.find(f" {p}")) for p in parts if p not in self.cache]
         fresh += [(self.heads, p, self.find(p)) for p in heads if p not in self.heads]
@@ -214,30 +214,31 @@ def decode(packed: bytes, token_bytes: list[bytes]) -> bytes:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(vocabulary: Vocabulary) -> Encoder:
+def encoder(vocabulary: Vocabulary, cache_parts: int = CACHE_PARTS) -> Encoder:
     """One encoder for each worker process, so that its cache outlives a task."""
     if vocabulary.digest not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[vocabulary.digest] = Encoder(vocabulary)
+    _ENCODERS[vocabulary.digest].cache_parts = cache_parts
     return _ENCODERS[vocabulary.digest]
 
 
-def encode_documents(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False, cache_parts: int = CACHE_PARTS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Encode each text and decode it again.
 
     Returns one row per input row: the id column, ``n_tokens``, ``ids_sha256`` (of the ids as little-endian
     unsigned 32-bit integers) and ``decoded_sha256`` (of the decoded text in UTF-8); with ``keep_ids`` also ``ids``
     (array<int>). Strings of special tokens inside a text become those tokens. A null text counts as empty and
     has no tokens; a null id stays null; repeated rows each give their row; other columns are not read. The
-    vocabulary file has a fixed size and is broadcast; a task holds one block of about four million characters and a
-    bounded cache, and a longer text streams through in portions.
+    vocabulary file has a fixed size and is broadcast; a task holds one block of about ``block_chars`` characters and a cache
+    of at most ``cache_parts`` parts, which bound its memory, and a longer text streams through in portions.
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(Vocabulary(vocabulary_path))
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(table.value)
+        own = encoder(table.value, cache_parts)
         token_bytes = own.vocabulary.token_bytes
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
@@ -245,7 +246,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_column: str = "do
             start = 0
             while start < len(texts):
                 stop, held = start, 0
-                while stop < len(texts) and (stop == start or held + len(texts[stop] or "") <= BLOCK_CHARS):
+                while stop < len(texts) and (stop == start or held + len(texts[stop] or "") <= block_chars):
                     held += len(texts[stop] or "")
                     stop += 1
                 for parts in own.encode([t or "" for t in texts[start:stop]]):
