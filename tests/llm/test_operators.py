@@ -246,12 +246,57 @@ def test_class_lm(spark, odd, empty):
 
 
 def test_class_lm_is_a_distribution():
-    units = classlm.Units([(b"a", 5), (b"b", 4)], [b"zz"])
-    counts = np.random.default_rng(0).integers(1, 9, (units.size, units.size)).astype(float)
-    model = classlm.Model(units, counts, np.ones(units.size), np.ones(units.size), 3)
+    units = classlm.Units([(b"a", 5), (b"b", 4), (b"cc", 3)], [b"zz"])
+    table = np.random.default_rng(0).integers(1, 9, (classlm.CLASSES + 1, classlm.CLASSES + 1)).astype(float)
+    of = np.array([2, 2, 5, classlm.CLASSES, 2, 5])
+    model = classlm.Model(units, of, np.array([2, 3, 5]), table, np.array([0, 0, 0, 0, 4.0, 6.0]), np.array([0, 0, 0, 0, 2.0, 3.0]), 3)
     assert np.allclose((10**model.transition).sum(axis=1), 1)
-    for c in set(model.of.tolist()):
-        assert np.isclose((10 ** model.emission[model.of == c]).sum(), 1)
+    rest = np.arange(units.own, units.size)
+    for c in range(classlm.CLASSES + 1):
+        mass = (10 ** model.row_emission[model.row_class == c]).sum() + (10 ** model.unit_emission[rest[model.of[rest] == c]]).sum()
+        assert mass == 0 or np.isclose(mass, 1)
+
+
+def test_words_move_where_the_likelihood_is_greatest():
+    """One word's best class, by the likelihood of the whole table with it in every class in turn."""
+    rng = np.random.default_rng(1)
+    table = rng.integers(5, 60, (5, 5)).astype(float)
+    before, after = rng.integers(0, 5, (1, 5)).astype(float), rng.integers(0, 5, (1, 5)).astype(float)
+    without = table.copy()
+    without[1] -= after[0]
+    without[:, 1] -= before[0]
+
+    def likelihood(k):
+        t = without.copy()
+        t[k] += after[0]
+        t[:, k] += before[0]
+        f = classlm.xlogx
+        return f(t).sum() - f(t.sum(axis=0)).sum() - f(t.sum(axis=1)).sum()
+
+    best = max(range(4), key=likelihood)
+    got = int(classlm.best_classes(before, after, np.array([1]), table)[0])
+    assert likelihood(got) >= likelihood(best) - 0.5 and likelihood(got) >= likelihood(1)
+
+
+def test_class_lm_against_counts_by_hand(spark, monkeypatch):
+    """base_score, n_known and N word by word; and classes tell nouns from verbs in held-out texts, though their endings do not."""
+    rng = random.Random(6)
+    nouns, verbs = [f"n{i}x" for i in range(150)], [f"v{i}x" for i in range(150)]
+    pick = lambda words: rng.choice(words[:10] if rng.random() < 0.5 else words)
+    texts = [" ".join(f"the {pick(nouns)} {pick(verbs)}" for _ in range(12)) for _ in range(200)] + ["", None, "unseen\x0bWORDS the"]
+    monkeypatch.setattr(classlm, "UNIT_WORDS", 21)
+    docs = frame(spark, texts)
+    rows = {r.doc_id: r for r in classlm.score_documents(docs).collect()}
+    words = [(t or "").encode().lower().split() for t in texts]
+    training = [w for i, w in enumerate(words) if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = collections.Counter(x for w in training for x in w)
+    total, kinds = sum(counts.values()) + len(training), len(counts) + 1
+    for i, w in enumerate(words):
+        base = sum(np.log10((counts[x] + 1) / (total + kinds + 1)) for x in w) + np.log10((len(training) + 1) / (total + kinds + 1))
+        assert np.isclose(rows[i].base_score, base) and rows[i].n_known == sum(x in counts for x in w) + 1 and rows[i].train_tokens == total and rows[i].n_tokens == len(w) + 1
+    held = [r for r in rows.values() if r.held_out and r.n_tokens > 20]
+    per_token = sum(r.score for r in held) / sum(r.n_tokens for r in held)
+    assert per_token > 0.85 * sum(r.base_score for r in held) / sum(r.n_tokens for r in held)
 
 
 def tree_rows(spark, rows):

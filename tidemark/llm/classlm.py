@@ -1,12 +1,14 @@
 """Class-based n-grams after Brown: P(text) = product of P(class | class before) * P(word | class).
 
-Units of the clustering are the most frequent words, and for all other words their ending (the last two letters'
-bytes), so every word has a class without a table of all words. Exchange clustering moves one unit at a time to the
-class that raises the likelihood of the bigram counts most. A word that shares its unit with others is emitted
-with its smoothed share of the unit's count.
-
-All counts cover all training documents: tasks add up their own words and bigrams, and the sums are shuffled. Only
-the units' bigram table (a fixed number of units, by parameter) and the most frequent words (likewise) leave the
+Exchange clustering assigns words to classes in two steps. First the most frequent words, and for all other words their
+ending (the last two letters' bytes), are exchanged one at a time: each goes to the class that raises the likelihood of
+the bigram counts most. Then every other known word is exchanged by itself: its counts of the classes before and after
+it are summed on the cluster, and it goes to the class of the greatest gain against the table of class bigrams, which
+has a fixed size. Known are the words from a count on that holds ``KNOWN_WORDS`` of them. A word that is not known has the
+class of its ending, and is emitted with its smoothed share of the count that the ending has without the known words.
+
+All counts cover all training documents: tasks add up their own words, bigrams and neighbours, and the sums are
+shuffled. Only the units' bigram table (a fixed number of units, by parameter) and the known words (likewise) leave the
 cluster; rarer words are looked up by a join.
 """
 
@@ -30,6 +32,7 @@ UNIT_ENDINGS = 400
 KNOWN_WORDS = 120_000
 KNOWN_WORD_BYTES = 48
 CLASSES = 40
+NEIGHBOURS = 8_000_000  # neighbours of words that a task holds before it sums them up
 SWEEPS = 6
 PRIOR = 20.0  # weight of the class frequencies in the class transitions
 FLUSH = 300_000
@@ -59,49 +62,68 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Codes(dict):
+    """Row of each known word, or -1 - unit of any other one: its ending's."""
+
+    def __init__(self, row: dict[bytes, int], ending_unit: dict[bytes, int], other: int):
+        super().__init__(row)
+        self.ending_unit, self.other = ending_unit, other
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - self.ending_unit.get(word[-2:], self.other)
+
+
 class Units:
     """The unit of each known word: frequent words are their own, others share that of their ending."""
 
     def __init__(self, known: list[tuple[bytes, int]], endings: list[bytes]):
         own = [word for word, _ in known[:UNIT_WORDS]]
+        self.own = len(own)
         self.end = len(own)  # the end of a text is a unit of its own
         self.ending_unit = {e: len(own) + 2 + i for i, e in enumerate(endings)}
         self.other = len(own) + 1  # endings too rare for a unit
         self.size = len(own) + 2 + len(endings)
-        self.row = {word: i for i, (word, _) in enumerate(known)}
-        self.row_unit = np.array([*range(len(own)), *(self.of_ending(word) for word, _ in known[len(own) :])], np.int64)
+        self.words = [word for word, _ in known]
+        self.row_unit = np.array([*range(len(own)), *(self.ending_unit.get(ending(word), self.other) for word, _ in known[len(own) :])], np.int64)
         self.row_count = np.array([n for _, n in known], np.int64)
 
-    def of_ending(self, word: bytes) -> int:
-        return self.ending_unit.get(ending(word), self.other)
+    def codes(self) -> Codes:
+        return Codes({word: i for i, word in enumerate(self.words)}, self.ending_unit, self.other)
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """The unit of each code."""
+        known = self.row_unit[np.maximum(rows, 0)] if len(self.row_unit) else np.zeros(len(rows), np.int64)
+        return np.where(rows >= 0, known, -1 - rows)
+
 
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        """Row of each word among the known ones, -1 if it is not."""
-        find = self.row.get
-        return np.fromiter((find(w, -1) for w in words), np.int64, len(words))
+def codes_of(words: list[bytes], codes: Codes) -> np.ndarray:
+    return np.array(list(map(codes.__getitem__, words)), np.int64)
 
-    def units(self, words: list[bytes], rows: np.ndarray) -> np.ndarray:
-        """Units of a text with its end before and after it."""
-        found = np.full(len(words) + 2, self.end, np.int64)
-        found[1:-1] = self.row_unit[rows] if len(self.row_unit) else self.other
-        for i in np.flatnonzero(rows < 0).tolist():
-            found[i + 1] = self.of_ending(words[i])
-        return found
 
+def framed(values: np.ndarray, end: int) -> np.ndarray:
+    """The values of a text with its end before and after it."""
+    return np.concatenate([[end], values, [end]])
 
-def count_bigrams(docs: DataFrame, units: Units) -> DataFrame:
-    """(pair, n): unit bigrams over all texts, as first * size + second."""
-    shared = docs.sparkSession.sparkContext.broadcast(units)
+
+def count_bigrams(docs: DataFrame, units: Units, row_of: np.ndarray, unit_of: np.ndarray) -> np.ndarray:
+    """How often each value follows each other one over all texts, given the value of every known word and of every unit.
+
+    A task holds one table of counts; what is shuffled and reaches the driver is at most one row for each of its cells.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((units, row_of, unit_of))
+    size = int(max(row_of.max(initial=0), unit_of.max(initial=0))) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = shared.value
-        counts = np.zeros(units.size * units.size, np.int64)
+        units, row_of, unit_of = shared.value
+        codes = units.codes()
+        row_of = row_of if len(row_of) else np.zeros(1, np.int64)
+        counts = np.zeros(size * size, np.int64)
         for batch in batches:
             pairs, held = [], 0
             for text in utf8_list(batch.column(0)):
-                words = (text or b"").lower().split()
-                found = units.units(words, units.rows(words))
-                pairs.append(found[:-1] * units.size + found[1:])
+                rows = codes_of((text or b"").lower().split(), codes)
+                found = framed(np.where(rows >= 0, row_of[np.maximum(rows, 0)], unit_of[np.maximum(-1 - rows, 0)]), unit_of[units.end])
+                pairs.append(found[:-1] * size + found[1:])
                 held += len(found)
                 if held > 2_000_000:
                     counts += np.bincount(np.concatenate(pairs), minlength=len(counts))
@@ -113,7 +135,117 @@ def count_bigrams(docs: DataFrame, units: Units) -> DataFrame:
             part = at[first : first + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], ["pair", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(size * size)
+    table[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return table.reshape(size, size)
+
+
+def count_neighbours(docs: DataFrame, units: Units, of: np.ndarray) -> DataFrame:
+    """(row, cells, counts): for each known word without a unit of its own, the classes before (cell = class) and after it (class + classes + 1).
+
+    A task sends one row for a word, not one for each of its cells.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((units, of))
+    width = 2 * (CLASSES + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, of = shared.value
+        codes = units.codes()
+        found, held = [], 0
+        for batch in batches:
+            for text in utf8_list(batch.column(0)):
+                rows = codes_of((text or b"").lower().split(), codes)
+                classes = of[framed(units.of(rows), units.end)]
+                at = np.flatnonzero(rows >= units.own)
+                base = (rows[at] - units.own) * width
+                found += [base + classes[at], base + classes[at + 2] + CLASSES + 1]
+                held += 2 * len(at)
+                if held > NEIGHBOURS:
+                    yield from summed(np.concatenate(found), units.own)
+                    found, held = [], 0
+        if found:
+            yield from summed(np.concatenate(found), units.own)
+
+    def summed(cells: np.ndarray, own: int) -> Iterator[pa.RecordBatch]:
+        values, counts = np.unique(cells, return_counts=True)
+        rows, starts = np.unique(values // width, return_index=True)
+        ends = np.append(starts, len(values))
+        for first in range(0, len(rows), 50_000):
+            last = min(len(rows), first + 50_000)
+            offsets = pa.array(ends[first : last + 1] - ends[first], pa.int32())
+            inside = slice(ends[first], ends[last])
+            columns = [
+                pa.array(rows[first:last] + own, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array((values[inside] % width).astype(np.int16), pa.int16())),
+                pa.ListArray.from_arrays(offsets, pa.array(counts[inside].astype(np.int32), pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "cells", "counts"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "row long, cells array<short>, counts array<int>")
+
+
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def best_classes(before: np.ndarray, after: np.ndarray, home: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of the greatest gain of each word (rows of ``before`` and ``after``: its counts by neighbouring class).
+
+    Every word is judged against the same table, as if only it moved; the end's class takes none. Ties go to its home.
+    """
+    classes = len(table) - 1
+    left, right = table.sum(axis=0), table.sum(axis=1)  # of each class as second and as first
+    gains = np.empty((len(home), classes))
+    for k in range(classes):
+        at_home = (home == k)[:, None]
+        row, column = table[k] - at_home * after, table[:, k] - at_home * before
+        gain = (xlogx(row + after) - xlogx(row)).sum(axis=1) + (xlogx(column + before) - xlogx(column)).sum(axis=1)
+        n_before, n_after = before.sum(axis=1), after.sum(axis=1)
+        l, r = left[k] - at_home[:, 0] * n_before, right[k] - at_home[:, 0] * n_after
+        gains[:, k] = gain - (xlogx(l + n_before) - xlogx(l)) - (xlogx(r + n_after) - xlogx(r))
+    best = gains.argmax(axis=1)
+    stay = gains[np.arange(len(home)), best] <= gains[np.arange(len(home)), home] + 1e-9
+    return np.where(stay, home, best)
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What the class bigrams add to the log likelihood of the texts."""
+    return float(xlogx(table).sum() - xlogx(table.sum(axis=0)).sum() - xlogx(table.sum(axis=1)).sum())
+
+
+def exchanged_words(docs: DataFrame, units: Units, of: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each known word, class bigrams): every known word without a unit of its own is moved once.
+
+    Words are dealt out by row, so a task sums up and moves its own ones; one row for each known word reaches the driver.
+    All move against the same table. As that may overshoot, the bigrams are counted anew, and the moves stand only if they
+    raise the likelihood.
+    """
+    home = of[units.row_unit] if len(units.row_unit) else np.zeros(0, np.int64)
+    if len(home) <= units.own:
+        return home, table
+    shared = docs.sparkSession.sparkContext.broadcast((home, table))
+    width = CLASSES + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, table = shared.value
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row, cells, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if (own := sums.get(row)) is None:
+                    own = sums[row] = np.zeros(2 * width, np.int64)
+                own[cells.values.to_numpy()] += counts.values.to_numpy()
+        rows = list(sums)
+        for first in range(0, len(rows), 2000):
+            some = rows[first : first + 2000]
+            held = np.stack([sums[r] for r in some]).astype(float)
+            best = best_classes(held[:, :width], held[:, width:], home[some], table)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(best, pa.int64())], ["row", "class"])
+
+    found = count_neighbours(docs, units, of).repartition("row").mapInArrow(run, "row long, class long").toArrow()
+    moved = home.copy()
+    moved[found["row"].to_numpy()] = found["class"].to_numpy()
+    after = count_bigrams(docs, units, moved, of)
+    return (moved, after) if likelihood(after) > likelihood(table) else (home, table)
 
 
 def exchange(bigrams: np.ndarray, fixed: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -135,9 +267,7 @@ def exchange(bigrams: np.ndarray, fixed: int, classes: int = CLASSES, sweeps: in
     table = member.T @ after
     before_class, after_class = table.sum(axis=0), table.sum(axis=1)
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1.0))
-
+    f = xlogx
     for _ in range(sweeps):
         moves = 0
         for u in order:
@@ -181,38 +311,38 @@ def exchange(bigrams: np.ndarray, fixed: int, classes: int = CLASSES, sweeps: in
 
 
 class Model:
-    """Log10 class transitions and unit emissions, and what is needed for words that share a unit."""
-
-    def __init__(self, units: Units, bigrams: np.ndarray, unit_words: np.ndarray, unit_types: np.ndarray, texts: int):
-        self.units = units
-        self.of = exchange(bigrams, units.end)
-        member = np.zeros((units.size, CLASSES + 1))
-        member[np.arange(units.size), self.of] = 1
-        table = member.T @ bigrams @ member
+    """Log10 class transitions and emissions: of known words, of the end, and of what is left of each ending."""
+
+    def __init__(self, units: Units, of: np.ndarray, row_class: np.ndarray, table: np.ndarray, rest_words: np.ndarray, rest_types: np.ndarray, texts: int):
+        self.units, self.row_class, self.texts = units, row_class, texts
+        self.of = of.copy()
+        self.of[: units.own] = row_class[: units.own]
         share = (table.sum(axis=0) + 1) / (table.sum() + CLASSES + 1)
         self.transition = np.log10((table + PRIOR * share) / (table.sum(axis=1, keepdims=True) + PRIOR))
-        n = bigrams.sum(axis=0) + 0.5  # half a count: a unit that training lacks still has some probability
-        self.emission = np.log10(n / (member.T @ n)[self.of])
-        # a word of a shared unit: (count + 1) / (words of the unit + distinct ones + 1 for all unseen)
-        self.shared = np.array([u > units.end for u in range(units.size)])
-        self.share_log = np.where(self.shared, np.log10(unit_words + unit_types + 1), 0.0)
-        self.train_tokens = int(unit_words.sum()) + texts
-        self.types = int(unit_types.sum()) + (texts > 0)
-        self.texts = texts
+        shared = np.arange(units.size) > units.end
+        mass = np.where(shared, rest_words, 0.0) + 0.5  # half a count: what training lacks still has some probability
+        mass[units.end] = texts + 0.5
+        of_class = np.bincount(row_class, units.row_count + 0.5, minlength=CLASSES + 1) + np.bincount(self.of[units.own :], mass[units.own :], minlength=CLASSES + 1)
+        self.row_emission = np.log10((units.row_count + 0.5) / of_class[row_class])
+        self.unit_emission = np.log10(mass / of_class[self.of])
+        # a word of an ending's rest: (count + 1) / (words of the rest + distinct ones + 1 for all unseen)
+        self.share_log = np.where(shared, np.log10(np.maximum(rest_words + rest_types, 0) + 1), 0.0)
+        self.train_tokens = int(units.row_count.sum() + rest_words.sum()) + texts
+        self.types = len(units.row_count) + int(rest_types.sum()) + (texts > 0)
         self.row_log = np.log10(units.row_count + 1)
 
-    def score(self, words: list[bytes]) -> tuple[float, float, int, Counter]:
+    def score(self, words: list[bytes], codes: Codes) -> tuple[float, float, int, Counter]:
         """(score, base score) without the counts of rare words, known tokens so far, the rare words."""
-        rows = self.units.rows(words)
-        units = self.units.units(words, rows)
-        classes = self.of[units]
-        score = self.transition[classes[:-1], classes[1:]].sum() + self.emission[units[1:]].sum() - self.share_log[units[1:]].sum()
+        rows = codes_of(words, codes)
         known = rows >= 0
-        logs = self.row_log[rows[known]]
-        shared = self.shared[self.units.row_unit[rows[known]]]
-        base = logs.sum() + math.log10(self.texts + 1) - (len(words) + 1) * math.log10(self.train_tokens + self.types + 1)
+        at, rest = rows[known], -1 - rows[~known]
+        classes = np.empty(len(rows), np.int64)
+        classes[known], classes[~known] = self.row_class[at], self.of[rest]
+        path = framed(classes, self.of[self.units.end])
+        score = self.transition[path[:-1], path[1:]].sum() + self.row_emission[at].sum() + (self.unit_emission[rest] - self.share_log[rest]).sum() + self.unit_emission[self.units.end]
+        base = self.row_log[at].sum() + math.log10(self.texts + 1) - (len(words) + 1) * math.log10(self.train_tokens + self.types + 1)
         rare = Counter([words[i] for i in np.flatnonzero(~known).tolist()])
-        return float(score + logs[shared].sum()), float(base), int(known.sum()) + (self.texts > 0), rare
+        return float(score), float(base), len(at) + (self.texts > 0), rare
 
 
 def fit(training: DataFrame, counts: DataFrame) -> Model:
@@ -225,19 +355,19 @@ def fit(training: DataFrame, counts: DataFrame) -> Model:
     rest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     units = Units(known, [e for e, _, _ in top])
     n, types = np.zeros(units.size), np.zeros(units.size)
-    for i, (_, count) in enumerate(known[:UNIT_WORDS]):
-        n[i], types[i] = count, 1
     for e, count, distinct in top:
         n[units.ending_unit[e]], types[units.ending_unit[e]] = count, distinct
-    for i, word in enumerate(w for w, _ in known[:UNIT_WORDS]):  # these words are not emitted through their ending
-        if (u := units.ending_unit.get(ending(word))) is not None:
-            n[u] -= known[i][1]
-            types[u] -= 1
     n[units.other], types[units.other] = rest[0] - n.sum(), rest[1] - types.sum()
-    table = np.zeros(units.size * units.size)
-    found = count_bigrams(training, units).toArrow()  # at most one row for each cell of the table
-    table[found["pair"].to_numpy()] = found["n"].to_numpy()
-    return Model(units, table.reshape(units.size, units.size), n, types, training.count())
+    for word, count in known:  # these words are not emitted through their ending
+        u = units.ending_unit.get(ending(word), units.other)
+        n[u] -= count
+        types[u] -= 1
+    bigrams = count_bigrams(training, units, units.row_unit, np.arange(units.size))
+    of = exchange(bigrams, units.end)
+    member = np.zeros((units.size, CLASSES + 1))
+    member[np.arange(units.size), of] = 1
+    row_class, table = exchanged_words(training, units, of, member.T @ bigrams @ member)
+    return Model(units, of, row_class, table, n, types, training.count())
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -256,11 +386,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        codes = model.units.codes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8_list(batch.column(1)), strict=True):
                 words = (text or b"").lower().split()
-                score, base, known, rare = model.score(words)
+                score, base, known, rare = model.score(words, codes)
                 key = xxhash.xxh64_intdigest(text or b"") >> 1
                 rows.append((doc_id, key, None, 1, len(words) + 1, known, base, score))
                 rows += [(doc_id, key, word, n, 0, 0, 0.0, 0.0) for word, n in rare.items()]
