@@ -62,12 +62,13 @@ def fair_order(items: DataFrame, source: str, position: str) -> DataFrame:
 
 
 def guards(items: DataFrame) -> DataFrame:
-    """Caps evidence by layer and recomputes the editorial score."""
+    """Caps evidence by layer and recomputes the editorial score; a community's item is a mere spark, if it has a stage."""
     cap = F.when(F.col("source_layer") == "community", 55).when(F.col("source_layer") == "practitioner", 80).otherwise(100)
     clamp = lambda c: F.greatest(F.lit(0), F.least(F.lit(100), F.round(c).cast("int")))
     relevance, novelty = clamp(F.col("relevance_score")), clamp(F.col("novelty_score"))
     evidence = F.least(cap, clamp(F.col("evidence_score")))
-    return items.withColumns({"guarded_evidence": evidence, "guarded_editorial": clamp(relevance * 0.5 + evidence * 0.3 + novelty * 0.2)})
+    stage = {"stage": F.when(F.col("source_layer") == "community", "Spark").otherwise(F.col("stage"))} if "stage" in items.columns else {}
+    return items.withColumns(stage | {"guarded_evidence": evidence, "guarded_editorial": clamp(relevance * 0.5 + evidence * 0.3 + novelty * 0.2)})
 
 
 def blended_relevance(rule: Column, model: Column, exploring: Column) -> Column:

@@ -186,3 +186,23 @@ def backfill_queue(items: DataFrame, attempts: DataFrame, schema_version: int, a
 def listed_in_order(items: DataFrame, urls: DataFrame) -> DataFrame:
     """The items of an explicit list (url, place), in its order, each once."""
     return urls.groupBy("url").agg(F.min("place").alias("place")).join(items, "url").orderBy("place")
+
+
+def rule_analysis(items: DataFrame, rules: list[tuple[str, list[str]]], default: str, topics: list[tuple[str, str]], stages: list[tuple[str, str]], words: list[str], migration: str) -> DataFrame:
+    """What the rules alone say about items: concept, topic, stage, tags, scores, decision and event key.
+
+    Reads doc_id, title, text, source_layer and relevance_score. Topics and stages are (name, pattern) in the order they are
+    tried, over the title and the first 500 characters; a ``migration`` topic is always cooling.
+    """
+    headline = F.concat_ws(" ", "title", F.substring("text", 1, 500))
+    rows = items.withColumns({"concept": best_rule(F.col("text"), rules, default), "topic": first_case(headline, topics, TOPICS[2])})
+    rows = rows.withColumn("stage", F.when(F.col("topic") == migration, "Cooling").otherwise(first_case(headline, stages, "Spark")))
+    bounded = lambda c: F.greatest(F.lit(0), F.least(F.lit(100), F.round(c).cast("int")))
+    evidence = F.when(F.col("source_layer") == "official", 90).when(F.col("source_layer") == "practitioner", 70).otherwise(50)
+    novelty = F.when(F.col("stage") == "Spark", 78).when(F.col("stage") == "Emerging", 70).when(F.col("stage") == "Cooling", 35).otherwise(55)
+    rows = rows.withColumns({"relevance": bounded(F.col("relevance_score") * 12), "evidence": evidence, "novelty": novelty})
+    editorial = F.floor((F.col("relevance") * 5 + F.col("evidence") * 3 + F.col("novelty") * 2 + 5) / 10)  # rounded half up, in whole numbers
+    decision = F.when(F.col("relevance_score") >= 5, "publish").when(F.col("relevance_score") >= 3, "watch").otherwise("reject")
+    return rows.select(
+        "doc_id", "concept", "topic", "stage", tags(F.col("text"), F.col("concept"), words).alias("tags"), "relevance", "evidence", "novelty", editorial.cast("int").alias("editorial"), decision.alias("decision"), event_key(F.col("concept"), F.col("title")).alias("event_key"),
+    )

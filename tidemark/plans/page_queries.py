@@ -87,6 +87,15 @@ def b_dispatch(spark, sf_dir):
     return found.select("source_id", "route").unionByName(unread).groupBy("route").agg(F.count("*").alias("n"), F.count_distinct("source_id").alias("sources"))
 
 
+ANCHORED = r'<a class="k" href="/\1?utm_x=1&amp;k=2"><b>\1</b> \2</a>'
+
+
+def b_page_links(spark, sf_dir):
+    """Links of pages whose paragraphs begin with one."""
+    html = F.regexp_replace("html", r"<p>(\w{3,}) ([^<]{8,60})", ANCHORED.replace("\\", "$"))
+    return pages.page_links(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))).drop("pos")
+
+
 TO_HEADING, HEADED = r"<p>([^<]{12,40})", r'<h3 id="">\1</h3><p>\1'
 
 
@@ -151,7 +160,7 @@ def b_public_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.canonical_url(url).alias("url"))
 
 
-QUERIES = {f.__name__: f for f in (b_feed, b_bibliography, b_reviews, b_dispatch, b_sections, b_changelog, b_enrich, b_clean, b_dates, b_public_urls)}
+QUERIES = {f.__name__: f for f in (b_page_links, b_feed, b_bibliography, b_reviews, b_dispatch, b_sections, b_changelog, b_enrich, b_clean, b_dates, b_public_urls)}
 
 
 def _clean(html: str, most: int) -> str:
@@ -223,6 +232,13 @@ SELECT page_id, {_find('said')} AS in_text, {_in_url('url')} AS in_url FROM s"""
   (['?id=1', '', '', '?a=1&a=2', '?q=%20z'])[page_id % 5 + 1] AS tail FROM pages)
 SELECT page_id, CASE WHEN host = '' THEN CASE WHEN starts_with(bare, 'https://') THEN bare || CASE WHEN page_id % 5 = 4 THEN '/p' ELSE '' END || tail END ELSE 'https://' || host || CASE WHEN page_id % 5 = 4 THEN '/p' ELSE '/' END || tail END AS url FROM h""",
 }
+BARE = "html"
+for _kind in (*tx.UNREAD, "header", "aside"):
+    BARE = f"regexp_replace({BARE}, '(?is)<{_kind}\\b[^>]*>.*?</{_kind}\\s*>', ' ', 'g')"
+ORACLES["b_page_links"] = rf"""WITH h AS (SELECT page_id, url, regexp_replace(html, '<p>(\w{{3,}}) ([^<]{{8,60}})', '{ANCHORED}', 'g') AS html FROM pages), b AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, {BARE} AS html FROM h WHERE starts_with(url, 'https')),
+a AS (SELECT page_id, base, unnest(regexp_extract_all(html, '(?s)<a class="k" href="/.*?</a>', 0)) AS x, generate_subscripts(regexp_extract_all(html, '(?s)<a class="k" href="/.*?</a>', 0), 1) AS pos FROM b),
+t AS (SELECT page_id, pos, base || '/' || regexp_extract(x, 'href="/(\w+)', 1) || '?amp;k=2' AS url, {_clean("x", 260)} AS title FROM a), f AS (SELECT * FROM t WHERE length(title) BETWEEN 10 AND 240 AND NOT regexp_matches(title, '{pages.LINK_WORDS}')),
+g AS (SELECT page_id, url, arg_min(title, pos) AS title, min(pos) AS pos FROM f GROUP BY ALL) SELECT page_id, title, url FROM g QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 12"""
 ORACLES["b_dispatch"] = f"""WITH f AS ({ORACLES['b_feed']}), p AS ({ORACLES['b_bibliography']}), n AS ({ORACLES['b_reviews']}),
 x AS (SELECT 'feed' AS route, source_id FROM f UNION ALL SELECT 'dblp-publications', source_id FROM p UNION ALL SELECT 'openreview-notes', source_id FROM n UNION ALL SELECT 'html', url FROM pages
   UNION ALL SELECT DISTINCT 'unsupported', source || '-' || (doc_id // 100) FROM documents) SELECT route, count(*) AS n, count(DISTINCT source_id) AS sources FROM x GROUP BY 1"""

@@ -187,8 +187,16 @@ def c_listed(spark, sf_dir):
     return se.listed_in_order(items, asked.unionByName(asked.withColumn("place", F.col("place") + 5))).select("doc_id", "place")
 
 
+TOPIC_CASES, STAGE_CASES = [("迁移", "(?i)eaux"), ("产品", "ndnt"), ("概念", "(?i)^the")], [("Validated", "edst"), ("Emerging", "ering|ung")]
+
+
+def c_rules_whole(spark, sf_dir):
+    done = se.rule_analysis(articles(spark, sf_dir), RULES, "none", TOPIC_CASES, STAGE_CASES, WORDS, "迁移")
+    return done.withColumn("tags", F.array_join("tags", ","))
+
+
 QUERIES = {f.__name__: f for f in (
-    c_mechanism, c_relevance_whole, c_new_urls, c_concept, c_cases, c_tag_list, c_fallbacks, c_event_key, c_analysis_contract, c_script_gate, c_field_gate, c_backlog, c_backlog_gate, c_discovered,
+    c_rules_whole, c_mechanism, c_relevance_whole, c_new_urls, c_concept, c_cases, c_tag_list, c_fallbacks, c_event_key, c_analysis_contract, c_script_gate, c_field_gate, c_backlog, c_backlog_gate, c_discovered,
     c_demoted, c_watched, c_retry_queue, c_budget, c_backfill, c_pending, c_input_contract, c_listed,
 )}
 
@@ -271,4 +279,10 @@ SELECT url, 'new' AS kind, place FROM n UNION ALL SELECT url, 'retry', place FRO
     "c_pending": f"WITH {ART}, {WORK} SELECT publish_decision, count(*) AS pending FROM s WHERE NOT done GROUP BY 1",
     "c_input_contract": f"WITH {ART} SELECT doc_id, sha256({CONTRACT}) AS contract_hash FROM art",
     "c_listed": "SELECT doc_id, 1000000 - doc_id AS place FROM documents WHERE doc_id % 6 = 0",
+    "c_rules_whole": rf"""WITH {ART}, h AS (SELECT *, concat_ws(' ', title, substr(text, 1, 500)) AS head, {HITS[0]} AS a, {HITS[1]} AS b, {HITS[2]} AS c FROM art),
+t AS (SELECT *, CASE WHEN greatest(a, b, c) = 0 THEN 'none' WHEN a >= b AND a >= c THEN 'first' WHEN b >= c THEN 'second' ELSE 'third' END AS concept, CASE WHEN regexp_matches(head, '(?i)eaux') THEN '迁移' WHEN contains(head, 'ndnt') THEN '产品' WHEN regexp_matches(head, '(?i)^the') THEN '概念' ELSE '工程' END AS topic FROM h),
+s AS (SELECT *, CASE WHEN topic = '迁移' THEN 'Cooling' WHEN contains(head, 'edst') THEN 'Validated' WHEN regexp_matches(head, 'ering|ung') THEN 'Emerging' ELSE 'Spark' END AS stage, least(100, round(relevance_score * 12))::INT AS relevance, CASE source_layer WHEN 'official' THEN 90 WHEN 'practitioner' THEN 70 ELSE 50 END AS evidence FROM t),
+n AS (SELECT *, CASE stage WHEN 'Spark' THEN 78 WHEN 'Emerging' THEN 70 WHEN 'Cooling' THEN 35 ELSE 55 END AS novelty, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower({_flat('title', 180)}), '\bv?\d+(?:\.\d+){{1,3}}\b', ' ', 'g'), '[^a-z0-9\x{{4e00}}-\x{{9fff}}]+', ' ', 'g'), ' '), lambda w: w <> '')[1:10], '-') AS key FROM s)
+SELECT doc_id, concept, topic, stage, array_to_string(list_filter([concept, {", ".join(f"CASE WHEN contains(lower(text), '{w.removesuffix('s') if w.endswith('s') else w}') THEN '{w}' END" for w in WORDS)}], lambda x: x IS NOT NULL)[1:8], ',') AS tags, relevance, evidence, novelty,
+  floor((relevance * 5 + evidence * 3 + novelty * 2 + 5) / 10)::INT AS editorial, CASE WHEN relevance_score >= 5 THEN 'publish' WHEN relevance_score >= 3 THEN 'watch' ELSE 'reject' END AS decision, concept || ':' || CASE WHEN key <> '' THEN key ELSE substr(sha256(title), 1, 16) END AS event_key FROM n""",
 }

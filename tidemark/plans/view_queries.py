@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import models as md
 from tidemark.operators import signals as sg
 from tidemark.operators import views as vw
 from tidemark.plans.article_queries import AGE_S, EVENT, PUB, REP, WEIGHT, published
@@ -203,8 +204,29 @@ def g_tail(spark, sf_dir):
     return vw.grouped_tail(counts, "name")
 
 
+def g_models(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        F.when(k % 23 == 0, " ").otherwise(F.concat(F.lit(" m"), k % 1500)).alias("id"), k.alias("place"), F.concat("p_name", F.lit(" ")).alias("name"), F.col("p_brand").alias("provider"), _pick(k, "#AABBCC", "red", None).alias("colour"), (k % 17 == 0).alias("deprecated"),
+        _pick(k, "2024-01-02", "Jan 2", None).alias("released"), F.when(k % 19 == 0, "n/a").otherwise((k % 89 / 7).cast("string")).alias("coding"), F.when(k % 29 == 0, "NaN").otherwise((k % 83).cast("string")).alias("intelligence"), (k % 31 / 8).cast("string").alias("cost"),
+    )
+    return md.normalised(rows, 5)
+
+
+def g_effort_families(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_brand").alias("provider"), F.concat(F.initcap("p_name"), _pick(k, " (High)", " low", "", " (thinking, 32k)", " Max Pro")).alias("name"), (k % 37).alias("cost"))
+    return md.families(rows).withColumn("ids", F.array_join("ids", ","))
+
+
+def h_status(spark, sf_dir):
+    """What the status page shows: the snapshot's figures and when its runs were."""
+    status = e_snapshot_status(spark, sf_dir)
+    return status.select(F.when(F.col("stale"), "stale").otherwise("live").alias("state"), "run_status", "last_good", "items", "published")
+
+
 QUERIES = {f.__name__: f for f in (
-    e_inferred, e_evidence, e_all_sources, e_weekly, e_formal, e_discussion_pulses, e_stream, e_alias_pulses, e_relations, e_snapshot_status, e_public, e_read_back, h_new_today, h_revised_today, h_warming_top, h_contested, h_learning, h_concepts,
+    g_models, g_effort_families, h_status, e_inferred, e_evidence, e_all_sources, e_weekly, e_formal, e_discussion_pulses, e_stream, e_alias_pulses, e_relations, e_snapshot_status, e_public, e_read_back, h_new_today, h_revised_today, h_warming_top, h_contested, h_learning, h_concepts,
     h_signal_list, h_detail, h_claim_ledger, h_citations, h_graph, g_scaled, g_diverse, g_tail,
 )}
 
@@ -257,4 +279,8 @@ SELECT id, round(greatest(0.0, least(1.0, (ln(cost) - ln(c0)) / (ln(c1) - ln(c0)
     "g_diverse": f"""WITH {MODELS}, p AS (SELECT *, round(coding * 0.58 + intelligence * 0.34 + greatest(0, -log10(greatest(cost, 0.001))) * 3.2, 9)::DOUBLE AS priority FROM mo), r AS (SELECT *, row_number() OVER (ORDER BY priority DESC, coding DESC, intelligence DESC, cost, id) AS n, row_number() OVER (PARTITION BY provider ORDER BY priority DESC, coding DESC, intelligence DESC, cost, id) AS own FROM p),
 l AS (SELECT * FROM r WHERE own = 1 ORDER BY n LIMIT 10), o AS (SELECT * FROM r WHERE id NOT IN (SELECT id FROM l) ORDER BY n LIMIT greatest(0, 24 - (SELECT count(*) FROM l))) SELECT id, provider, priority FROM l UNION ALL SELECT id, provider, priority FROM o""",
     "g_tail": """WITH b AS (SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, name) AS k FROM b) SELECT CASE WHEN k <= 13 THEN name ELSE 'Other' END AS name, sum(n)::BIGINT AS n FROM r GROUP BY 1""",
+    "g_models": """WITH p AS (SELECT *, p_partkey AS k FROM part WHERE p_partkey % 23 <> 0 AND p_partkey % 17 <> 0 AND p_partkey % 19 <> 0 AND p_partkey % 29 <> 0 AND p_partkey % 31 <> 0), f AS (SELECT 'm' || (k % 1500) AS id, arg_min(p_name, k) AS name, arg_min(p_brand, k) AS provider, min(k) AS k FROM p GROUP BY 1)
+SELECT id, name, provider, regexp_replace(lower(provider), '[^a-z0-9]+', '-', 'g') AS provider_slug, CASE WHEN k % 3 = 0 THEN '#aabbcc' END AS colour, CASE WHEN k % 3 = 0 THEN '2024-01-02' END AS released, round(k % 89 / 7, 2)::DOUBLE AS coding, (k % 83)::DOUBLE AS intelligence, round(k % 31 / 8, 6)::DOUBLE AS cost FROM f""",
+    "g_effort_families": """WITH m AS (SELECT p_partkey AS id, p_brand AS provider, lower(p_name) || CASE WHEN p_partkey % 5 = 4 THEN ' max pro' ELSE '' END AS family, p_partkey % 37 AS cost FROM part) SELECT provider, family, count(*) AS members, string_agg(id, ',' ORDER BY cost, id) AS ids FROM m GROUP BY ALL HAVING count(*) > 1""",
 }
+ORACLES["h_status"] = f"SELECT CASE WHEN stale THEN 'stale' ELSE 'live' END AS state, run_status, last_good, items, published FROM ({ORACLES['e_snapshot_status']})"

@@ -82,3 +82,29 @@ def enriched(items: DataFrame, pages: DataFrame) -> DataFrame:
         F.when(F.col("whole"), dated(F.col("published_at"), html, F.col("url"), F.col("text"))).otherwise(F.col("published_at")).alias("published_at"),
         F.when(F.col("degraded"), "degraded").otherwise("success").alias("status"), F.when(F.col("whole") & (F.col("text") != ""), "full-text").otherwise("excerpt-only").alias("completeness"),
     )
+
+
+def page_links(pages: DataFrame, patterns: list[str] | None = None, most: int = MOST_ITEMS) -> DataFrame:
+    """(page_id, pos, title, url) of a page's anchors: titles of 10 to 240 characters, on the page's host or below it, each url once.
+
+    Reads page_id, url and html. Navigation, headers, footers, forms and asides do not count, nor do titles of legal or
+    account pages. With ``patterns`` an address must match one of them. The first ``most`` are kept.
+    """
+    bare = F.col("html")
+    for kind in (*tx.UNREAD, "header", "aside"):
+        bare = F.regexp_replace(bare, rf"(?is)<{kind}\b[^>]*>.*?</{kind}\s*>", " ")
+    page_host = F.regexp_replace(F.lower(F.regexp_extract("url", r"(?i)^https?://([^/?#:]+)", 1)), r"^www\.", "")
+    base = F.regexp_extract("url", r"(?i)^(https?://[^/?#]+)", 1)
+    rows = pages.select("page_id", page_host.alias("page_host"), base.alias("base"), F.posexplode(F.split(bare, r"(?i)<a\b")).alias("pos", "part")).filter("pos > 0")
+    href = F.regexp_extract("part", r"""(?is)^[^>]*?\bhref=["']([^"']*)["']""", 1)
+    title = tx.clean_html(F.regexp_extract("part", r"(?is)^[^>]*>(.*?)</a\s*>", 1), 260)
+    url = tx.canonical_url(F.when(F.startswith(href, F.lit("//")), F.concat(F.lit("https:"), href)).when(F.startswith(href, F.lit("/")), F.concat("base", href)).otherwise(href))
+    found = rows.select("page_id", "pos", "page_host", title.alias("title"), url.alias("url"))
+    host = F.regexp_replace(F.regexp_replace(tx.host_of(F.col("url")), r"^www\.", ""), r":\d+$", "")
+    fit = found.filter(F.col("url").isNotNull() & F.length("title").between(10, 240) & ~F.regexp_like("title", F.lit(LINK_WORDS)) & ((host == F.col("page_host")) | F.endswith(host, F.concat(F.lit("."), "page_host"))))
+    for_patterns = F.lit(patterns is None)
+    for pattern in patterns or []:
+        for_patterns |= F.regexp_like("url", F.lit(f"(?i){pattern}"))
+    once = fit.filter(for_patterns).groupBy("page_id", "url").agg(F.min(F.struct("pos", "title")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("first.pos"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= most).select("page_id", F.col("first.pos").alias("pos"), F.col("first.title").alias("title"), "url")
