@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import bpe, classlm, exact, langid, lines, mixing, quality, queries, shards, simhash, simhash_wide
-from tidemark.storage import materialize
 
 SF = "/root/testdata/sf0.001"
 CLASHING = ["_doc", "_hash", "_lines", "_quality", "_kept", "_start", "_n", "_rn", "_g", "own_0", "own_1", "row", "nth", "bucket", "block", "of", "id", "h1", "gone", "node", "n", "key", "word", "lang_2"]
@@ -36,7 +35,7 @@ def odd(spark):
 
 OPERATORS = {
     "bpe": lambda d: bpe.encode_documents(d, queries.vocabulary_path()), "shards": lambda d: shards.shard_documents(d, slots=64), "class_lm": classlm.score_documents,
-    "mixing": mixing.mix, "mixed_order": mixing.mixed_order, "simhash": simhash.near_duplicates, "wide": simhash_wide.near_duplicate_groups, "keep_one": simhash_wide.keep_one_of_each,
+    "mixing": mixing.mix, "mixed_order": mixing.mixed_order, "simhash": simhash.near_duplicates, "keep_one": simhash_wide.keep_one_of_each,
     "quality": quality.verdicts, "keep_good": quality.keep_good, "language": langid.held_out_languages, "exact": exact.exact_duplicates, "lines": lines.deduplicate_lines,
 }
 
@@ -49,8 +48,6 @@ def test_odd_rows_and_clashing_columns(odd, name):
         assert set(out.columns) == set(odd.columns) and 0 < len(rows) < odd.count()
     else:
         ids = [r[0] for r in odd.select("doc_id").collect()]
-        if name == "wide":
-            ids = [i for i in ids if i is not None]
         assert collections.Counter(r.doc_id for r in rows) == collections.Counter(ids)
     if name in ("mixing", "mixed_order", "keep_good", "keep_one", "lines"):
         assert all(r[c] == c for r in rows for c in CLASHING)
@@ -176,26 +173,38 @@ def test_query_gives_what_its_sql_gives(spark, duck, name):
 
 
 def test_the_pipeline_as_a_whole(spark):
-    """Every stage by a plain reading of it, on all documents."""
+    """run() against a plain reading of its stages, over all documents."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.collect()}
     good = {r.doc_id for r in quality.verdicts(docs).collect() if r.kept}
-    stages = dict(corpus_pipeline.STAGES)
-    left = materialize(stages["quality"](spark, docs, SF), "t")
-    assert {r.doc_id for r in left.collect()} == good and left.columns == docs.columns
-    cut = materialize(stages["line_dedup"](spark, left, SF), "t")
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
+    blanks = " \t\n\x0b\x0c\r"
     owners = collections.defaultdict(set)
-    texts = {r.doc_id: r.text for r in left.collect()}
     for i, text in texts.items():
         for line in text.split("\n"):
-            owners[line.strip(" \t\n\x0b\x0c\r").lower()].add(i)
+            owners[line.strip(blanks).lower()].add(i)
     shared = {k: max(v) for k, v in owners.items() if len(k) >= 40 and len(v) >= 5}
-    want = {i: "\n".join(x for x in t.split("\n") if shared.get(x.strip(" \t\n\x0b\x0c\r").lower(), i) == i) for i, t in texts.items()}
-    assert {r.doc_id: r.text for r in cut.collect()} == want and all(r.n_chars == len(r.text) for r in cut.collect())
-    one = materialize(stages["near_dedup"](spark, cut, SF), "t")
-    groups = {r.doc_id: r.component_id for r in simhash_wide.near_duplicate_groups(cut).collect()}
-    assert {r.doc_id for r in one.collect()} == {i for i, c in groups.items() if i == c}
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert {r.doc_id for r in rows} == {r.doc_id for r in one.collect()}
-    positions = {r.doc_id: r.mix_position for r in mixing.mix(one).collect()}
-    tokens = {r.doc_id: r.n_tokens for r in bpe.encode_documents(one, queries.vocabulary_path()).collect()}
-    assert all((r.mix_position, r.n_tokens) == (positions[r.doc_id], tokens[r.doc_id]) for r in rows)
+    texts = {i: "\n".join(x for x in t.split("\n") if shared.get(x.strip(blanks).lower(), i) == i) for i, t in texts.items()}
+    sets = {i: frozenset(simhash_wide.shingle_hashes(t.encode()).tolist()) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    kept = {i: t for i, t in texts.items() if find(i) == i}
+    rows = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert rows.keys() == kept.keys() and shared and len(kept) < len(texts) < len(source)
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.vocabulary_path())
+    assert all(rows[i].ids == library.encode(t, add_special_tokens=False).ids for i, t in kept.items())
+    counts = collections.Counter(source[i] for i in kept)
+    slots = list(mixing.placed_blocks({s: -(-n // 16) for s, n in counts.items()}, mixing.tempered_weights(counts)))
+    order = [source[i] for i, _ in sorted(rows.items(), key=lambda r: r[1].mix_position)]
+    assert collections.Counter(order) == counts and len(order) == len(kept)
+    assert all(source[i] == slots[r.mix_position // 16] for i, r in rows.items())
