@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import clustering as cl
 from tidemark.operators import identity as idn
-from tidemark.operators import ordering, signals, upserts
+from tidemark.operators import ordering, signals, upserts, views
 from tidemark.operators import payloads as pl
 from tidemark.streaming import items as it
 
@@ -138,6 +138,12 @@ def test_upserts_are_idempotent(spark):
     assert sorted(r.n for r in twice.collect()) == [2, 5, 7]
 
 
+def test_a_snapshot_is_written_only_without_issues(spark):
+    rows = spark.range(3)
+    assert views.publish(rows, 2) is None
+    assert spark.read.parquet(views.publish(rows, 0)).count() == 3
+
+
 def test_heat_grows_with_each_of_its_parts(spark):
     at = dt.datetime(2024, 1, 30)
     base = [("k", "g1", "s", 10, at, at)]

@@ -10,8 +10,10 @@ from tidemark.sources import payloads
 
 
 def _payloads(spark, sf_dir, item, wrap=None):
-    """JSON payloads of at most 50 documents each."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("id"), F.expr("doc_id div 50").alias("batch"))
+    """JSON payloads of at most 50 documents each; ``head`` is the first line of a document, ``start`` its beginning."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.col("doc_id").cast("string").alias("id"), F.expr("doc_id div 50").alias("batch"), F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 300).alias("head"), F.substring("text", 1, 3000).alias("start"),
+    )
     listed = docs.groupBy("source", "batch").agg(F.collect_list(item).alias("items"))
     return listed.select(F.col("source").alias("source_id"), F.to_json(F.struct(F.col("items").alias(wrap)) if wrap else F.col("items")).alias("body"))
 
@@ -20,29 +22,34 @@ def _of(divisor, value):
     return F.when(F.col("doc_id") % divisor == 0, value)
 
 
+def _digested(items):
+    return items.withColumn("excerpt", F.sha2("excerpt", 256))
+
+
 def b_issues(spark, sf_dir):
-    item = F.struct(F.concat(F.lit("t"), "id").alias("title"), F.concat(F.lit("https://x/"), "id").alias("html_url"), (F.col("doc_id") % 9).alias("comments"), _of(3, F.struct(F.lit("u").alias("url"))).alias("pull_request"))
-    return payloads.issues(_payloads(spark, sf_dir, item))
+    item = F.struct(F.col("head").alias("title"), F.concat(F.lit("https://x.example.com/"), "id", F.lit("#c")).alias("html_url"), F.col("start").alias("body"), (F.col("doc_id") % 9).alias("comments"), _of(2, F.lit("2024-01-02T03:04:05Z")).alias("created_at"), F.lit("2024-01-01T00:00:00Z").alias("updated_at"), _of(3, F.struct(F.lit("u").alias("url"))).alias("pull_request"))
+    return _digested(payloads.issues(_payloads(spark, sf_dir, item)))
 
 
 def b_posts(spark, sf_dir):
     counts = [_of(k, F.col("doc_id") % (k + 5)).alias(n) for k, n in ((1, "replyCount"), (2, "repostCount"), (3, "likeCount"), (4, "quoteCount"))]
-    item = F.struct(F.concat(F.lit("at://did/post/"), "id").alias("uri"), F.struct(F.col("source").alias("handle")).alias("author"), F.struct(F.col("id").alias("text")).alias("record"), *counts)
-    return payloads.posts(_payloads(spark, sf_dir, item, "posts"))
+    record = F.struct(_of(2, F.col("start")).alias("text"), _of(5, F.lit("2024-01-02T03:04:05Z")).alias("createdAt"))
+    item = F.struct(F.concat(F.lit("at://did/post/"), "id").alias("uri"), F.struct(F.col("source").alias("handle")).alias("author"), F.col("head").alias("text"), record.alias("record"), F.lit("2024-01-01T00:00:00Z").alias("indexedAt"), *counts)
+    return _digested(payloads.posts(_payloads(spark, sf_dir, item, "posts")))
 
 
 def b_forum(spark, sf_dir):
     item = F.struct(
-        _of(2, F.col("id")).alias("title"), F.concat(F.lit("s"), "id").alias("story_title"), _of(5, F.concat(F.lit("https://x/"), "id")).alias("url"), F.col("id").alias("objectID"),
-        (F.col("doc_id") % 7).alias("points"), _of(3, F.col("doc_id") % 11).alias("num_comments"), _of(4, F.lit("2024-01-02T03:04:05Z")).alias("created_at"), F.lit(1700000000).alias("created_at_i"),
+        _of(2, F.col("head")).alias("title"), _of(3, F.concat(F.lit("s"), "id")).alias("story_title"), F.col("start").alias("comment_text"), F.col("id").alias("objectID"), (F.col("doc_id") % 7).alias("points"), _of(3, F.col("doc_id") % 11).alias("num_comments"),
+        _of(4, F.lit("2024-01-02T03:04:05Z")).alias("created_at"), F.lit(1700000000).alias("created_at_i"),
     )
-    return payloads.forum(_payloads(spark, sf_dir, item, "hits"))
+    return _digested(payloads.forum(_payloads(spark, sf_dir, item, "hits")))
 
 
 def b_papers(spark, sf_dir):
-    nested = _of(2, F.struct(F.concat(F.lit("p"), "id").alias("title"), F.concat(F.lit("p"), "id").alias("id"), (F.col("doc_id") % 13).alias("upvotes")))
-    item = F.struct(F.col("id").alias("title"), F.col("id"), (F.col("doc_id") % 3).alias("numComments"), _of(5, F.col("doc_id") % 17).alias("upvotes"), nested.alias("paper"))
-    return payloads.papers(_payloads(spark, sf_dir, item))
+    nested = _of(2, F.struct(F.concat(F.lit("p "), "head").alias("title"), F.concat(F.lit("p"), "id").alias("id"), F.col("start").alias("summary"), (F.col("doc_id") % 13).alias("upvotes")))
+    item = F.struct(F.col("head").alias("title"), F.col("id"), F.lit("flat").alias("abstract"), (F.col("doc_id") % 3).alias("numComments"), _of(5, F.col("doc_id") % 17).alias("upvotes"), F.lit("2024-01-03T00:00:00Z").alias("publishedAt"), nested.alias("paper"))
+    return _digested(payloads.papers(_payloads(spark, sf_dir, item)))
 
 
 def b_links(spark, sf_dir):
@@ -165,14 +172,22 @@ QUERIES = {f.__name__: f for f in (
     g_normalise, g_families, g_price, g_pulses, h_signals, h_nodes,
 )}
 
+HEADS = "h AS (SELECT doc_id, source, substr(split_part(text, chr(10), 1), 1, 300) AS head, substr(text, 1, 3000) AS start FROM documents)"
+
+
+def _cut(text: str, most: int) -> str:
+    return f"(SELECT CASE WHEN length(f) > {most} THEN rtrim(substr(f, 1, {most - 1})) || '…' ELSE f END FROM (SELECT trim(regexp_replace({text}, '[ \\t\\r\\n\\f\\x0b]+', ' ', 'g')) AS f))"
+
+
 ORACLES = {
-    "b_issues": "SELECT source AS source_id, 't' || doc_id AS title, 'https://x/' || doc_id AS url, doc_id % 9 AS engagement FROM documents WHERE doc_id % 3 <> 0",
-    "b_posts": """SELECT source AS source_id, doc_id::VARCHAR AS title, 'https://bsky.app/profile/' || source || '/post/' || doc_id AS url,
-  doc_id % 6 + CASE WHEN doc_id % 2 = 0 THEN doc_id % 7 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN doc_id % 8 ELSE 0 END + CASE WHEN doc_id % 4 = 0 THEN doc_id % 9 ELSE 0 END AS engagement FROM documents""",
-    "b_forum": """SELECT source AS source_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 's' END || doc_id AS title, CASE WHEN doc_id % 5 = 0 THEN 'https://x/' ELSE 'https://news.ycombinator.com/item?id=' END || doc_id AS url,
-  doc_id % 7 + CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 ELSE 0 END AS engagement, CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '2024-01-02 03:04:05' ELSE TIMESTAMP '2023-11-14 22:13:20' END AS published_at FROM documents""",
-    "b_papers": """SELECT source AS source_id, CASE WHEN doc_id % 2 = 0 THEN 'p' ELSE '' END || doc_id AS title, 'https://huggingface.co/papers/' || CASE WHEN doc_id % 2 = 0 THEN 'p' ELSE '' END || doc_id AS url,
-  CASE WHEN doc_id % 2 = 0 THEN doc_id % 13 WHEN doc_id % 5 = 0 THEN doc_id % 17 ELSE 0 END + doc_id % 3 AS engagement FROM documents""",
+    "b_issues": f"""WITH {HEADS} SELECT source AS source_id, {_cut('head', 260)} AS title, 'https://x.example.com/' || doc_id AS url, sha256({_cut('start', 2800)}) AS excerpt, CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-01-02 03:04:05' ELSE TIMESTAMP '2024-01-01' END AS published_at,
+  doc_id % 9 AS engagement FROM h WHERE doc_id % 3 <> 0 AND trim(head) <> ''""",
+    "b_posts": f"""WITH {HEADS}, t AS (SELECT *, coalesce(CASE WHEN doc_id % 2 = 0 THEN nullif(trim(start), '') END, trim(head)) AS body FROM h) SELECT source AS source_id, {_cut('body', 260)} AS title, 'https://bsky.app/profile/' || source || '/post/' || doc_id AS url, sha256({_cut('body', 2800)}) AS excerpt,
+  CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2024-01-02 03:04:05' ELSE TIMESTAMP '2024-01-01' END AS published_at, doc_id % 6 + CASE WHEN doc_id % 2 = 0 THEN doc_id % 7 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN doc_id % 8 ELSE 0 END + CASE WHEN doc_id % 4 = 0 THEN doc_id % 9 ELSE 0 END AS engagement FROM t WHERE body <> ''""",
+    "b_forum": f"""WITH {HEADS}, t AS (SELECT *, coalesce(CASE WHEN doc_id % 2 = 0 THEN nullif(trim(head), '') END, CASE WHEN doc_id % 3 = 0 THEN 's' || doc_id END, trim(start)) AS body FROM h) SELECT source AS source_id, {_cut('body', 260)} AS title, 'https://news.ycombinator.com/item?id=' || doc_id AS url, sha256({_cut('start', 2800)}) AS excerpt,
+  CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '2024-01-02 03:04:05' ELSE TIMESTAMP '2023-11-14 22:13:20' END AS published_at, doc_id % 7 + CASE WHEN doc_id % 3 = 0 THEN doc_id % 11 ELSE 0 END AS engagement FROM t WHERE body <> ''""",
+    "b_papers": f"""WITH {HEADS}, t AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'p ' || head ELSE head END AS body FROM h) SELECT source AS source_id, {_cut('body', 260)} AS title, 'https://huggingface.co/papers/' || CASE WHEN doc_id % 2 = 0 THEN 'p' ELSE '' END || doc_id AS url,
+  sha256(CASE WHEN doc_id % 2 = 0 AND trim(start) <> '' THEN {_cut('start', 2800)} ELSE 'flat' END) AS excerpt, TIMESTAMP '2024-01-03' AS published_at, CASE WHEN doc_id % 5 = 0 THEN doc_id % 17 WHEN doc_id % 2 = 0 THEN doc_id % 13 ELSE 0 END + doc_id % 3 AS engagement FROM t WHERE trim(body) <> ''""",
     "b_links": rf"""WITH a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS host, regexp_extract_all(html, '{payloads.ANCHOR}', 0) AS found FROM pages),
 e AS (SELECT page_id, host, unnest(found) AS anchor, generate_subscripts(found, 1) AS pos FROM a),
 l AS (SELECT page_id, pos, regexp_extract(anchor, '{payloads.ANCHOR}', 1) AS href, host, trim(regexp_extract(anchor, '{payloads.ANCHOR}', 2)) AS title FROM e),
