@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,16 +35,42 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def discard(spark: SparkSession) -> None:
     """Delete all that this application wrote into the shared folder; nothing that was read from there may be used afterwards."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(job_root(spark))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    delete(spark, job_root(spark))
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+_SCRATCH: list[list[str]] = []  # tables of each open ``scratch``, innermost last
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside are deleted at the end, but for kept ones; no result may still depend on the others.
+
+    Shuffle files of plans that nothing refers to any more are dropped too: Spark does so when the driver collects garbage.
+    """
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete(spark, path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    The result outlives lost executors and is computed once, whatever reads it afterwards.
+    The result outlives lost executors and is computed once, whatever reads it afterwards. Inside a ``scratch`` it is deleted
+    at its end unless ``keep`` is set.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
