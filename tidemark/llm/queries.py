@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, classlm, exact, langid, lines, mixing, quality, shards, simhash
+from tidemark.llm import bpe, chat, classlm, exact, langid, lines, mixing, periodic, quality, shards, simhash
 from tidemark.llm.common import documents
 
 
@@ -61,6 +61,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before the search, a tenth of the documents is made periodic, as the contract has it."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", (crc % 10 == 0).alias("planted"), F.floor(crc / 10).alias("g"))
+    docs = docs.withColumn("ws", F.when(F.col("planted"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    docs = docs.withColumn("a", F.expr("CASE WHEN size(ws) > 0 THEN g % size(ws) END")).withColumn("p", F.expr("1 + (size(ws) - a) DIV (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(ws, (w, i) -> IF(i < a, w, ws[CAST(a + (i - a) % p AS INT)])), ' ')")
+    found = periodic.periodic_runs(docs.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text")))
+    best = periodic.strongest(F.col("runs"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.call_function("div", 1000 * best["length"], best["period"]).alias("exponent_milli"),
+        F.sha2(periodic.run_lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_shards": op2_shards,
@@ -72,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat": op9_chat,
     "op10_line_dedup": op10_line_dedup,
+    "op12_periodic": op12_periodic,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
