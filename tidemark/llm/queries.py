@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, classlm, exact, langid, lines, mixing, negatives, periodic, quality, shards, simhash
+from tidemark.llm import bpe, chat, classlm, exact, langid, lines, mixing, negatives, periodic, private, quality, shards, simhash
 from tidemark.llm.common import documents
 
 
@@ -61,6 +61,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.personal_data(documents(spark, sf_dir))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(private.BASE_KINDS)]
+    return found.select("doc_id", *counts, F.sha2(private.span_lines(F.col("base")), 256).alias("base_sha256"), private.span_lines(F.col("spans")).alias("spans"))
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Before the search, a tenth of the documents is made periodic, as the contract has it."""
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat": op9_chat,
     "op10_line_dedup": op10_line_dedup,
+    "op11_private": op11_private,
     "op12_periodic": op12_periodic,
     "op13_hard_negatives": op13_hard_negatives,
 }
