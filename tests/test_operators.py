@@ -1,8 +1,11 @@
 """Operators of the library against brute force, and properties that hold whatever the order or the partitions."""
 
 import datetime as dt
+import hashlib
 import os
 import random
+import re
+import shutil
 import subprocess
 import sys
 
@@ -51,24 +54,42 @@ def test_messages(spark):
     assert column(spark, lambda c: tx.failure_category(c, F.lit("failed")), ["http 401", "HTTP 429", "http 502", "socket", "缺少 title", "?"]) == ["provider-auth", "provider-rate-limit", "provider-server-error", "provider-transport", "schema-contract", "concept-analysis-failed"]
 
 
+def title_tokens(title):
+    return frozenset(re.findall(r"[a-z][a-z0-9+#.-]+|[一-鿿]{2,}", re.sub(r"https?://\S+", " ", title.lower())))
+
+
+def version_of(title):
+    found = re.search(r"(?<![A-Za-z0-9_])v?(\d+\.\d+(?:\.\d+)?)(?![A-Za-z0-9_])", title, re.I)
+    return found[1] if found else None
+
+
+def overlap(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def new_slug(concept, title):
+    digest = hashlib.sha256(f"{concept}\n{title.lower()}".encode()).hexdigest()
+    return f"{concept}-{digest[:10]}"
+
+
 def brute_assigned(items, stored):
     """Every candidate is looked at, in order, for every item."""
     out, known = {}, {}
     for c, _, title, tags, group, event, slug in sorted(stored, key=lambda r: r[1]):
         known.setdefault(c, []).append((slug, title, tags, group, event))
     for c, _, i, title, tags, group, event, joins in sorted(items, key=lambda r: (r[1], r[2])):
-        version, best, found = cl.version_of(title), (0, None), None
+        version, best, found = version_of(title), (0, None), None
         for slug, t, g_tags, g, e in known.get(c, []):
-            v = cl.version_of(t)
+            v = version_of(t)
             if version and v and version != v:
                 continue
             if (event and event == e) or (version and v and g == group):
                 found = slug
                 break
-            score = 0.8 * cl.jaccard(cl.title_tokens(title), cl.title_tokens(t)) + 0.2 * cl.jaccard(frozenset(tags), frozenset(g_tags))
+            score = 0.8 * overlap(title_tokens(title), title_tokens(t)) + 0.2 * overlap(frozenset(tags), frozenset(g_tags))
             if score >= 0.5 and score > best[0]:
                 best = (score, slug)
-        out[i] = found or best[1] or cl.fresh_slug(c, title)
+        out[i] = found or best[1] or new_slug(c, title)
         if joins:
             known.setdefault(c, []).append((out[i], title, tags, group, event))
     return out
@@ -94,6 +115,20 @@ def test_assignment_is_that_of_a_full_scan_in_order(spark, arrivals, parts):
     assert cl.assigned(spark.createDataFrame([], ITEM), spark.createDataFrame([], STORED)).collect() == []
 
 
+def test_assignment_of_one_concept_of_many_items(spark):
+    """Equal titles, chains, ties of place, tags, versions and odd rows, all in one concept."""
+    rng = random.Random(11)
+    words = [f"w{n}x" for n in range(30)] + ["v1.2", "2.0"]
+    titles = [" ".join(rng.sample(words, rng.randrange(1, 7))) for _ in range(60)]
+    items = [("hot", n // 3, n, rng.choice(titles) if n % 3 else " ".join(rng.sample(words, 4)), rng.sample(["a", "b"], rng.randrange(3)), rng.choice(["g", "h", None]), f"e{n}" if n % 40 else "", n % 5 != 0) for n in range(700)]
+    items += [("hot", 400 + n, 1000 + n, " ".join(f"c{k}k" for k in range(n, n + 9)), [], None, None, True) for n in range(150)]  # each joins the one before it
+    got = cl.assigned(spark.createDataFrame(items, ITEM), spark.createDataFrame([], STORED)).collect()
+    assert {r.id: r.signal_slug for r in got} == brute_assigned(items, [])
+    odd = [(None, None, 1, None, None, None, None, None), (None, 1, 2, "", [], None, "", True), ("", 1, 3, "same title here", None, None, None, True), (None, 2, 4, "same title here", ["t", None, "t"], None, None, True), (None, 3, 5, "Same Title here", ["t"], None, None, False)]
+    got = {r.id: r.signal_slug for r in cl.assigned(spark.createDataFrame(odd, ITEM), spark.createDataFrame([], STORED)).collect()}
+    assert got[1] == got[2] == new_slug("", "") and got[3] == new_slug("", "same title here") == got[4] == got[5]
+
+
 def test_assignment_of_a_stream_goes_on_where_it_stopped(spark, arrivals, tmp_path):
     items, _ = arrivals
     source, folder = f"file://{tmp_path}/source", f"file://{tmp_path}/job"
@@ -104,12 +139,78 @@ def test_assignment_of_a_stream_goes_on_where_it_stopped(spark, arrivals, tmp_pa
     assert {r.id: r.signal_slug for r in rows.collect()} == brute_assigned(items, [])
 
 
+def test_a_run_with_nothing_new_gives_all_rows_again(spark, arrivals, tmp_path):
+    items, _ = arrivals
+    source, folder = f"file://{tmp_path}/source", f"file://{tmp_path}/job"
+    spark.createDataFrame(items[:40], ITEM).coalesce(1).write.parquet(source)
+    run = lambda: {r.id: r.signal_slug for r in it.assign_stream(it.stream_of(spark, source), folder)().collect()}
+    assert run() == run() == brute_assigned(items[:40], [])
+    shutil.rmtree(f"{tmp_path}/job/checkpoint")  # the batch comes again under its old number
+    assert run() == brute_assigned(items[:40], [])
+
+
+def test_candidates_of_a_stream_expire(spark, tmp_path):
+    """60 days, a batch every twelve: as with the window over a full scan; days that are out of reach are gone from the disk."""
+    rng = random.Random(6)
+    words = ["agent", "graph", "engine", "tools", "notes", "tests"]
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    rows = [("c", n, n, " ".join(rng.sample(words, 3)), ["t"], "g", None, n % 4 != 0, day(n // 2)) for n in range(120)]
+    rows.append(("c", 500, 500, "agent graph engine", ["t"], "g", None, True, None))
+    source, folder = f"file://{tmp_path}/source", f"file://{tmp_path}/job"
+    known, want = [], {}
+    for first in range(0, 120, 24):
+        batch = rows[first : first + 24] + (rows[-1:] if first == 0 else [])
+        spark.createDataFrame(batch, ITEM + ", at timestamp").coalesce(1).write.mode("append").parquet(source)
+        got = it.assign_stream(it.stream_of(spark, source), folder, "at")()
+        oldest = day((first + 23) // 2 - 21)
+        found = brute_assigned([r[:8] for r in batch], [(r[0], r[1], *r[3:7], want[r[2]]) for r in known if r[8] is None or r[8] >= oldest])
+        want |= found
+        known += [r for r in batch if r[7]]
+    assert {r.id: r.signal_slug for r in got.collect()} == want
+    days = {p.name for p in tmp_path.glob("job/state/batch=*/day=*")}
+    assert len(days) == 23 and f"day={oldest:%Y-%m-%d}" in days | {"day=always"} and min(days) >= f"day={oldest:%Y-%m-%d}"
+
+
+def test_upserts_of_a_stream_survive(spark, tmp_path):
+    kinds = "url string, publish_decision string, n int"
+    watched = F.col("publish_decision") == "watch"
+    source, folder = f"file://{tmp_path}/source", f"file://{tmp_path}/job"
+    stored = spark.createDataFrame([("a", "watch", 1), ("b", "publish", 2)] + [(f"x{n}", "publish", n) for n in range(50)], kinds)
+    run = lambda: {r.url: (r.publish_decision, r.n) for r in it.upsert_stream(it.stream_of(spark, source), stored, "url", watched, folder, F.col("n")).filter("url not like 'x%'").collect()}
+    spark.createDataFrame([("a", "publish", 5), ("c", "watch", 7), ("c", "publish", 8), ("c", "publish", 9), ("d", "watch", 1), ("d", "watch", 2), (None, "watch", 3)], kinds).write.parquet(source)
+    want = {"a": ("publish", 5), "b": ("publish", 2), "c": ("publish", 8), "d": ("watch", 2)}
+    assert run() == want == run()
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.glob("job/table/bucket=*/*.parquet")}
+    spark.createDataFrame([("d", "publish", 4)], kinds).write.mode("append").parquet(source)
+    assert run() == want | {"d": ("publish", 4)}
+    after = {p: p.stat().st_mtime_ns for p in tmp_path.glob("job/table/bucket=*/*.parquet")}
+    assert len({p.parent for p in before.items() ^ after.items() for p in p[:1]}) == 1  # one bucket was written
+    shutil.rmtree(f"{tmp_path}/job/checkpoint")  # all batches come again
+    assert run() == want | {"d": ("publish", 4)}
+
+
 def test_mentions_by_pieces_are_those_of_the_broadcast(spark):
     rng = random.Random(9)
     texts = spark.createDataFrame([(i, "".join(rng.choice("abc ") for _ in range(rng.randrange(60)))) for i in range(80)] + [(99, None)], "id long, text string")
     terms = spark.createDataFrame([("".join(rng.choice("abc ") for _ in range(n)), n) for n in (1, 3, 5, 5, 6, 7, 8)], "term string, n int").distinct()
     rows = lambda few: sorted(map(tuple, idn.mentions(texts, terms, few).collect()))
-    assert rows(0) == rows(100) and rows(0)
+    plain = [(i, term, n) for i, t in map(tuple, texts.collect()) for term, n in map(tuple, terms.collect()) if t is not None and term in t.lower()]
+    assert rows(0) == rows(100) == sorted(plain) and plain
+
+
+def test_mentions_of_very_many_terms(spark):
+    """100,000 terms, an empty and a null one, a repeated one, and a hot text and term; texts have further columns."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    names = sorted({word(rng.randrange(3, 9)) for _ in range(120_000)})[:100_000]
+    texts = [(i, f"{word(60)} Zürich ABCDE", "clash", dt.datetime(2024, 1, 1)) for i in range(60)] + [(60, "", None, None), (61, None, None, None)]
+    df = spark.createDataFrame(texts, "id long, text string, piece string, at timestamp")
+    terms = spark.createDataFrame([(n, 1) for n in [*names, "", None, "zürich", "zürich"]], "term string, weight int")
+    want = sorted((i, term) for i, t, *_ in texts if t for term in [*names, "zürich", "zürich"] if term in t.lower())
+    for most in (1 << 24, 1000):
+        assert sorted((r.id, r.term) for r in idn.mentions(df, terms, most).collect()) == want
+    plan = idn.mentions(df, terms)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_similar_pairs_are_all_there(spark):

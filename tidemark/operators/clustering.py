@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections import defaultdict
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import text as tx
+from tidemark.storage import materialize
 
 LEAST_TITLE = 0.375  # title and tags weigh 0.8 and 0.2, so a score of 0.5 needs a title at least this similar
 LEAST_SCORE, TITLE_WEIGHT, TAG_WEIGHT = 0.5, 0.8, 0.2
 DAYS = 21
-LATIN_OR_HAN = re.compile(r"[a-z][a-z0-9+#.-]+|[一-鿿]{2,}")
-VERSION = re.compile(r"(?<![A-Za-z0-9_])v?(\d+\.\d+(?:\.\d+)?)(?![A-Za-z0-9_])", re.I)
 
 
 def candidate_window(items: DataFrame, as_of: Column, days: int = DAYS, most: int | None = None) -> DataFrame:
@@ -48,91 +42,100 @@ def similar_pairs(items: DataFrame, key: str, least: float = LEAST_TITLE) -> Dat
     return scored.filter(F.col("similarity") >= least)
 
 
-def title_tokens(title: str) -> frozenset[str]:
-    return frozenset(LATIN_OR_HAN.findall(re.sub(r"https?://\S+", " ", title.lower())))
-
-
-def version_of(title: str) -> str | None:
-    found = VERSION.search(title)
-    return found[1] if found else None
+ITEM_COLUMNS = ["concept_slug", "title", "tags", "independent_group", "event_key"]
 
 
-def jaccard(a: frozenset, b: frozenset) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
+def fresh_slug(concept: Column, title: Column) -> Column:
+    concept = F.coalesce(concept, F.lit(""))
+    return F.concat(concept, F.lit("-"), F.substring(F.sha2(F.concat(concept, F.lit("\n"), F.lower(title)), 256), 1, 10))
 
 
-def fresh_slug(concept: str, title: str) -> str:
-    return f"{concept}-{hashlib.sha256(f'{concept}\n{title.lower()}'.encode()).hexdigest()[:10]}"
+def comparable(items: DataFrame, stored: DataFrame) -> DataFrame:
+    """Items and stored signals as rows of one kind: ``at`` orders them and says what they are, ``cls`` is shared by rows of equal title tokens, tags and version."""
+    at = lambda kind, number, slug: F.struct(F.lit(kind).alias("kind"), F.col("place").cast("long").alias("place"), number.cast("long").alias("id"), slug.cast("string").alias("slug"))
+    before = stored.select(*ITEM_COLUMNS, at(0, F.lit(None), F.col("signal_slug")).alias("at"), F.lit(True).alias("joins"))
+    after = items.select(*ITEM_COLUMNS, at(1, F.col("id"), F.lit(None)).alias("at"), F.coalesce("joins", F.lit(False)).alias("joins"))
+    title = F.coalesce("title", F.lit(""))
+    rows = before.unionByName(after).withColumns({
+        "title": title, "concept": F.coalesce("concept_slug", F.lit("\0")), "event_key": F.nullif("event_key", F.lit("")), "version": tx.version_key(title), "tokens": F.array_sort(tx.tokens(title)),
+        "tags": F.array_sort(F.array_distinct(F.array_compact(F.coalesce("tags", F.array().cast("array<string>"))))),
+    })
+    return rows.withColumn("cls", F.sha2(F.to_json(F.struct("concept", "tokens", "tags", "version"), {"ignoreNullFields": "false"}), 256))
 
 
-class Candidates:
-    """The signals of one concept that later items may join, in the order they are scanned; found by key, version or token."""
+def equal_before(rows: DataFrame) -> DataFrame:
+    """(at, equal) of each item: the first candidate before it with its event key, or with its version and group, unless versions differ.
 
-    def __init__(self):
-        self.rows: list[tuple] = []  # (slug, version, group, tokens, tags)
-        self.by_event: dict[str, list[int]] = defaultdict(list)
-        self.by_version: dict[tuple, list[int]] = defaultdict(list)
-        self.by_token: dict[str, list[int]] = defaultdict(list)
-
-    def add(self, slug: str, title: str, tags: list[str] | None, group: str | None, event: str | None) -> None:
-        at, version, tokens = len(self.rows), version_of(title), title_tokens(title)
-        self.rows.append((slug, version, group, tokens, frozenset(tags or ())))
-        if event:
-            self.by_event[event].append(at)
-        if version:
-            self.by_version[version, group].append(at)
-        for token in tokens:
-            self.by_token[token].append(at)
+    The first of all candidates with a key is the first before an item, or there is none; so one row a key is joined to the items.
+    """
+    known = rows.filter("joins")
+    events = known.filter("event_key IS NOT NULL").groupBy("concept", "event_key").agg(F.min("at").alias("any_first"), F.min(F.when(F.col("version").isNull(), F.col("at"))).alias("plain_first"))
+    versioned = known.filter("event_key IS NOT NULL AND version IS NOT NULL").groupBy("concept", "event_key", "version").agg(F.min("at").alias("event_first"))
+    groups = known.filter("version IS NOT NULL").groupBy("concept", "version", F.coalesce(F.concat(F.lit("="), "independent_group"), F.lit("")).alias("grp")).agg(F.min("at").alias("group_first"))
+    own = rows.filter("at.kind = 1").withColumn("grp", F.coalesce(F.concat(F.lit("="), "independent_group"), F.lit(""))).select("concept", "event_key", "version", "grp", "at")
+    met = own.join(events, ["concept", "event_key"], "left").join(versioned, ["concept", "event_key", "version"], "left").join(groups, ["concept", "version", "grp"], "left")
+    by_event = [F.when(F.col("version").isNull(), F.col("any_first")), F.when(F.col("version").isNotNull(), F.col("plain_first")), F.col("event_first")]
+    earlier = [F.when(c < F.col("at"), c) for c in (*by_event, F.col("group_first"))]
+    return met.select("at", F.least(*earlier).alias("equal"))
 
-    def choose(self, concept: str, title: str, tags: list[str] | None, group: str | None, event: str | None) -> str:
-        """An equal event key or an equal version of the same group wins, the first in order; else the best score; else a new slug."""
-        version, tokens, tags = version_of(title), title_tokens(title), frozenset(tags or ())
-        apart = lambda at: version and self.rows[at][1] and version != self.rows[at][1]
-        equal = [at for at in (self.by_event.get(event, ()) if event else ()) if not apart(at)][:1]
-        equal += self.by_version.get((version, group), ())[:1] if version else []
-        if equal:
-            return self.rows[min(equal)][0]
-        best, slug = 0.0, None
-        for at in sorted({at for token in tokens for at in self.by_token.get(token, ())}):
-            if apart(at):
-                continue
-            row = self.rows[at]
-            score = TITLE_WEIGHT * jaccard(tokens, row[3]) + TAG_WEIGHT * jaccard(tags, row[4])
-            if score >= LEAST_SCORE and score > best:
-                best, slug = score, row[0]
-        return slug or fresh_slug(concept, title)
 
+def similar_classes(rows: DataFrame) -> DataFrame:
+    """(cls, score, first): for each class of equal titles, the classes that its items may join, with their first candidate.
 
-COLUMNS = ["concept_slug", "place", "id", "title", "tags", "independent_group", "event_key", "joins", "signal_slug"]
+    An exact prefix filter as in ``similar_pairs``, over classes instead of rows; a pair is made at the first token that both prefixes have.
+    """
+    classes = rows.filter(F.size("tokens") > 0).groupBy("cls").agg(*[F.first(c).alias(c) for c in ("concept", "tokens", "tags", "version")], F.min(F.when(F.col("joins"), F.col("at"))).alias("first"), F.max(F.col("at.kind") == 1).alias("asks"))
+    classes = materialize(classes, "title-classes")
+    counts = classes.select("concept", F.explode("tokens").alias("token")).groupBy("concept", "token").agg(F.count("*").alias("c"))
+    order = classes.select("cls", "concept", F.explode("tokens").alias("token")).join(counts, ["concept", "token"]).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("sorted"))
+    n = F.size("tokens")
+    prefix = F.transform(F.slice("sorted", F.lit(1), (n - F.ceil(n * LEAST_TITLE) + 1).cast("int")), lambda t: t["token"])
+    listed = materialize(classes.join(order, "cls").withColumn("prefix", prefix).drop("sorted").withColumn("token", F.explode("prefix")), "title-prefixes")
+    mine = ("cls", "tokens", "tags", "version", "prefix")
+    left = listed.filter("asks").select("concept", "token", *[F.col(c).alias(f"my_{c}") for c in mine])
+    right = listed.filter("first IS NOT NULL").select("concept", "token", *mine, "first")
+    sized = F.least(F.size("my_tokens"), F.size("tokens")) >= LEAST_TITLE * F.greatest(F.size("my_tokens"), F.size("tokens"))
+    once = F.get(F.array_intersect("my_prefix", "prefix"), F.lit(0)) == F.col("token")
+    apart = F.coalesce(F.col("my_version") != F.col("version"), F.lit(False))
+    score = TITLE_WEIGHT * tx.jaccard(F.col("my_tokens"), F.col("tokens")) + TAG_WEIGHT * tx.jaccard(F.col("my_tags"), F.col("tags"))
+    met = left.join(right, ["concept", "token"]).filter(sized & once & ~apart)
+    return met.select(F.col("my_cls").alias("cls"), score.alias("score"), "first").filter(F.col("score") >= LEAST_SCORE)
+
+
+def best_before(rows: DataFrame) -> DataFrame:
+    """(at, similar) of each item: of the candidates before it the one of the best score, the first of equals.
+
+    Which is best for a class changes only where a better candidate comes in. These changes are the steps that an item's
+    place is looked up in, so a class with many items and many neighbours makes no pairs of both.
+    """
+    past = Window.partitionBy("cls").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    changes = similar_classes(rows).withColumn("best", F.max("score").over(past)).filter(F.col("best").isNull() | (F.col("score") > F.col("best")))
+    steps = materialize(changes.select("cls", "first", F.lead("first").over(Window.partitionBy("cls").orderBy("first")).alias("until")), "title-steps")
+    own = rows.filter("at.kind = 1").select("at", "cls")
+    inside = (own["cls"] == steps["cls"]) & (steps["first"] < own["at"]) & (steps["until"].isNull() | (own["at"] <= steps["until"]))
+    return own.join(steps, inside).select("at", F.col("first").alias("similar"))
 
 
 def assigned(items: DataFrame, stored: DataFrame) -> DataFrame:
-    """(id, signal_slug): the signal of every item, decided in the order of ``place`` among the items of its concept.
+    """(id, signal_slug): the signal of every item, as if decided one by one in the order of ``place`` among the items of its concept.
 
-    ``stored`` holds earlier signals (concept_slug, place, title, tags, independent_group, event_key, signal_slug), scanned first
-    in order of their place. An item whose ``joins`` is true is a candidate for those after it. Rows come sorted by
-    concept and stream through their task, which holds the candidates of one concept at a time. Null titles are empty;
-    ties of place go by id.
-    """
+    ``stored`` holds earlier signals (concept_slug, place, title, tags, independent_group, event_key, signal_slug), looked at first
+    in order of their place. An item whose ``joins`` is true is a candidate for those after it. The first candidate of equal event key, or of equal version and
+    group, wins; else the most similar title and tags; else the item opens a signal. Null titles are empty; ties of place go by id; ids are
+    distinct; a null concept is one of its own.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        concept, known = None, Candidates()
-        for batch in batches:
-            ids, slugs = [], []
-            for of, _, item, title, tags, group, event, joins, slug in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if of != concept:
-                    concept, known = of, Candidates()
-                title = title or ""
-                if slug is None:
-                    slug = known.choose(of or "", title, tags, group, event)
-                    ids.append(item)
-                    slugs.append(slug)
-                if joins:
-                    known.add(slug, title, tags, group, event)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(slugs, pa.string())], ["id", "signal_slug"])
-
-    none = F.lit(None)
-    before = stored.select("concept_slug", F.struct(F.lit(0).alias("kind"), F.col("place").cast("long").alias("place")).alias("place"), none.cast("long").alias("id"), "title", "tags", "independent_group", "event_key", F.lit(True).alias("joins"), "signal_slug")
-    after = items.select("concept_slug", F.struct(F.lit(1).alias("kind"), F.col("place").cast("long").alias("place")).alias("place"), F.col("id").cast("long").alias("id"), "title", "tags", "independent_group", "event_key", "joins", none.cast("string").alias("signal_slug"))
-    rows = before.unionByName(after).repartition("concept_slug").sortWithinPartitions("concept_slug", "place", "id")
-    return rows.withColumn("place", F.col("place.place")).select(*COLUMNS).mapInArrow(run, "id long, signal_slug string")
+    Which candidate an item joins follows from titles, keys and places alone, never from the signal that the candidate got. So all
+    items choose at once, over keys and classes of equal titles, and a concept of any size is spread over all tasks. What remains are chains
+    from item to item; they are halved until each ends at an item that opens a signal or at a stored one.
+    """
+    rows = materialize(comparable(items, stored), "comparable-items")
+    opens = rows.filter("at.kind = 1").select("at", "concept_slug", "title")
+    chosen = opens.join(equal_before(rows), "at").join(best_before(rows), "at", "left").withColumn("joined", F.coalesce("equal", "similar"))
+    slug = F.when(F.col("joined").isNull(), fresh_slug(F.col("concept_slug"), F.col("title"))).otherwise(F.col("joined.slug"))
+    links = materialize(chosen.select(F.col("at.id").alias("id"), F.col("joined.id").alias("to"), slug.alias("signal_slug")), "signal-links")
+    ended, waiting = links.filter("signal_slug IS NOT NULL"), links.filter("signal_slug IS NULL")
+    while not waiting.isEmpty():
+        ahead = ended.unionByName(waiting).select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("signal_slug").alias("found"))
+        stepped = materialize(waiting.select("id", "to").join(ahead, "to").select("id", F.col("further").alias("to"), F.col("found").alias("signal_slug")), "signal-links")
+        ended, waiting = ended.unionByName(stepped.filter("signal_slug IS NOT NULL")), stepped.filter("signal_slug IS NULL")
+    return ended.select("id", "signal_slug")

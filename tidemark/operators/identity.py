@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from uuid import uuid4
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as tx
 from tidemark.operators.signals import LAYERS, event_time, layer_weight
+from tidemark.storage import materialize
 
 MOST_ALIASES, LEAST_CONFIDENCE = 16, 0.8
-FEW_TERMS = 5_000
+MOST_TERM_BYTES = 16 << 20  # terms that may go to all tasks
 GRAM = 5
 
 
@@ -74,21 +81,61 @@ def resolved_identities(proposals: DataFrame, concepts: DataFrame, owners: DataF
     )
 
 
-def mentions(texts: DataFrame, terms: DataFrame, few: int = FEW_TERMS) -> DataFrame:
+_AUTOMATA: dict[str, ahocorasick.Automaton] = {}  # of this worker: the last one
+
+
+def _automaton(name: str, terms: Broadcast) -> ahocorasick.Automaton:
+    if name not in _AUTOMATA:
+        made = ahocorasick.Automaton()
+        for term in terms.value:
+            made.add_word(term, term)
+        made.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[name] = made
+    return _AUTOMATA[name]
+
+
+def _found_by_automaton(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """(columns of texts but ``text``, term): one pass over each text, whatever the number of terms."""
+    kept = [c for c in texts.columns if c != "text"]
+    shared, name = texts.sparkSession.sparkContext.broadcast(terms), uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _automaton(name, shared)
+        for batch in batches:
+            found = [sorted({term for _, term in machine.iter(text)}) if text else [] for text in batch.column(0).to_pylist()]
+            rows = pa.array([i for i, each in enumerate(found) for _ in each], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[1:]), pa.array([t for each in found for t in each], pa.string())], [*kept, "term"])
+
+    return texts.select("text", *kept).mapInArrow(run, texts.select(*kept, F.lit("").alias("term")).schema)
+
+
+def _found_by_pieces(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """The same without terms in a task: pieces of texts meet the beginnings of terms by number of text, and each text is brought back once."""
+    kept = [c for c in texts.columns if c != "text"]
+    rows = materialize(texts.select(F.monotonically_increasing_id().alias("number_of_text"), F.struct(*kept, F.lit(0).alias("_")).alias("of"), "text"), "numbered-texts")
+    begun = terms.select("term", F.left("term", F.lit(GRAM)).alias("piece"))
+    sizes = [r[0] for r in begun.select(F.length("piece")).distinct().collect()]  # at most GRAM numbers
+    cut = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i, n=n: F.substr(F.col("text"), i, F.lit(n))) for n in sizes]
+    pieces = rows.select("number_of_text", F.explode(F.array_distinct(F.concat(*cut))).alias("piece")) if cut else rows.select("number_of_text", F.lit("").alias("piece")).limit(0)
+    possible = pieces.join(begun, "piece").groupBy("number_of_text").agg(F.collect_set("term").alias("terms"))
+    held = rows.join(possible, "number_of_text").select("of", F.explode(F.filter("terms", lambda t: F.contains(F.col("text"), t))).alias("term"))
+    return held.select(*[F.col("of")[c].alias(c) for c in kept], "term")
+
+
+def mentions(texts: DataFrame, terms: DataFrame, most_bytes: int = MOST_TERM_BYTES) -> DataFrame:
     """(columns of texts but ``text``, columns of terms): each term (lower-cased, ``term``) that a lower-cased text contains.
 
-    Few terms, by count, go to all tasks. More of them meet the texts by their first five letters, which every text that
-    holds the term has among its five-letter pieces; shorter terms are few and go to all tasks.
+    Terms of up to ``most_bytes`` together go to all tasks as one automaton that reads each text once. More of them stay where they are and
+    meet the texts by their first letters. Null and empty terms are nowhere, null texts hold none, and rows of ``terms`` that repeat a term each count.
     """
-    kept = [c for c in texts.columns if c != "text"]
     low = texts.withColumn("text", F.lower("text"))
-    if terms.count() <= few:
-        return low.join(F.broadcast(terms), F.contains(F.col("text"), F.col("term"))).select(*kept, *terms.columns)
-    short = low.join(F.broadcast(terms.filter(F.length("term") < GRAM)), F.contains(F.col("text"), F.col("term"))).select(*kept, *terms.columns)
-    starts = F.when(F.length("text") >= GRAM, F.sequence(F.lit(1), F.length("text") - GRAM + 1)).otherwise(F.array().cast("array<int>"))
-    pieces = low.withColumn("piece", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("text"), i, F.lit(GRAM))))))
-    long_terms = terms.filter(F.length("term") >= GRAM).withColumn("piece", F.substring("term", 1, GRAM))
-    return pieces.join(long_terms, "piece").filter(F.contains(F.col("text"), F.col("term"))).select(*kept, *terms.columns).unionByName(short)
+    names = materialize(terms.filter(F.length("term") > 0).select("term").distinct(), "terms")
+    if (names.agg(F.sum(F.octet_length("term"))).first()[0] or 0) <= most_bytes:
+        found = _found_by_automaton(low, [r.term for r in names.collect()])
+    else:
+        found = _found_by_pieces(low, names)
+    return found.join(terms, "term").select(*[c for c in texts.columns if c != "text"], *terms.columns)
 
 
 def shortlist(texts: DataFrame, hints: DataFrame, concepts: DataFrame, most: int = 24) -> DataFrame:

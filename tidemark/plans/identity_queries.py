@@ -166,7 +166,22 @@ KEY = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 CANDS = f"""cr AS (SELECT lower(cand) AS key, * FROM nm WHERE cand IS NOT NULL AND publish_decision <> 'reject'),
 cs AS (SELECT key, arg_min(cand, doc_id) AS name, count(DISTINCT signal_slug) FILTER (WHERE publish_decision = 'publish') AS signals, count(DISTINCT url) AS evidence, count(DISTINCT independent_group) AS groups, max({WEIGHT}) AS w, bool_or(source_layer = 'practitioner') AS practised, max({EVENT}) AS last_seen FROM cr GROUP BY 1)"""
 
+def assign_sql(stored, items):
+    """Each item beside every candidate before it, the best kept; then from item to item to the one that opened the signal."""
+    return rf"""WITH RECURSIVE {ART}, t AS (SELECT doc_id, concept_slug, CASE WHEN doc_id % 3 = 0 THEN {_sql_pick('floor(doc_id / 50.0)::BIGINT', 'Agent release notes for the ', 'Notes of the ', 'New graph engine ')} || {_sql_pick('doc_id', 'v1.2 tools', 'v1.3 tools', 'tools and tests', 'graph tests')} ELSE title END AS title,
+  list_distinct([source_language, source_family]) AS g, independent_group, CASE WHEN doc_id % 8 = 0 THEN 'e' || (doc_id % 48) END AS event_key, publish_decision = 'publish' AS joins, signal_slug FROM art WHERE publish_decision <> 'reject'),
+r AS (SELECT *, {TOKENS} AS k, nullif(regexp_extract(title, '(?i)\bv?(\d+\.\d+(?:\.\d+)?)\b', 1), '') AS v, {stored} AS s FROM t),
+p AS (SELECT i.doc_id, c.doc_id AS other, c.s, c.signal_slug, coalesce(i.event_key = c.event_key, false) OR coalesce(i.v = c.v AND i.independent_group IS NOT DISTINCT FROM c.independent_group, false) AS eq,
+  0.8 * coalesce(len(list_intersect(i.k, c.k)) / nullif(len(i.k) + len(c.k) - len(list_intersect(i.k, c.k)), 0), 0) + 0.2 * coalesce(len(list_intersect(i.g, c.g)) / nullif(len(i.g) + len(c.g) - len(list_intersect(i.g, c.g)), 0), 0) AS score
+  FROM r i JOIN r c ON i.concept_slug = c.concept_slug AND (c.s OR ({items.replace('doc_id', 'c.doc_id')} AND c.joins AND c.doc_id < i.doc_id)) AND coalesce(i.v = c.v, true) WHERE {items.replace('doc_id', 'i.doc_id')}),
+b AS (SELECT * FROM p WHERE eq OR score >= 0.5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY eq DESC, CASE WHEN eq THEN 0 ELSE -score END, s DESC, other) = 1),
+e AS (SELECT r.doc_id, CASE WHEN b.doc_id IS NULL THEN r.concept_slug || '-' || substr(sha256(r.concept_slug || chr(10) || lower(r.title)), 1, 10) ELSE b.signal_slug END AS signal_slug FROM r LEFT JOIN b ON r.doc_id = b.doc_id WHERE {items.replace('doc_id', 'r.doc_id')} AND (b.doc_id IS NULL OR b.s)
+  UNION ALL SELECT b.doc_id, e.signal_slug FROM e JOIN b ON b.other = e.doc_id AND NOT b.s)
+SELECT doc_id AS id, signal_slug FROM e"""
+
+
 ORACLES = {
+    "d_assign": assign_sql("doc_id % 5 = 0 AND joins", "doc_id % 5 <> 0"),
     "d_recent": f"WITH {ART} SELECT doc_id FROM art WHERE publish_decision = 'publish' AND {AGE_S} <= 10 * 86400 ORDER BY {EVENT} DESC, url LIMIT 50",
     "d_pairs": f"""WITH {ART}, t AS (SELECT doc_id, source_language, {TOKENS} AS k FROM art), p AS (SELECT a.doc_id, b.doc_id AS other_id, len(list_intersect(a.k, b.k)) AS c, len(a.k) AS n, len(b.k) AS m FROM t a JOIN t b ON a.source_language = b.source_language AND a.doc_id < b.doc_id)
 SELECT doc_id, other_id, round(c / (n + m - c), 6) AS similarity FROM p WHERE c > 0 AND round(c / (n + m - c), 6) >= 0.5""",

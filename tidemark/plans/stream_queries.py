@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import signals as sg
 from tidemark.operators import upserts as up
 from tidemark.plans.article_queries import EVENT
-from tidemark.plans.identity_queries import _titled
+from tidemark.plans.identity_queries import _titled, assign_sql
 from tidemark.plans.inputs import ART, AS_OF_SQL, articles, as_of, table
 from tidemark.plans.selection_queries import _pick, _sql_pick
 from tidemark.storage import materialize, new_path
@@ -32,13 +32,15 @@ def i_timely(spark, sf_dir):
 
 
 def i_velocity(spark, sf_dir):
-    rows = lambda df: items.sliding_velocity(df.select((F.col("user_id") % 10).alias("grp"), "event_type", F.col("ts").cast("timestamp").alias("ts")), "grp", "event_type")
-    return digest.run_available(spark, f"{sf_dir}/events.parquet", rows)
+    """Velocity and the other parts of heat, out of a stream's hourly panes."""
+    rows = lambda df: items.panes(df.select((F.col("user_id") % 10).alias("grp"), "event_type", F.floor("value").alias("value"), F.col("ts").cast("timestamp").alias("ts")), "grp", "event_type", "value")
+    return items.sliding_heat(digest.run_available(spark, f"{sf_dir}/events.parquet", rows), "grp")
 
 
 def i_pulses(spark, sf_dir):
-    rows = lambda days: lambda df: items.sliding_pulses(df.select("event_type", F.col("ts").cast("timestamp").alias("ts")), "event_type", days).withColumn("days", F.lit(days))
-    week, month = (digest.run_available(spark, f"{sf_dir}/events.parquet", rows(days)) for days in (7, 30))
+    rows = lambda df: items.day_counts(df.select("event_type", F.col("ts").cast("timestamp").alias("ts")), "event_type")
+    days = digest.run_available(spark, f"{sf_dir}/events.parquet", rows)
+    week, month = (items.sliding_pulses(days, "event_type", n).withColumn("days", F.lit(n)) for n in (7, 30))
     return week.unionByName(month)
 
 
@@ -139,8 +141,11 @@ la AS (SELECT url, count(*) AS attempts, arg_max(id, (t, id)) AS id FROM att GRO
 ORACLES = {
     "i_new_urls": "SELECT DISTINCT 'https://e/' || user_id || '/' || event_type AS url FROM events WHERE user_id % 5 <> 0",
     "i_timely": "WITH v AS (SELECT event_id, CASE WHEN ts <= TIMESTAMP '2024-01-21' THEN ts END AS ts FROM events) SELECT * FROM v WHERE ts IS NULL OR epoch(TIMESTAMP '2024-01-20') - floor(epoch(ts)) <= 864000",
-    "i_velocity": """WITH w AS (SELECT user_id % 10 AS grp, event_type, unnest(range(24)) AS h, ts FROM events), s AS (SELECT grp, event_type, date_trunc('hour', ts) - to_hours(h) AS start FROM w)
-SELECT grp, start, count(*) AS n, count(DISTINCT event_type) AS groups, round(least(100, 30 + log2(count(*) + 1) * 22), 1)::DOUBLE AS velocity FROM s GROUP BY ALL""",
+    "i_assign": assign_sql("false", "doc_id >= 0"),
+    "i_velocity": """WITH w AS (SELECT user_id % 10 AS grp, event_type, greatest(floor(value)::BIGINT, 0) AS value, unnest(range(24)) AS h, ts FROM events), s AS (SELECT *, date_trunc('hour', ts) - to_hours(h) AS start FROM w),
+c AS (SELECT grp, start, count(*) AS n, count(DISTINCT event_type) AS groups, sum(value) AS total, epoch_us(start + INTERVAL 24 HOUR) - epoch_us(max(ts)) AS age FROM s GROUP BY grp, start),
+p AS (SELECT *, least(100, ln(1 + total) / ln(10001) * 100) AS e, 100 * exp(-(age / 3600000000.0) / 72) AS f, least(100, 30 + log2(n + 1) * 22) AS v, least(100, 18 + log2(groups + 1) * 24) AS pa FROM c)
+SELECT grp, start, n, groups, round(e, 1) AS engagement, round(f, 1) AS freshness, round(v, 1) AS velocity, round(pa, 1) AS participation, round(e * 0.35 + f * 0.25 + v * 0.2 + pa * 0.2, 1) AS score FROM p""",
     "i_pulses": """WITH w AS (SELECT event_type, unnest(range(7)) AS d, ts, 7 AS days FROM events UNION ALL SELECT event_type, unnest(range(30)), ts, 30 FROM events) SELECT event_type, date_trunc('day', ts) - to_days(d::INT) AS start, count(*) AS n, days FROM w GROUP BY ALL""",
     "i_upsert": f"WITH {ART}, {UPSERT} SELECT url, publish_decision, relevance_score, title FROM u",
     "d_upserted": f"WITH {ART}, {UPSERT} SELECT * FROM u",

@@ -42,8 +42,24 @@ _SCRATCH: list[list[str]] = []  # tables of each open ``scratch``, innermost las
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern with asterisks; names only, nothing is read."""
+    files, target = _file_system(spark, pattern)
+    return [found.getPath().toString() for found in files.globStatus(target) or []]
 
 
 @contextmanager
