@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import clustering as cl
+from tidemark.operators import graph
 from tidemark.operators import identity as idn
 from tidemark.operators import ordering, signals, upserts, views
 from tidemark.operators import payloads as pl
@@ -279,3 +280,46 @@ def test_the_entry_without_the_training_data_operators(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+def plain_levels(edges):
+    """Kahn's algorithm; what it does not reach lies one below."""
+    names = list(dict.fromkeys(n for e in edges if e[0] != e[1] for n in e))
+    out, count = {n: set() for n in names}, dict.fromkeys(names, 0)
+    for a, b in set(edges):
+        if a != b:
+            out[a].add(b)
+            count[b] += 1
+    depth, queue, seen = dict.fromkeys(names, 0), [n for n in names if not count[n]], set()
+    for n in queue:
+        seen.add(n)
+        for m in out[n]:
+            depth[m] = max(depth[m], depth[n] + 1)
+            count[m] -= 1
+            queue += [m] * (not count[m])
+    lowest = max((depth[n] for n in seen), default=-1) + 1
+    depth = {n: depth[n] if n in seen else lowest for n in names}
+    rank = {}
+    for n in names:
+        rank[n] = sum(depth[m] == depth[n] for m in rank) + 1
+    return {n: (depth[n], rank[n], sum(d == depth[n] for d in depth.values())) for n in names}
+
+
+LADDER = [(f"{a}{i}", f"{b}{i + (a == 'd')}") for i in range(6) for a, b in ("ab", "ac", "bd", "cd", "da")]
+GRAPHS = {
+    "ladder of diamonds": LADDER, "ring with a tail and a way in": [("x", "y"), ("y", "z"), ("z", "y"), ("z", "t"), ("t", "tt"), ("r", "x"), ("r", "t")], "ring alone": [("a", "b"), ("b", "c"), ("c", "a"), ("a", "a")],
+    "ring and path": [("a", "b"), ("b", "a"), ("p", "q"), ("q", "s")], "loops only": [("a", "a")], "random": [(f"n{random.Random(i).randrange(30)}", f"n{random.Random(-i - 1).randrange(60)}") for i in range(60)],
+}
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_levels(spark, name):
+    edges = GRAPHS[name]
+    df = spark.createDataFrame([(*e, i) for i, e in enumerate(edges)], "src string, dst string, position int").repartition(3)
+    assert {r.node: (r.depth, r.rank, r.column_size) for r in graph.levels(df).collect()} == plain_levels(edges)
+
+
+def test_levels_of_a_long_path(spark):
+    path = spark.range(100_000).select(F.concat(F.lit("s"), "id").alias("src"), F.concat(F.lit("s"), F.col("id") + 1).alias("dst"))
+    found = graph.levels(path)
+    assert found.filter(F.concat(F.lit("s"), "depth") != F.col("node")).count() == 0 and found.count() == 100_001

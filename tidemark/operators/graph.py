@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import numbered
+from tidemark.operators.ordering import ranked
 from tidemark.storage import materialize
 
 
@@ -32,23 +32,84 @@ def redirected_edges(edges: DataFrame, redirects: DataFrame) -> DataFrame:
     return moved.filter(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"), F.sum("evidence").alias("evidence"))
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """(node, depth, rank, column_size): the longest path from a root; members of cycles lie one below all others.
+CONTRACT_EVERY = 8  # levels peeled between two contractions
+
 
-    Each round takes the nodes without an edge from an open node and drops the edges that leave them, so a round reads
-    only what is still open; there are as many rounds as levels.
+def contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, w) without the nodes that have one edge in and one out, whose lengths go to what is left; and where those nodes hang: (node, head, distance).
+
+    Nodes in a row find the node that the row begins at by doubling: after k rounds each has looked 2^k nodes back. Those that have none are
+    circles of their own, with a null head.
     """
-    open_edges = materialize(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct(), "open-edges")
-    waiting = materialize(open_edges.select(F.col("src").alias("node")).unionByName(open_edges.select(F.col("dst").alias("node"))).distinct(), "open-nodes")
-    placed, depth = waiting.withColumn("depth", F.lit(0)).limit(0), 0
-    while not waiting.isEmpty():
-        left = materialize(waiting.join(open_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi"), "open-nodes")
-        ready = waiting.join(left, "node", "left_anti")
+    single_in = edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("head"), F.min("w").alias("distance")).filter("n = 1")
+    single_out = edges.groupBy("src").agg(F.count("*").alias("n")).filter("n = 1").select(F.col("src").alias("node"))
+    rows = materialize(single_in.select(F.col("dst").alias("node"), "head", "distance").join(single_out, "node"), "rows-of-nodes")
+    inner = rows.select("node")
+    hanging, moving = rows.join(inner.select(F.col("node").alias("head")), "head", "left_anti").select(*rows.columns), rows.join(inner.select(F.col("node").alias("head")), "head", "left_semi").select(*rows.columns)
+    hanging, moving = materialize(hanging, "hanging"), materialize(moving, "moving")
+    for _ in range(rows.count().bit_length() + 1):
+        if moving.isEmpty():
+            break
+        ahead = hanging.withColumn("ended", F.lit(True)).unionByName(moving.withColumn("ended", F.lit(False))).select(F.col("node").alias("head"), F.col("head").alias("further"), F.col("distance").alias("more"), "ended")
+        stepped = materialize(moving.join(ahead, "head").select("node", F.col("further").alias("head"), (F.col("distance") + F.col("more")).alias("distance"), "ended"), "moving")
+        hanging, moving = hanging.unionByName(stepped.filter("ended").drop("ended")), stepped.filter("NOT ended").drop("ended")
+    hanging = materialize(hanging.unionByName(moving.withColumns({"head": F.lit(None).cast(moving.schema["head"].dataType)})), "hanging")
+    kept = edges.join(inner.select(F.col("node").alias("dst")), "dst", "left_anti")
+    begun = kept.join(hanging.select(F.col("node").alias("src"), "head", "distance"), "src", "left")
+    short = begun.filter("distance IS NULL OR head IS NOT NULL").select(F.coalesce("head", "src").alias("src"), "dst", (F.col("w") + F.coalesce("distance", F.lit(0))).alias("w"))
+    return materialize(short.groupBy("src", "dst").agg(F.max("w").alias("w")), "open-edges"), hanging
+
+
+def depths(edges: DataFrame) -> DataFrame:
+    """(node, depth) for (src, dst): the longest path from a root; null for nodes on cycles and behind them.
+
+    Rows of nodes with one edge in and one out are contracted first and now and then; in between, nodes without an open edge in are
+    taken off level by level. A long path takes rounds by its length's logarithm, and what is contracted gets its depth from its head at the end.
+    """
+    edges = materialize(edges.filter(F.col("src") != F.col("dst")).select("src", "dst").distinct().withColumn("w", F.lit(1)), "open-edges")
+    nodes = materialize(edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct(), "nodes")
+    removed: list[DataFrame] = []
+    pending, waiting, done = nodes.withColumn("depth", F.lit(0)), nodes, None
+    turn = 0
+    while not edges.isEmpty():
+        if turn % CONTRACT_EVERY == 0:
+            edges, hanging = contracted(edges)
+            if not hanging.isEmpty():
+                removed.append(hanging)
+                waiting = materialize(waiting.join(hanging, "node", "left_anti"), "waiting")
+        held = edges.select(F.col("dst").alias("node")).distinct()
+        ready = materialize(pending.join(waiting, "node", "left_semi").join(held, "node", "left_anti").groupBy("node").agg(F.max("depth").alias("depth")), "ready")
         if ready.isEmpty():
-            ready, left = waiting, waiting.limit(0)
-        placed = placed.unionByName(ready.withColumn("depth", F.lit(depth)))
-        open_edges = materialize(open_edges.join(left.withColumnRenamed("node", "src"), "src", "left_semi"), "open-edges")
-        waiting, depth = left, depth + 1
-    placed = materialize(placed, "levels")
+            break  # only cycles and what hangs on them are left
+        reached = edges.join(ready.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), (F.col("depth") + F.col("w")).alias("depth"))
+        done = ready if done is None else done.unionByName(ready)
+        waiting = materialize(waiting.join(ready, "node", "left_anti"), "waiting")
+        pending = materialize(pending.join(waiting, "node", "left_semi").unionByName(reached).groupBy("node").agg(F.max("depth").alias("depth")), "pending")
+        edges = materialize(edges.join(ready.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst", "w"), "open-edges")
+        turn += 1
+    if edges.isEmpty():
+        rest = pending.join(waiting, "node", "left_semi").groupBy("node").agg(F.max("depth").alias("depth"))
+        done = rest if done is None else done.unionByName(rest)
+    done = materialize(nodes.limit(0).withColumn("depth", F.lit(0)) if done is None else done, "depths")
+    for hanging in reversed(removed):
+        own = hanging.join(done.select(F.col("node").alias("head"), F.col("depth").alias("from")), "head").select("node", (F.col("from") + F.col("distance")).alias("depth"))
+        done = materialize(done.unionByName(own), "depths")
+    return nodes.join(done, "node", "left").select("node", "depth")
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """(node, depth, rank, column_size): the longest path from a root; members of cycles, and what lies behind them, lie one below all others.
+
+    Nodes are of any type. With a column ``position`` (numbers) nodes are ranked in their level by where they first appear, as src before dst; else by themselves. Self
+    loops and edges without an end are left out.
+    """
+    sound = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+    found = materialize(depths(sound), "levels")
+    last = found.agg(F.max("depth")).first()[0]
+    placed = found.select("node", F.coalesce("depth", F.lit(0 if last is None else last + 1)).alias("depth"))
+    by = "node"
+    if "position" in edges.columns:
+        seen = sound.select(F.explode(F.array(F.struct(F.col("src").alias("node"), (F.col("position") * 2).alias("first")), F.struct(F.col("dst").alias("node"), (F.col("position") * 2 + 1).alias("first")))).alias("s")).select("s.*")
+        placed, by = placed.join(seen.groupBy("node").agg(F.min("first").alias("first")), "node"), "first"
     sizes = placed.groupBy("depth").agg(F.count("*").alias("column_size"))
-    return numbered(placed, "depth", "node", "rank").join(sizes, "depth").select("node", "depth", "rank", "column_size")
+    return ranked(placed, "depth", by, "rank").join(sizes, "depth").select("node", "depth", "rank", "column_size")

@@ -116,7 +116,8 @@ def _found_by_pieces(texts: DataFrame, terms: DataFrame) -> DataFrame:
     rows = materialize(texts.select(F.monotonically_increasing_id().alias("number_of_text"), F.struct(*kept, F.lit(0).alias("_")).alias("of"), "text"), "numbered-texts")
     begun = terms.select("term", F.left("term", F.lit(GRAM)).alias("piece"))
     sizes = [r[0] for r in begun.select(F.length("piece")).distinct().collect()]  # at most GRAM numbers
-    cut = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i, n=n: F.substr(F.col("text"), i, F.lit(n))) for n in sizes]
+    pieces_of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substr(F.col("text"), i, F.lit(n)))
+    cut = [pieces_of(n) for n in sizes]
     pieces = rows.select("number_of_text", F.explode(F.array_distinct(F.concat(*cut))).alias("piece")) if cut else rows.select("number_of_text", F.lit("").alias("piece")).limit(0)
     possible = pieces.join(begun, "piece").groupBy("number_of_text").agg(F.collect_set("term").alias("terms"))
     held = rows.join(possible, "number_of_text").select("of", F.explode(F.filter("terms", lambda t: F.contains(F.col("text"), t))).alias("term"))

@@ -79,6 +79,16 @@ def h_levels(spark, sf_dir):
     return graph.levels(halves.unionByName(thirds))
 
 
+def h_slug_levels(spark, sf_dir):
+    """Levels of slugs, some of them on cycles, ranked by first appearance."""
+    part = table(spark, sf_dir, "part").select("p_partkey")
+    edge = lambda a, b, place: part.select(F.concat(F.lit("n-"), F.expr(a)).alias("src"), F.concat(F.lit("n-"), F.expr(b)).alias("dst"), F.expr(place).alias("position"), "p_partkey")
+    halves = edge("p_partkey div 2", "p_partkey", "(p_partkey * 7919L) % 1000003").filter("p_partkey >= 2")
+    thirds = edge("p_partkey div 3", "p_partkey", "1000003 + p_partkey").filter("p_partkey % 3 = 0")
+    back = edge("p_partkey", "p_partkey div 8", "3000000 + p_partkey").filter("p_partkey % 250 = 0")
+    return graph.levels(halves.unionByName(thirds).unionByName(back))
+
+
 def g_overflow(spark, sf_dir):
     cell = Window.partitionBy("p_brand", "p_type")
     rank = F.row_number().over(cell.orderBy("p_partkey"))
@@ -91,7 +101,7 @@ def i_weekly(spark, sf_dir):
     return digest.run_available(spark, f"{sf_dir}/events.parquet", digest.weekly_counts)
 
 
-QUERIES = {f.__name__: f for f in (f_changed_fields, f_latest_material, f_append, f_outcomes, f_claimable, a_attempts, a_runs, h_warming, d_redirects, h_levels, g_overflow, i_weekly)}
+QUERIES = {f.__name__: f for f in (f_changed_fields, f_latest_material, f_append, f_outcomes, f_claimable, a_attempts, a_runs, h_warming, d_redirects, h_levels, h_slug_levels, g_overflow, i_weekly)}
 
 REVISIONS = """r AS (SELECT *, row_number() OVER h AS revision, lag(o_orderstatus) OVER h AS s0, lag(o_orderpriority) OVER h AS p0
   FROM orders WINDOW h AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
@@ -120,6 +130,13 @@ SELECT src, dst, max(l_discount) AS confidence, count(*) AS evidence FROM m WHER
 w(node, d) AS (SELECT DISTINCT src, 0 FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, d + 1 FROM w JOIN e ON w.node = e.src),
 p AS (SELECT node, max(d) AS depth FROM w GROUP BY 1)
 SELECT node, depth, row_number() OVER (PARTITION BY depth ORDER BY node) AS rank, count(*) OVER (PARTITION BY depth) AS column_size FROM p""",
+    "h_slug_levels": """WITH RECURSIVE f AS (SELECT p_partkey // 2 AS s, p_partkey AS t, (p_partkey * 7919) % 1000003 AS pos FROM part WHERE p_partkey >= 2 UNION ALL SELECT p_partkey // 3, p_partkey, 1000003 + p_partkey FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT p_partkey, p_partkey // 8, 3000000 + p_partkey FROM part WHERE p_partkey % 250 = 0), e AS (SELECT DISTINCT s, t FROM f WHERE s <> t), k AS (SELECT s, t FROM e WHERE s > t),
+c(start, node) AS (SELECT DISTINCT t, t FROM k UNION SELECT c.start, e.t FROM c JOIN e ON c.node = e.s), u AS (SELECT DISTINCT node FROM c WHERE start IN (SELECT k.t FROM k JOIN c c2 ON c2.start = k.t AND c2.node = k.s)),
+v AS (SELECT s, t FROM e WHERE s NOT IN (FROM u) AND t NOT IN (FROM u)), n AS (SELECT node, min(pos) AS first FROM (SELECT s AS node, 2 * pos AS pos FROM f WHERE s <> t UNION ALL SELECT t, 2 * pos + 1 FROM f WHERE s <> t) GROUP BY node),
+w(node, d) AS (SELECT node, 0 FROM n WHERE node NOT IN (FROM u) AND node NOT IN (SELECT t FROM v) UNION SELECT v.t, d + 1 FROM w JOIN v ON w.node = v.s), m AS (SELECT node, max(d) AS d FROM w GROUP BY node),
+p AS (SELECT n.node, n.first, coalesce(m.d, (SELECT max(d) + 1 FROM m)) AS depth FROM n LEFT JOIN m ON n.node = m.node)
+SELECT 'n-' || node AS node, depth, row_number() OVER (PARTITION BY depth ORDER BY first) AS rank, count(*) OVER (PARTITION BY depth) AS column_size FROM p""",
     "g_overflow": """WITH r AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS rank, count(*) OVER (PARTITION BY p_brand, p_type) AS n FROM part)
 SELECT p_partkey, rank, CASE WHEN n <= 3 THEN 0 ELSE n - 2 END AS hidden FROM r WHERE rank <= CASE WHEN n <= 3 THEN n ELSE 2 END""",
     "i_weekly": """SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS week_start, event_type, count(*) AS n, count(*) FILTER (WHERE value > 50) AS high FROM events GROUP BY ALL""",
