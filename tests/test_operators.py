@@ -323,3 +323,33 @@ def test_levels_of_a_long_path(spark):
     path = spark.range(100_000).select(F.concat(F.lit("s"), "id").alias("src"), F.concat(F.lit("s"), F.col("id") + 1).alias("dst"))
     found = graph.levels(path)
     assert found.filter(F.concat(F.lit("s"), "depth") != F.col("node")).count() == 0 and found.count() == 100_001
+
+
+def plain_homes(stored, incoming):
+    """One by one: the first candidate of the list that has a key of the incoming one takes it, with its name and aliases."""
+    listed, out = [(s, {s, n, *a}) for s, n, a, _ in sorted(stored, key=lambda r: r[3])], {}
+    for slug, name, aliases, _ in sorted(incoming, key=lambda r: r[3]):
+        keys = {slug, name, *aliases}
+        for home, held in listed:
+            if held & keys:
+                held |= {name, *aliases}
+                break
+        else:
+            home = slug
+            listed.append((slug, keys))
+        out[slug] = home
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_candidates_find_their_homes(spark, seed):
+    """Keys that a home gains count on, incoming candidates meet each other, chains follow to their end, a slug's key goes when its owner joins another."""
+    rng = random.Random(seed)
+    key = lambda: f"k{rng.randrange(60)}"
+    row = lambda n: (f"s{n}", key(), [key() for _ in range(rng.randrange(3))], n)
+    stored, incoming = [row(n) for n in range(8)], [row(n) for n in range(100, 140)]
+    incoming += [(f"c{n}", f"chain{n}", [f"chain{n + 1}"], 200 + n) for n in range(20)]  # each shares a key with the one before only
+    incoming += [("t1", "t1name", [], 300), ("t2", "t1name", [], 301), ("t3", "t2", [], 302), ("t4", "t1", [], 303)]
+    kinds = "slug string, name string, aliases array<string>, place int"
+    got = idn.candidate_homes(spark.createDataFrame(stored, kinds), spark.createDataFrame(incoming, kinds).repartition(3))
+    assert {r.slug: r.home for r in got.collect()} == plain_homes(stored, incoming)

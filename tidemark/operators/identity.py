@@ -204,15 +204,39 @@ def identity_keys(candidates: DataFrame) -> DataFrame:
     return names.select("slug", tx.alias_key(F.col("alias")).alias("key")).filter(F.coalesce("key", F.lit("")) != "").distinct()
 
 
+def candidate_homes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(slug, home) of each incoming candidate: the slug of the first candidate that has one of its keys when its turn comes, else its own.
+
+    Stored candidates come first, then incoming ones, both by place. Whoever joins a home hands on the keys of its name and aliases; its slug's key counts only while it stands
+    alone. All look at once for the least home that held one of their keys before them, and follow that home's own home; this is repeated
+    until nothing moves. As a home depends on earlier candidates only, what no longer moves is what taking them one by one gives.
+    """
+    at = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("place").cast("long").alias("place"), "slug")
+    alias_key = tx.alias_key(F.col("alias"))
+    names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    each = stored.select(at(0).alias("at"), "slug", names.alias("names")).unionByName(incoming.select(at(1).alias("at"), "slug", names.alias("names")))
+    kept = each.select("at", F.explode("names").alias("alias"), F.lit(True).alias("handed_on")).unionByName(each.select("at", F.col("slug").alias("alias"), F.lit(False).alias("handed_on")))
+    keys = kept.select("at", alias_key.alias("key"), "handed_on").filter(F.coalesce("key", F.lit("")) != "").groupBy("at", "key").agg(F.max("handed_on").alias("handed_on"))
+    keys = materialize(keys, "candidate-keys")
+    homes = materialize(each.select("at", F.col("at").alias("home")), "candidate-homes")
+    earlier = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        held = keys.join(homes, "at").withColumn("offered", F.when(F.col("handed_on") | (F.col("home") == F.col("at")), F.col("home")))
+        least = held.withColumn("before", F.min("offered").over(earlier)).groupBy("at").agg(F.min("before").alias("before"))
+        found = homes.join(least, "at", "left").select("at", F.col("home").alias("was"), F.when(F.col("at.kind") == 0, F.col("at")).otherwise(F.coalesce("before", "at")).alias("home"))
+        further = homes.select(F.col("at").alias("home"), F.col("home").alias("further"))
+        moved = materialize(found.join(further, "home").select("at", "was", F.when(F.col("home") == F.col("at"), F.col("at")).otherwise(F.least("home", "further")).alias("home")), "candidate-homes")
+        homes = moved.select("at", "home")
+        if moved.filter("was <> home").isEmpty():
+            return homes.filter("at.kind = 1").select(F.col("at.slug").alias("slug"), F.col("home.slug").alias("home"))
+
+
 def merged_candidates(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """(slug, name, aliases, signals, last_seen, members): stored candidates with the incoming ones that share a key with them.
+    """(slug, name, aliases, signals, last_seen, members): stored candidates, and incoming ones each at its home (see ``candidate_homes``).
 
-    An incoming candidate joins the first stored one (by place) that it shares a key with; without one it stands alone.
-    Aliases unite, signals add up, the latest time stays. Both sides: slug, name, aliases, place, signals, last_seen.
+    Aliases unite, signals add up, the latest time stays. Both sides: slug, name, aliases, place, signals, last_seen; slugs are distinct.
     """
-    home = identity_keys(incoming).withColumnRenamed("slug", "of").join(identity_keys(stored).join(stored.select("slug", "place"), "slug"), "key")
-    first = home.groupBy("of").agg(F.min_by("slug", F.struct("place", "slug")).alias("home"))
-    placed = incoming.join(first, incoming["slug"] == first["of"], "left").withColumn("home", F.coalesce("home", "slug"))
+    placed = incoming.join(candidate_homes(stored, incoming), "slug")
     own = stored.withColumn("home", F.col("slug")).withColumn("kind", F.lit(0))
     both = own.unionByName(placed.withColumn("kind", F.lit(1)).select(*own.columns))
     return both.groupBy("home").agg(

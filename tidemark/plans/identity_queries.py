@@ -213,7 +213,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY place) AS n FROM
 SELECT cc.slug, name, coalesce(evidence, 0) AS evidence, CASE w WHEN 3 THEN 'official' WHEN 2 THEN 'practitioner' ELSE 'community' END AS layer, place % 6 AS revision, coalesce(urls, '') AS urls FROM cc LEFT JOIN sm ON cc.slug = sm.slug WHERE stage = 'candidate'""",
     "e_candidate_slug": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN replace(p_name, ' ', '-') || '-x-' || p_partkey WHEN 1 THEN replace(p_name, ' ', '-') || '-e-' || p_partkey ELSE 'candidate-' || substr(sha256('中' || (p_partkey % 10)), 1, 12) END AS slug FROM part""",
     "e_merged_candidates": f"""WITH {CONCEPTS}, st AS (SELECT slug, name, aliases, place, place % 7 AS signals FROM cc WHERE stage = 'candidate'), inc AS (SELECT 'in-' || p_partkey AS slug, 'In ' || p_partkey AS name, [CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE 'own' || p_partkey END] AS aliases, p_partkey AS place, p_partkey % 5 AS signals, p_name FROM part WHERE p_partkey % 3 = 1),
-pl AS (SELECT coalesce(st.slug, inc.slug) AS home, 1 AS kind, inc.name, inc.aliases, inc.place, inc.signals FROM inc LEFT JOIN st ON inc.p_name = st.name AND inc.place % 2 = 0 UNION ALL SELECT slug, 0, name, aliases, place, signals FROM st),
+pl AS (SELECT coalesce(st.slug, CASE WHEN inc.place % 2 = 0 THEN 'in-' || min(inc.place) OVER (PARTITION BY inc.p_name, inc.place % 2) ELSE inc.slug END) AS home, 1 AS kind, inc.name, inc.aliases, inc.place, inc.signals FROM inc LEFT JOIN st ON inc.p_name = st.name AND inc.place % 2 = 0 UNION ALL SELECT slug, 0, name, aliases, place, signals FROM st),
 al AS (SELECT home, array_to_string(list_sort(list_distinct(flatten(list(list_concat([name], aliases))))), ',') AS aliases FROM pl GROUP BY 1)
 SELECT home AS slug, arg_min(name, (kind, place)) AS name, any_value(al.aliases) AS aliases, sum(signals)::BIGINT AS signals, TIMESTAMP '2024-01-01' + to_minutes(max(place)) AS last_seen, count(*) AS members FROM pl JOIN al USING (home) GROUP BY home""",
     "e_not_promoted": f"""WITH {CONCEPTS} SELECT 'in-' || p_partkey AS slug, p_partkey AS place FROM part WHERE p_partkey % 3 = 1 AND NOT (p_partkey % 2 = 0 AND p_name IN (SELECT name FROM cc WHERE (stage <> 'candidate' AND merged_into IS NULL) OR merged_into IS NOT NULL))""",
