@@ -32,6 +32,22 @@ def redirected_edges(edges: DataFrame, redirects: DataFrame) -> DataFrame:
     return moved.filter(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"), F.sum("evidence").alias("evidence"))
 
 
+def canonical_relations(relations: DataFrame, merges: DataFrame, formal: DataFrame) -> DataFrame:
+    """(slug, type, target, confidence, urls) with merged targets followed to their end: each once, the best confidence, all urls.
+
+    ``merges``: src, dst, one dst for each src; ``formal``: slug. A target that is not formal in the end goes, one on a circle of
+    merges included, and so does a relation to itself. A concept that was merged away takes its own relations along.
+    """
+    ends = materialize(resolve_redirects(merges), "merge-ends")
+    circles = merges.select(F.col("src").alias("slug")).join(ends.select(F.col("src").alias("slug")), "slug", "left_anti")
+    to = lambda c: ends.select(F.col("src").alias(c), F.col("dst").alias(f"{c}_end"))
+    moved = relations.join(to("slug"), "slug", "left").join(to("target"), "target", "left").withColumns({c: F.coalesce(f"{c}_end", c) for c in ("slug", "target")})
+    alive = formal.select("slug").join(circles, "slug", "left_anti").select(F.col("slug").alias("target")).distinct()
+    kept = moved.filter(F.col("slug") != F.col("target")).join(alive, "target", "left_semi")
+    sums = kept.groupBy("slug", "type", "target").agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("urls", F.array().cast("array<string>")))))).alias("urls"))
+    return sums.select("slug", "type", "target", "confidence", "urls")
+
+
 CONTRACT_EVERY = 8  # levels peeled between two contractions
 
 

@@ -33,18 +33,32 @@ def support(evidence: DataFrame) -> DataFrame:
     )
 
 
-def lifecycle(supported: DataFrame, defined: Column, current: Column, idle_days: Column) -> DataFrame:
-    """Adds maturity and stage. ``defined``: the concept has a stable definition and mechanism."""
-    base = defined & (F.col("groups") >= 2) & (F.col("official_groups") + F.col("practitioner_groups") > 0)
+def lifecycle(
+    supported: DataFrame, defined: Column, current: Column, idle_days: Column, mechanism: Column | None = None, depth: Column | None = None,
+    evidence_age: Column | None = None, superseded: Column | None = None, stage_age: Column | None = None,
+) -> DataFrame:
+    """Adds maturity and stage, from what the concept has and how long it has been still.
+
+    ``defined``: it has a stable definition; ``mechanism``: and a mechanism (as ``defined`` where not given), each a quarter of
+    maturity; ``depth``: its engineering is described. ``idle_days`` count from its last meaningful change, ``evidence_age``
+    from its newest evidence (null: none; the same days where not given), ``stage_age`` from its last change of stage. A
+    ``superseded`` concept is archived after a year without change, or once it has been cooling for a day.
+    """
+    mechanism, depth = defined if mechanism is None else mechanism, F.lit(True) if depth is None else depth
+    evidence_age = idle_days if evidence_age is None else F.coalesce(evidence_age.cast("double"), F.lit(float("inf")))
+    superseded, stage_age = F.lit(False) if superseded is None else F.coalesce(superseded, F.lit(False)), F.lit(0) if stage_age is None else F.coalesce(stage_age, F.lit(0))
+    base = defined & mechanism & depth & (F.col("groups") >= 2) & (F.col("official_groups") + F.col("practitioner_groups") > 0)
     stage = (
         F.when(current == "archived", "archived")
+        .when(superseded & ((idle_days > 365) | ((current == "cooling") & (stage_age >= 1))), "archived")
         .when(base & (F.col("conflicts") > 0), "contested")
-        .when(current.isin("validated", "contested", "cooling") & (idle_days > 180), "cooling")
+        .when(current.isin("validated", "contested", "cooling") & (idle_days > 180) & (evidence_age > 180), "cooling")
         .when(~base, "candidate")
         .when((F.col("groups") >= 3) & (F.col("practitioner_groups") >= 1), "validated")
         .otherwise("emerging")
     )
-    maturity = F.when(defined, 50).otherwise(0) + F.least(F.lit(25), F.col("official_groups") * 25) + F.least(F.lit(25), F.col("practitioner_groups") * 25)
+    quarter = lambda c: F.when(c, 25).otherwise(0)
+    maturity = quarter(defined) + quarter(mechanism) + quarter(F.col("official_groups") > 0) + quarter(F.col("practitioner_groups") > 0)
     return supported.withColumns({"maturity": maturity.cast("long"), "stage": stage})
 
 
@@ -61,3 +75,28 @@ def maintained(items: DataFrame, as_of: Column, defined: Column, current: Column
     done = lifecycle(rows, defined, stood, F.col("idle"))
     heat = concept_heat(items, as_of, ("publish",))
     return done.join(heat, "concept_slug", "left").select("concept_slug", "before", "stage", "maturity", F.coalesce("heat", F.lit(0.0)).alias("heat"))
+
+
+FORMAL_STAGES = ("emerging", "validated", "contested", "cooling")
+
+
+def maintenance(states: DataFrame, done: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((slug, outcome, dropped), the relations that stay): what maintenance makes of every concept.
+
+    ``states``: slug, stage, maturity, heat, supported (some evidence is still public or watched), usable (a valid revision is
+    there); ``done``: slug with the stage, maturity and heat judged now; ``relations``: slug, target and any others. A relation
+    stays only while its target is formal and supported. A concept without a usable revision failed and keeps its relations; one
+    of which a judged value or a relation changed is updated, any other unchanged.
+    """
+    targets = states.filter(F.col("stage").isin(*FORMAL_STAGES) & F.col("supported")).select(F.col("slug").alias("target")).distinct()
+    failed = states.filter(~F.col("usable")).select("slug")
+    known = relations.join(targets.withColumn("is_formal", F.lit(True)), "target", "left").join(failed.withColumn("is_failed", F.lit(True)), "slug", "left")
+    marked = known.withColumn("stays", F.col("is_formal").isNotNull() | F.col("is_failed").isNotNull())
+    lost = marked.groupBy("slug").agg(F.count_if(~F.col("stays")).alias("dropped"))
+    judged = done.select("slug", *[F.col(c).alias(f"now_{c}") for c in ("stage", "maturity", "heat")])
+    rows = states.join(judged, "slug", "left").join(lost, "slug", "left").withColumn("dropped", F.coalesce("dropped", F.lit(0)))
+    moved = F.col("dropped") > 0
+    for c in ("stage", "maturity", "heat"):
+        moved |= ~F.col(c).eqNullSafe(F.col(f"now_{c}"))
+    outcome = F.when(~F.col("usable"), "failed").when(moved, "updated").otherwise("unchanged")
+    return rows.select("slug", outcome.alias("outcome"), "dropped"), marked.filter("stays").select(*relations.columns)

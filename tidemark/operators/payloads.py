@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as tx
+from tidemark.operators.graph import resolve_redirects
 from tidemark.operators.selection import SLUG
+from tidemark.storage import materialize
 
 #: The fields of a concept, and what may be cited or is asked of a formal one.
 TEXT_FIELDS = ("canonicalName", "definition", "nonDefinition", "problem", "whyNow", "origin", "mechanism", "architecture", "dailyDelta", "lastMeaningfulChange")
@@ -35,6 +37,7 @@ GROUPS = {
     "controversies": ("controversies",), "identity": ("canonicalName", "aliases", "themes"), "lifecycle": ("stage", "maturity"),
 }
 MOST_CONCEPTS, MOST_CLAIMS, MOST_OUTPUTS, MOST_THEMES = 3, 8, 8, 6
+MOST_ISSUES, MOST_WARNINGS = 40, 20
 
 
 @dataclass(frozen=True)
@@ -219,9 +222,11 @@ def survivors(p: Payloads, merges: DataFrame) -> tuple[Payloads, DataFrame]:
 
     ``merges``: from_slug, into_slug. Arrays unite and the merged slug and name become aliases; the survivor's texts stand.
     Evidence keeps the strongest stance and all supports, claims the highest confidence, citations unite where the field is a
-    list or both say the same; relations follow the merge, the best of each type and target stays, none to itself.
+    list or both say the same; relations follow the merge, the best confidence and all urls of each type and target stay, none to
+    itself. Merges may follow each other: all of a chain goes to its end. A concept on a circle of merges stays as it is.
     """
-    to = merges.select(F.col("from_slug").alias("slug"), "into_slug")
+    ends = resolve_redirects(merges.select(F.col("from_slug").alias("src"), F.col("into_slug").alias("dst")))
+    to = materialize(ends, "merge-ends").select(F.col("src").alias("slug"), F.col("dst").alias("into_slug"))
     moved = lambda df: df.join(to, "slug", "left").withColumns({"own": F.col("into_slug").isNull(), "origin": F.col("slug"), "slug": F.coalesce("into_slug", "slug")}).drop("into_slug")
     fields = moved(p.fields)
     names = fields.filter(~F.col("own") & (F.col("field") == "canonicalName")).select("slug", F.lit("aliases").alias("field"), F.array_join(F.array("value", "origin"), "\n").alias("value"))
@@ -293,6 +298,31 @@ def readiness(issues: DataFrame, integrity: DataFrame, formal: DataFrame, shown:
     return both.select(status.alias("status"), recovery.alias("recovery"), "issues", "failing", "corrupt", "recovered")
 
 
+def readiness_findings(issues: DataFrame, integrity: DataFrame, formal: DataFrame, shown: DataFrame, most_issues: int = MOST_ISSUES, most_warnings: int = MOST_WARNINGS) -> DataFrame:
+    """(level, place, slug, code, item): the first issues and warnings behind a verdict, by slug, code and item.
+
+    Issues: corrupt concepts, formal ones that the snapshot lacks, and what keeps a formal concept from being public. Warnings:
+    concepts recovered from an earlier revision.
+    """
+    missing = found(formal.join(shown.select("slug"), "slug", "left_anti"), "FORMAL_CONCEPT_MISSING_FROM_SNAPSHOT", F.lit(""))
+    corrupt = found(integrity.filter("status = 'corrupt'"), "CORRUPT_CONCEPT_PAYLOAD", F.lit(""))
+    warnings = found(integrity.filter("status = 'recovered'"), "RECOVERED_CONCEPT_PAYLOAD", F.col("revision"))
+
+    def first(rows: DataFrame, level: str, most: int) -> DataFrame:
+        order = ["slug", "code", "item"]
+        cut = rows.select(*order).orderBy(*order).limit(most)  # a top-k, so that the window below sees no more than these
+        return cut.select(F.lit(level).alias("level"), F.row_number().over(Window.orderBy(*order)).alias("place"), *order)
+
+    return first(issues.select("slug", "code", "item").unionByName(missing).unionByName(corrupt), "issue", most_issues).unionByName(first(warnings, "warning", most_warnings))
+
+
+def integrity_counts(integrity: DataFrame, revisions: DataFrame) -> DataFrame:
+    """One row: healthy, recovered and corrupt concepts, and the revisions that are valid and not."""
+    states = integrity.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("healthy", "recovered", "corrupt")])
+    counts = revisions.agg(F.count_if("valid").alias("valid_revisions"), F.count_if(~F.col("valid")).alias("invalid_revisions"))
+    return states.crossJoin(counts)  # two rows of one
+
+
 def themes(labels: DataFrame, catalog: DataFrame, default: str) -> tuple[DataFrame, DataFrame]:
     """((slug, themes) of at most six theme ids in the order of the labels, (slug, label) that the catalog lacks).
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import article_queries, identity_queries, job_queries, ledger_queries, page_queries, payload_queries, selection_queries, source_queries, stream_queries, view_queries
+from tidemark.plans import article_queries, identity_queries, job_queries, ledger_queries, lifecycle_queries, page_queries, payload_queries, selection_queries, source_queries, stream_queries, view_queries
 
-MODULES = [article_queries, job_queries, identity_queries, ledger_queries, page_queries, payload_queries, selection_queries, source_queries, stream_queries, view_queries]
+MODULES = [article_queries, job_queries, identity_queries, ledger_queries, lifecycle_queries, page_queries, payload_queries, selection_queries, source_queries, stream_queries, view_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
