@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,7 @@ TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "source", "utm_campaig
 
 #: Hosts that are no public address, by name and by range.
 LOCAL_NAMES = r"^(localhost|.*\.localhost|.*\.local|.*\.internal|metadata\.google)$"
+UNSAFE_IN_PATH, UNSAFE_IN_QUERY = r"""[^!-~]|["<>`{}]""", r"""[^!-~]|["'<>]"""
 IPV4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 BLOCKED_IPV4 = (
     r"^(0|10|127|22[4-9]|2[3-9]\d)\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^169\.254\.|^172\.(1[6-9]|2\d|3[01])\.|^192\.0\.[02]\."
@@ -123,16 +125,77 @@ def blocked_host(host: Column) -> Column:
     return host.isNull() | F.regexp_like(host, F.lit(LOCAL_NAMES)) | ipv4 | F.regexp_like(host, F.lit(BLOCKED_IPV6))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body reads it: keeps expressions, and so plans, small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def encoded(part: Column, unsafe: str) -> Column:
+    """Characters of the class ``unsafe`` as %XX of their UTF-8 bytes; what is encoded already stays."""
+    char = lambda c: F.when(F.regexp_like(c, F.lit(unsafe)), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)
+    return let(part, lambda p: F.when(F.regexp_like(p, F.lit(unsafe)), F.array_join(F.transform(F.split(p, ""), char), "")).otherwise(p))
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its . and .. parts taken; those that would go above the root stay at it."""
+    none = F.array().cast("array<string>")
+    up = lambda held: F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))
+    step = lambda held, s: F.when(s == "..", up(held)).when(s == ".", held).otherwise(F.array_append(held, s))
+    plain = lambda s: let(F.replace(F.lower(s), F.lit("%2e"), F.lit(".")), lambda d: F.when(d.isin(".", ".."), d).otherwise(s))
+    ends = lambda p: F.when(F.regexp_like(p, F.lit(r"(?i)/(\.|%2e){1,2}$")), F.concat(p, F.lit("/"))).otherwise(p)
+    walked = lambda p: F.concat(F.lit("/"), F.array_join(F.aggregate(F.transform(F.split(F.regexp_replace(ends(p), "^/", ""), "/"), plain), none, step), "/"))
+    return let(path, lambda p: F.when(F.regexp_like(p, F.lit(r"(?i)/(\.|%2e){1,2}(/|$)")), walked(p)).otherwise(p))
+
+
+def dotted_ipv4(host: Column) -> Column:
+    """A host that ends in a number, in the usual four parts: parts may be decimal, octal or hexadecimal and the last one may
+    stand for several; null where it is no address after all. Any other host stays."""
+    number = r"(0x[0-9a-f]{0,8}|0[0-7]{0,11}|[1-9]\d{0,9})"
+    digits = lambda p: F.when(F.startswith(p, F.lit("0x")), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 8)), 16, 10)).when(F.startswith(p, F.lit("0")), F.conv(p, 8, 10)).otherwise(p)
+    # the last part counts for all bytes that the others leave, so in bytes from the left: one for each part but the last
+    weight = lambda i: F.pow(F.lit(256.0), 3 - i).cast("long")
+
+    def read(parts: Column) -> Column:
+        head, last = F.slice(parts, 1, F.size(parts) - 1), F.element_at(parts, -1)
+        total = F.aggregate(F.transform(head, lambda p, i: p * weight(i)), last, lambda a, x: a + x)
+        written = let(total, lambda t: F.concat_ws(".", *[F.shiftright(t, k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0)]))
+        return F.when(F.forall(head, lambda p: p <= 255) & (last < F.pow(F.lit(256.0), 5 - F.size(parts))), written)
+
+    def form(h: Column) -> Column:
+        address = F.when(F.regexp_like(h, F.lit(rf"^({number}\.){{0,3}}{number}$")), let(F.transform(F.split(h, r"\."), lambda p: digits(p).try_cast("long")), read))
+        return F.when(F.regexp_like(h, F.lit(r"^(.*\.)?(\d+|0x[0-9a-f]*)$")), address).otherwise(h)
+
+    return let(host, form)
+
+
+def resolved_url(href: Column, page: Column) -> Column:
+    """An address read against that of the page it stands on: whole, from the host, from the root, from the page's folder, or its query alone."""
+    return let(F.trim(href), lambda h: let(page, lambda p: _resolved(h, p)))
+
+
+def _resolved(href: Column, page: Column) -> Column:
+    scheme, origin = F.regexp_extract(page, r"(?i)^([a-z]+:)", 1), F.regexp_extract(page, r"(?i)^([a-z]+://[^/?#]+)", 1)
+    path = F.regexp_extract(page, r"(?i)^[a-z]+://[^/?#]+([^?#]*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, "^(.*/)", 1), F.lit("")), F.lit("/"))
+    return (
+        F.when(F.regexp_like(href, F.lit(r"(?i)^[a-z][a-z0-9+.-]*:")), href).when(F.startswith(href, F.lit("//")), F.concat(scheme, href)).when(F.startswith(href, F.lit("/")), F.concat(origin, href))
+        .when(F.startswith(href, F.lit("?")), F.concat(origin, path, href)).when((href == "") | F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(page, "#.*$", ""), href)).otherwise(F.concat(origin, folder, href))
+    )
+
+
 def canonical_url(url: Column) -> Column:
     """A public https address without user, fragment and tracking parameters; null for anything else.
 
-    Names of parameters are compared without regard to case; the others keep their order and spelling.
+    Dot parts of the path are taken, other than plain characters encoded, short and odd forms of IPv4 written out. Names of
+    parameters are compared without regard to case; the others keep their order and spelling.
     """
-    url = F.trim(url)
-    host = host_of(url)
+    return let(F.trim(url), lambda u: let(dotted_ipv4(host_of(u)), lambda host: _canonical(u, host)))
+
+
+def _canonical(url: Column, host: Column) -> Column:
     port = F.regexp_extract(url, r"(?i)^https://(?:\[[^\]]*\]|[^/?#:@\\]*)(:\d+)?", 1)
-    path = F.regexp_extract(url, r"(?i)^https://[^/?#]*([^?#]*)", 1)
-    query = F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&")
+    path = encoded(without_dots(F.regexp_extract(url, r"(?i)^https://[^/?#]*([^?#]*)", 1)), UNSAFE_IN_PATH)
+    query = F.split(encoded(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), UNSAFE_IN_QUERY), "&")
     name = lambda p: F.lower(F.substring_index(p, "=", 1))
     kept = F.filter(query, lambda p: (p != "") & ~name(p).isin(*TRACKING) & ~F.startswith(name(p), F.lit("utm_")))
     rebuilt = F.concat(F.lit("https://"), host, F.when(port.isin("", ":443"), "").otherwise(port), F.when(path == "", "/").otherwise(path), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))

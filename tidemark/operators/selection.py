@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -188,14 +190,42 @@ def listed_in_order(items: DataFrame, urls: DataFrame) -> DataFrame:
     return urls.groupBy("url").agg(F.min("place").alias("place")).join(items, "url").orderBy("place")
 
 
-def rule_analysis(items: DataFrame, rules: list[tuple[str, list[str]]], default: str, topics: list[tuple[str, str]], stages: list[tuple[str, str]], words: list[str], migration: str) -> DataFrame:
+@dataclass(frozen=True)
+class TopicRules:
+    """How topics are told: a move by its words in the title, or in the text of a source of status; then cases by text; then concepts."""
+
+    move: tuple[str, str]  # topic and pattern
+    status_class: str
+    cases: list[tuple[str, str]]
+    concepts: tuple[str, tuple[str, ...]]  # topic and concept slugs
+    default: str
+
+    def topic(self, text: Column, concept: Column, title: Column, source_class: Column) -> Column:
+        """The first rule that fits."""
+        name, words = self.move
+        says = lambda c: F.regexp_like(F.coalesce(c, F.lit("")), F.lit(words))
+        found = F.when(says(title) | (F.coalesce(source_class == self.status_class, F.lit(False)) & says(text)), name)
+        for case, pattern in self.cases:
+            found = found.when(F.regexp_like(F.coalesce(text, F.lit("")), F.lit(pattern)), case)
+        by_concept, slugs = self.concepts
+        return found.when(concept.isin(*slugs), by_concept).otherwise(self.default)
+
+    def stage(self, text: Column, topic: Column, cases: list[tuple[str, str]], default: str = "Spark") -> Column:
+        """A move is cooling; else the first stage whose pattern the text matches."""
+        return F.when(topic == self.move[0], "Cooling").otherwise(first_case(F.coalesce(text, F.lit("")), cases, default))
+
+
+def rule_analysis(items: DataFrame, rules: list[tuple[str, list[str]]], default: str, topics: list[tuple[str, str]], stages: list[tuple[str, str]], words: list[str], migration: str, by: TopicRules | None = None) -> DataFrame:
     """What the rules alone say about items: concept, topic, stage, tags, scores, decision and event key.
 
     Reads doc_id, title, text, source_layer and relevance_score. Topics and stages are (name, pattern) in the order they are
-    tried, over the title and the first 500 characters; a ``migration`` topic is always cooling.
+    tried, over the title and the first 500 characters; a ``migration`` topic is always cooling. With ``by``
+    its rules tell the topic instead, and source_class is read too.
     """
     headline = F.concat_ws(" ", "title", F.substring("text", 1, 500))
-    rows = items.withColumns({"concept": best_rule(F.col("text"), rules, default), "topic": first_case(headline, topics, TOPICS[2])})
+    rows = items.withColumn("concept", best_rule(F.col("text"), rules, default))
+    topic = first_case(headline, topics, TOPICS[2]) if by is None else by.topic(headline, F.col("concept"), F.col("title"), F.col("source_class"))
+    rows = rows.withColumn("topic", topic)
     rows = rows.withColumn("stage", F.when(F.col("topic") == migration, "Cooling").otherwise(first_case(headline, stages, "Spark")))
     bounded = lambda c: F.greatest(F.lit(0), F.least(F.lit(100), F.round(c).cast("int")))
     evidence = F.when(F.col("source_layer") == "official", 90).when(F.col("source_layer") == "practitioner", 70).otherwise(50)

@@ -23,33 +23,49 @@ def _of(divisor, value):
 
 
 def _digested(items):
-    return items.withColumn("excerpt", F.sha2("excerpt", 256))
+    return items.drop("pos").withColumn("excerpt", F.sha2("excerpt", 256))
 
 
-def b_issues(spark, sf_dir):
+def issues_payloads(spark, sf_dir):
     item = F.struct(F.col("head").alias("title"), F.concat(F.lit("https://x.example.com/"), "id", F.lit("#c")).alias("html_url"), F.col("start").alias("body"), (F.col("doc_id") % 9).alias("comments"), _of(2, F.lit("2024-01-02T03:04:05Z")).alias("created_at"), F.lit("2024-01-01T00:00:00Z").alias("updated_at"), _of(3, F.struct(F.lit("u").alias("url"))).alias("pull_request"))
-    return _digested(payloads.issues(_payloads(spark, sf_dir, item)))
+    return _payloads(spark, sf_dir, item)
 
 
-def b_posts(spark, sf_dir):
+def b_issues(spark, sf_dir):
+    return _digested(payloads.issues(issues_payloads(spark, sf_dir)))
+
+
+def posts_payloads(spark, sf_dir):
     counts = [_of(k, F.col("doc_id") % (k + 5)).alias(n) for k, n in ((1, "replyCount"), (2, "repostCount"), (3, "likeCount"), (4, "quoteCount"))]
     record = F.struct(_of(2, F.col("start")).alias("text"), _of(5, F.lit("2024-01-02T03:04:05Z")).alias("createdAt"))
     item = F.struct(F.concat(F.lit("at://did/post/"), "id").alias("uri"), F.struct(F.col("source").alias("handle")).alias("author"), F.col("head").alias("text"), record.alias("record"), F.lit("2024-01-01T00:00:00Z").alias("indexedAt"), *counts)
-    return _digested(payloads.posts(_payloads(spark, sf_dir, item, "posts")))
+    return _payloads(spark, sf_dir, item, "posts")
 
 
-def b_forum(spark, sf_dir):
+def b_posts(spark, sf_dir):
+    return _digested(payloads.posts(posts_payloads(spark, sf_dir)))
+
+
+def forum_payloads(spark, sf_dir):
     item = F.struct(
         _of(2, F.col("head")).alias("title"), _of(3, F.concat(F.lit("s"), "id")).alias("story_title"), F.col("start").alias("comment_text"), F.col("id").alias("objectID"), (F.col("doc_id") % 7).alias("points"), _of(3, F.col("doc_id") % 11).alias("num_comments"),
         _of(4, F.lit("2024-01-02T03:04:05Z")).alias("created_at"), F.lit(1700000000).alias("created_at_i"),
     )
-    return _digested(payloads.forum(_payloads(spark, sf_dir, item, "hits")))
+    return _payloads(spark, sf_dir, item, "hits")
 
 
-def b_papers(spark, sf_dir):
+def b_forum(spark, sf_dir):
+    return _digested(payloads.forum(forum_payloads(spark, sf_dir)))
+
+
+def papers_payloads(spark, sf_dir):
     nested = _of(2, F.struct(F.concat(F.lit("p "), "head").alias("title"), F.concat(F.lit("p"), "id").alias("id"), F.col("start").alias("summary"), (F.col("doc_id") % 13).alias("upvotes")))
     item = F.struct(F.col("head").alias("title"), F.col("id"), F.lit("flat").alias("abstract"), (F.col("doc_id") % 3).alias("numComments"), _of(5, F.col("doc_id") % 17).alias("upvotes"), F.lit("2024-01-03T00:00:00Z").alias("publishedAt"), nested.alias("paper"))
-    return _digested(payloads.papers(_payloads(spark, sf_dir, item)))
+    return _payloads(spark, sf_dir, item)
+
+
+def b_papers(spark, sf_dir):
+    return _digested(payloads.papers(papers_payloads(spark, sf_dir)))
 
 
 def b_links(spark, sf_dir):

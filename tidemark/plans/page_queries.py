@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.plans import job_queries as jobs
 from tidemark.plans.inputs import table
 from tidemark.sources import feeds, pages
 
@@ -87,13 +91,46 @@ def b_dispatch(spark, sf_dir):
     return found.select("source_id", "route").unionByName(unread).groupBy("route").agg(F.count("*").alias("n"), F.count_distinct("source_id").alias("sources"))
 
 
+HREFS = ["c/d", "../e", "/f/./g/../h", "?q=1&ref=x", "#top", "//o.example.com/i", "mailto:me@example.com", "ü/ x", "/%C3%A9?q='é\"", "https://0x7f.1/", "https://2130706433/", "https://8.8/", "https://010.8.8.8/", "https://1.2.3.4.5/", "https://256.1/", "../../../../z/..", "/{a}|b^c`"]
+RESOLVED = ["/a/b/c/d", "/a/e", "/f/h", "/a/b/{n}?q=1", "/a/b/{n}", None, None, "/a/b/%C3%BC/%20x", "/%C3%A9?q=%27%C3%A9%22", None, None, None, None, None, None, "/", "/%7Ba%7D|b^c%60"]
+OTHERS = {5: "https://o.example.com/i", 11: "https://8.0.0.8/", 12: "https://8.8.8.8/"}
+
 ANCHORED = r'<a class="k" href="/\1?utm_x=1&amp;k=2"><b>\1</b> \2</a>'
 
 
 def b_page_links(spark, sf_dir):
     """Links of pages whose paragraphs begin with one."""
     html = F.regexp_replace("html", r"<p>(\w{3,}) ([^<]{8,60})", ANCHORED.replace("\\", "$"))
-    return pages.page_links(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))).drop("pos")
+    return pages.page_links(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))).select("page_id", "title", "url")
+
+
+LISTED = r'<ul><li>Before \1<li><a href="\1?k=2" aria-label="Label \1 \2"></a> On March 3, 2024 \1</ul>'
+MORE = "More of this very page"
+SAID = "Written 2024-02-01 with words enough for a section."
+
+
+def b_page_items(spark, sf_dir):
+    """Links of pages whose paragraphs begin with a list of open items, one of them a link with a label only, and a headed section."""
+    html = F.replace(F.regexp_replace("html", r"<p>(\w{3,}) ([^<]{8,60})", LISTED.replace("\\", "$")), F.lit("</article>"), F.lit(f'<aside><aside>no</aside>no</aside><h2 id="more">{MORE}</h2><p>{SAID}</p></article>'))
+    return pages.page_items(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")))
+
+
+def b_dispatched(spark, sf_dir):
+    """What the four JSON parsers of the dispatcher that page through posts and issues give, by route."""
+    none = F.lit(None).cast("string")
+    json = lambda rows, parser: rows.select("source_id", F.lit("json").alias("kind"), F.lit(parser).alias("parser"), none.alias("content_type"), "body")
+    made = {"github-issues": jobs.issues_payloads, "bluesky-search": jobs.posts_payloads, "hacker-news": jobs.forum_payloads, "huggingface-daily-papers": jobs.papers_payloads}
+    rows = [json(make(spark, sf_dir), parser) for parser, make in made.items()]
+    found, _ = feeds.dispatched(reduce(DataFrame.unionByName, rows), 1_000_000)
+    return found.groupBy("route").agg(F.count("*").alias("n"), F.sum("engagement").alias("engagement"), F.count_distinct("url").alias("urls"), F.min("published_at").alias("first"), F.max("published_at").alias("last"), F.count_if(F.col("excerpt") != "").alias("with_excerpt"))
+
+
+def b_resolved_urls(spark, sf_dir):
+    """Addresses as written on pages, read against the page's own and made canonical."""
+    n = F.col("page_id")
+    href = F.element_at(F.array(*map(F.lit, HREFS)), (n % len(HREFS) + 1).cast("int"))
+    base = F.concat(F.lit("https://p.example.com/a/b/"), n.cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.canonical_url(tx.resolved_url(href, base)).alias("url"))
 
 
 TO_HEADING, HEADED = r"<p>([^<]{12,40})", r'<h3 id="">\1</h3><p>\1'
@@ -160,7 +197,7 @@ def b_public_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.canonical_url(url).alias("url"))
 
 
-QUERIES = {f.__name__: f for f in (b_page_links, b_feed, b_bibliography, b_reviews, b_dispatch, b_sections, b_changelog, b_enrich, b_clean, b_dates, b_public_urls)}
+QUERIES = {f.__name__: f for f in (b_page_links, b_page_items, b_dispatched, b_resolved_urls, b_feed, b_bibliography, b_reviews, b_dispatch, b_sections, b_changelog, b_enrich, b_clean, b_dates, b_public_urls)}
 
 
 def _clean(html: str, most: int) -> str:
@@ -242,3 +279,15 @@ g AS (SELECT page_id, url, arg_min(title, pos) AS title, min(pos) AS pos FROM f
 ORACLES["b_dispatch"] = f"""WITH f AS ({ORACLES['b_feed']}), p AS ({ORACLES['b_bibliography']}), n AS ({ORACLES['b_reviews']}),
 x AS (SELECT 'feed' AS route, source_id FROM f UNION ALL SELECT 'dblp-publications', source_id FROM p UNION ALL SELECT 'openreview-notes', source_id FROM n UNION ALL SELECT 'html', url FROM pages
   UNION ALL SELECT DISTINCT 'unsupported', source || '-' || (doc_id // 100) FROM documents) SELECT route, count(*) AS n, count(DISTINCT source_id) AS sources FROM x GROUP BY 1"""
+ORACLES["b_page_items"] = rf"""WITH h AS (SELECT page_id, url, regexp_replace(html, '<p>(\w{{3,}}) ([^<]{{8,60}})', '{LISTED}', 'g') AS html FROM pages), b AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS page, regexp_extract(url, '^(https://[^?#]*/)', 1) AS folder, html FROM h),
+a AS (SELECT page_id, folder, unnest(regexp_extract_all(html, '(?s)<li><a href=.*?</ul>', 0)) AS x, generate_subscripts(regexp_extract_all(html, '(?s)<li><a href=.*?</ul>', 0), 1) AS pos FROM b WHERE folder <> ''),
+t AS (SELECT page_id, pos, folder || regexp_extract(x, 'href="(\w+)', 1) || '?k=2' AS url, {_cut("regexp_extract(x, '(?s)aria-label=.([^<]*).></a>', 1)", 260)} AS title, {_clean("x", 1800)} AS excerpt FROM a), f AS (SELECT * FROM t WHERE length(title) BETWEEN 10 AND 240 AND NOT regexp_matches(title, '{pages.LINK_WORDS}')),
+g AS (SELECT page_id, url, arg_min(title, pos) AS title, arg_min(excerpt, pos) AS excerpt, min(pos) AS pos FROM f GROUP BY ALL), w AS (SELECT page_id, 0 AS kind, pos, title, url, excerpt, TIMESTAMP '2024-03-03' AS published_at FROM g QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 12
+UNION ALL SELECT page_id, 1, 0, '{MORE}', page || '#more', '{SAID}', TIMESTAMP '2024-02-01' FROM b WHERE contains(html, '</article>'))
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY kind, pos) AS place, title, url, excerpt, published_at FROM w QUALIFY place <= 12"""
+ORACLES["b_resolved_urls"] = "SELECT page_id, CASE page_id % 17 " + " ".join(f"WHEN {i} THEN '{u}'" for i, u in OTHERS.items()) + " ELSE 'https://p.example.com' || replace((" + str([u and u.replace("'", "''") for u in RESOLVED]).replace("None", "NULL") + ")[page_id % 17 + 1], '{n}', page_id::VARCHAR) END AS url FROM pages"
+_ROUTES = {"github-issues": "b_issues", "bluesky-search": "b_posts", "hacker-news": "b_forum", "huggingface-daily-papers": "b_papers"}
+ORACLES["b_dispatched"] = " UNION ALL ".join(
+    f"SELECT '{route}' AS route, count(*) AS n, sum(engagement)::BIGINT AS engagement, count(DISTINCT url) AS urls, min(published_at) AS first, max(published_at) AS last, count(*) FILTER (WHERE excerpt <> sha256('')) AS with_excerpt FROM ({jobs.ORACLES[name]})"
+    for route, name in _ROUTES.items()
+)

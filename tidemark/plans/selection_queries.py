@@ -195,8 +195,18 @@ def c_rules_whole(spark, sf_dir):
     return done.withColumn("tags", F.array_join("tags", ","))
 
 
+MOVES = se.TopicRules(("迁移", "(?i)eaux|thth"), "status", [("工程", "ndnt|tions"), ("产品", "(?i)ering")], ("概念", ("second", "third")), "工程")
+SOURCE_CLASS = "CASE WHEN doc_id % 3 = 0 THEN 'status' ELSE 'news' END"
+
+
+def c_topic_rules(spark, sf_dir):
+    """Topic and stage by title, class of the source, text and concept."""
+    done = se.rule_analysis(articles(spark, sf_dir).withColumn("source_class", F.expr(SOURCE_CLASS)), RULES, "none", [], STAGE_CASES, WORDS, "迁移", MOVES)
+    return done.select("doc_id", "concept", "topic", "stage", "editorial")
+
+
 QUERIES = {f.__name__: f for f in (
-    c_rules_whole, c_mechanism, c_relevance_whole, c_new_urls, c_concept, c_cases, c_tag_list, c_fallbacks, c_event_key, c_analysis_contract, c_script_gate, c_field_gate, c_backlog, c_backlog_gate, c_discovered,
+    c_topic_rules, c_rules_whole, c_mechanism, c_relevance_whole, c_new_urls, c_concept, c_cases, c_tag_list, c_fallbacks, c_event_key, c_analysis_contract, c_script_gate, c_field_gate, c_backlog, c_backlog_gate, c_discovered,
     c_demoted, c_watched, c_retry_queue, c_budget, c_backfill, c_pending, c_input_contract, c_listed,
 )}
 
@@ -285,4 +295,9 @@ s AS (SELECT *, CASE WHEN topic = '迁移' THEN 'Cooling' WHEN contains(head, 'e
 n AS (SELECT *, CASE stage WHEN 'Spark' THEN 78 WHEN 'Emerging' THEN 70 WHEN 'Cooling' THEN 35 ELSE 55 END AS novelty, array_to_string(list_filter(string_split(regexp_replace(regexp_replace(lower({_flat('title', 180)}), '\bv?\d+(?:\.\d+){{1,3}}\b', ' ', 'g'), '[^a-z0-9\x{{4e00}}-\x{{9fff}}]+', ' ', 'g'), ' '), lambda w: w <> '')[1:10], '-') AS key FROM s)
 SELECT doc_id, concept, topic, stage, array_to_string(list_filter([concept, {", ".join(f"CASE WHEN contains(lower(text), '{w.removesuffix('s') if w.endswith('s') else w}') THEN '{w}' END" for w in WORDS)}], lambda x: x IS NOT NULL)[1:8], ',') AS tags, relevance, evidence, novelty,
   floor((relevance * 5 + evidence * 3 + novelty * 2 + 5) / 10)::INT AS editorial, CASE WHEN relevance_score >= 5 THEN 'publish' WHEN relevance_score >= 3 THEN 'watch' ELSE 'reject' END AS decision, concept || ':' || CASE WHEN key <> '' THEN key ELSE substr(sha256(title), 1, 16) END AS event_key FROM n""",
+    "c_topic_rules": rf"""WITH {ART}, h AS (SELECT *, concat_ws(' ', title, substr(text, 1, 500)) AS head, {SOURCE_CLASS} AS class, {HITS[0]} AS a, {HITS[1]} AS b, {HITS[2]} AS c FROM art),
+k AS (SELECT *, CASE WHEN greatest(a, b, c) = 0 THEN 'none' WHEN a >= b AND a >= c THEN 'first' WHEN b >= c THEN 'second' ELSE 'third' END AS concept FROM h),
+t AS (SELECT *, CASE WHEN regexp_matches(title, '(?i)eaux|thth') OR (class = 'status' AND regexp_matches(head, '(?i)eaux|thth')) THEN '迁移' WHEN regexp_matches(head, 'ndnt|tions') THEN '工程' WHEN regexp_matches(head, '(?i)ering') THEN '产品' WHEN concept IN ('second', 'third') THEN '概念' ELSE '工程' END AS topic FROM k),
+s AS (SELECT *, CASE WHEN topic = '迁移' THEN 'Cooling' WHEN contains(head, 'edst') THEN 'Validated' WHEN regexp_matches(head, 'ering|ung') THEN 'Emerging' ELSE 'Spark' END AS stage, least(100, round(relevance_score * 12))::INT AS relevance, CASE source_layer WHEN 'official' THEN 90 WHEN 'practitioner' THEN 70 ELSE 50 END AS evidence FROM t)
+SELECT doc_id, concept, topic, stage, floor((relevance * 5 + evidence * 3 + CASE stage WHEN 'Spark' THEN 78 WHEN 'Emerging' THEN 70 WHEN 'Cooling' THEN 35 ELSE 55 END * 2 + 5) / 10)::INT AS editorial FROM s""",
 }

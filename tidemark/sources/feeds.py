@@ -95,13 +95,14 @@ def route(kind: Column, parser: Column, content_type: Column, body: Column) -> C
 
 
 def dispatched(payloads: DataFrame, most: int = MOST_ITEMS) -> tuple[DataFrame, DataFrame]:
-    """(items of all feeds and JSON payloads, payloads that no parser here reads): each payload goes to one parser."""
+    """((source_id, route, pos, title, url, excerpt, published_at, engagement) of all feeds and JSON payloads, payloads that no parser here reads).
+
+    Each payload goes to one parser, and its first ``most`` items with a title and an address count.
+    """
     routed = payloads.withColumn("route", route(F.col("kind"), F.col("parser"), F.col("content_type"), F.col("body")))
-    readers = {"feed": feed, "openreview-notes": reviews, "dblp-publications": bibliography}
-    found = [read(routed.filter(F.col("route") == name), most).withColumn("route", F.lit(name)) for name, read in readers.items()]
-    for name in ("github-issues", "bluesky-search", "hacker-news", "huggingface-daily-papers"):
-        rows = JSON[name](routed.filter(F.col("route") == name))
-        found.append(rows.select("source_id", "title", "url", "engagement").withColumn("route", F.lit(name)))
-    columns = ["source_id", "route", "title", "url", "engagement"]
+    plain = lambda read: lambda rows: capped(read(rows), most)
+    readers = {"feed": lambda rows: feed(rows, most)} | {name: (lambda rows, read=read: read(rows, most)) if read in (reviews, bibliography) else plain(read) for name, read in JSON.items()}
+    found = [read(routed.filter(F.col("route") == name)).withColumn("route", F.lit(name)) for name, read in readers.items()]
+    columns = ["source_id", "route", "pos", "title", "url", "excerpt", "published_at", "engagement"]
     whole = reduce(DataFrame.unionByName, [f.select(*columns) for f in found])
     return whole, routed.filter(F.col("route").isin("html", "unsupported")).select("source_id", "route")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import markup
 from tidemark.functions import text as tx
 
 MOST_ITEMS = 12
@@ -85,26 +86,48 @@ def enriched(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame, patterns: list[str] | None = None, most: int = MOST_ITEMS) -> DataFrame:
-    """(page_id, pos, title, url) of a page's anchors: titles of 10 to 240 characters, on the page's host or below it, each url once.
+    """(page_id, pos, title, url, excerpt, published_at) of a page's anchors: titles of 10 to 240 characters, on the page's host or below it, each url once.
 
     Reads page_id, url and html. Navigation, headers, footers, forms and asides do not count, nor do titles of legal or
-    account pages. With ``patterns`` an address must match one of them. The first ``most`` are kept.
+    account pages. An anchor without content takes its aria-label for a title. Addresses are read against the page's own. With
+    ``patterns`` an address must match one of them. The first ``most`` are kept; the text of an anchor's closest container
+    is its excerpt, and the day in it its date.
     """
-    bare = F.col("html")
-    for kind in (*tx.UNREAD, "header", "aside"):
-        bare = F.regexp_replace(bare, rf"(?is)<{kind}\b[^>]*>.*?</{kind}\s*>", " ")
+    parts = pages.select("page_id", "url", markup.page_parts("html").alias("p"))
     page_host = F.regexp_replace(F.lower(F.regexp_extract("url", r"(?i)^https?://([^/?#:]+)", 1)), r"^www\.", "")
-    base = F.regexp_extract("url", r"(?i)^(https?://[^/?#]+)", 1)
-    rows = pages.select("page_id", page_host.alias("page_host"), base.alias("base"), F.posexplode(F.split(bare, r"(?i)<a\b")).alias("pos", "part")).filter("pos > 0")
-    href = F.regexp_extract("part", r"""(?is)^[^>]*?\bhref=["']([^"']*)["']""", 1)
-    title = tx.clean_html(F.regexp_extract("part", r"(?is)^[^>]*>(.*?)</a\s*>", 1), 260)
-    url = tx.canonical_url(F.when(F.startswith(href, F.lit("//")), F.concat(F.lit("https:"), href)).when(F.startswith(href, F.lit("/")), F.concat("base", href)).otherwise(href))
-    found = rows.select("page_id", "pos", "page_host", title.alias("title"), url.alias("url"))
+    rows = parts.select("page_id", F.col("url").alias("page"), page_host.alias("page_host"), F.posexplode("p.anchors").alias("pos", "a"))
+    given = lambda name: rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    named = lambda name: F.concat(*[F.regexp_extract("a.attributes", given(name), i) for i in (1, 2, 3)])
+    empty = F.regexp_replace("a.inner", "<[^>]*>", "") == ""
+    title = tx.clean_html(F.when(empty, named("aria-label")).otherwise(F.col("a.inner")), 260)
+    url = tx.canonical_url(tx.resolved_url(named("href"), F.col("page")))
+    found = rows.filter(F.regexp_like("a.attributes", F.lit(given("href")))).select("page_id", "pos", "page_host", title.alias("title"), url.alias("url"), "a.around", "a.until")
     host = F.regexp_replace(F.regexp_replace(tx.host_of(F.col("url")), r"^www\.", ""), r":\d+$", "")
     fit = found.filter(F.col("url").isNotNull() & F.length("title").between(10, 240) & ~F.regexp_like("title", F.lit(LINK_WORDS)) & ((host == F.col("page_host")) | F.endswith(host, F.concat(F.lit("."), "page_host"))))
-    for_patterns = F.lit(patterns is None)
-    for pattern in patterns or []:
-        for_patterns |= F.regexp_like("url", F.lit(f"(?i){pattern}"))
-    once = fit.filter(for_patterns).groupBy("page_id", "url").agg(F.min(F.struct("pos", "title")).alias("first"))
+    once = fit.filter(wanted(patterns)).groupBy("page_id", "url").agg(F.min(F.struct("pos", "title", "around", "until")).alias("first"))
     rank = F.row_number().over(Window.partitionBy("page_id").orderBy("first.pos"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= most).select("page_id", F.col("first.pos").alias("pos"), F.col("first.title").alias("title"), "url")
+    kept = once.withColumn("rank", rank).filter(F.col("rank") <= most).select("page_id", "url", "first.*")
+    # a page's text is cut once for all its links, and only for those kept
+    held = kept.groupBy("page_id").agg(F.collect_list(F.struct("pos", "title", "url", "around", "until")).alias("links")).join(parts.select("page_id", "p.bare"), "page_id")
+    cut = lambda k: F.substr(F.col("bare"), k["around"] + 1, k["until"] - k["around"])
+    texts = held.select("page_id", F.explode(F.transform("links", lambda k: F.struct(k["pos"].alias("pos"), k["title"].alias("title"), k["url"].alias("url"), cut(k).alias("around")))).alias("k"))
+    read = texts.select("page_id", "k.pos", "k.title", "k.url", F.coalesce(tx.clean_html(F.col("k.around"), 1800), F.lit("")).alias("excerpt"))
+    return read.withColumn("published_at", tx.find_date(F.col("excerpt")))
+
+
+def wanted(patterns: list[str] | None) -> Column:
+    """Whether ``url`` matches one of the patterns, or there are none."""
+    found = F.lit(not patterns)
+    for pattern in patterns or []:
+        found |= F.regexp_like("url", F.lit(f"(?i){pattern}"))
+    return found
+
+
+def page_items(pages: DataFrame, patterns: list[str] | None = None, most: int = MOST_ITEMS) -> DataFrame:
+    """(page_id, place, title, url, excerpt, published_at): a page's links and after them its headed sections, ``most`` in all."""
+    links = page_links(pages, patterns, most)
+    bare = pages.select("page_id", "url", markup.page_parts("html")["bare"].alias("html"))
+    headed = sections(bare, most).filter(wanted(patterns)).join(links.select("page_id", "url"), ["page_id", "url"], "left_anti")
+    both = links.withColumn("kind", F.lit(0)).unionByName(headed.withColumn("kind", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("kind", "pos"))
+    return both.withColumn("place", place).filter(F.col("place") <= most).select("page_id", "place", "title", "url", "excerpt", "published_at")

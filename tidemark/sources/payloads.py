@@ -1,4 +1,4 @@
-"""Items out of source payloads: each parser takes (source_id, body) with one JSON text a row and explodes its items."""
+"""Items out of source payloads: each parser takes (source_id, body) with one JSON text a row and explodes its items, each with its place (pos)."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'
 
 def _items(payloads: DataFrame, schema: str, items: str | None = None) -> DataFrame:
     parsed = F.from_json("body", schema)
-    return payloads.select("source_id", F.explode(parsed[items] if items else parsed).alias("i"))
+    return payloads.select("source_id", F.posexplode(parsed[items] if items else parsed).alias("pos", "i"))
 
 
 def _count(*parts: Column | str) -> Column:
@@ -40,7 +40,7 @@ def _first(*columns: str) -> Column:
 def _named(rows: DataFrame, title: Column, url: Column, excerpt: Column, time: Column, engagement: Column) -> DataFrame:
     """Items with a title and an address, both in their canonical form."""
     found = rows.select(
-        "source_id", tx.clean_text(title, 260).alias("title"), tx.canonical_url(url).alias("url"), F.coalesce(tx.clean_text(excerpt, 2800), F.lit("")).alias("excerpt"), time.alias("published_at"), engagement.alias("engagement")
+        "source_id", "pos", tx.clean_text(title, 260).alias("title"), tx.canonical_url(url).alias("url"), F.coalesce(tx.clean_text(excerpt, 2800), F.lit("")).alias("excerpt"), time.alias("published_at"), engagement.alias("engagement")
     )
     return found.filter((F.coalesce("title", F.lit("")) != "") & F.col("url").isNotNull())
 
