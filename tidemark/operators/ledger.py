@@ -37,6 +37,38 @@ def claimable(work: DataFrame, as_of: Column) -> DataFrame:
     return work.filter(~F.coalesce(live, F.lit(False)))
 
 
+def claimed(work: DataFrame, leases: DataFrame, attempts: DataFrame, as_of: Column, owner: Column) -> tuple[DataFrame, DataFrame]:
+    """((id, content_hash, owner) of the work that is claimed now, the attempts after it).
+
+    ``work``: id, content_hash; ``leases``: id, content_hash, owner, leased_until, one an id; ``attempts``: id, owner, status and
+    any others. A running attempt of the owner whose lease the claim takes over is superseded; all others stay as they are.
+    """
+    held = leases.select("id", F.col("content_hash").alias("leased_hash"), F.col("owner").alias("held_by"), "leased_until")
+    free = claimable(work.join(held, "id", "left"), as_of)
+    lost = free.filter(F.col("held_by").isNotNull()).select("id", F.col("held_by").alias("owner"), F.lit(True).alias("is_lost"))
+    status = F.when(F.col("is_lost") & (F.col("status") == "running"), "superseded").otherwise(F.col("status"))
+    after = attempts.join(lost, ["id", "owner"], "left").withColumn("status", status)
+    return free.select("id", "content_hash", owner.alias("owner")), after.select(*attempts.columns)
+
+
+def field_log(revisions: DataFrame, states: DataFrame) -> DataFrame:
+    """(slug, revision, field, before, value): what each revision changed, a null value where it took a field away.
+
+    ``revisions``: slug, revision, each once; ``states``: slug, revision, field, value, the whole of each. Any fields may come and go.
+    """
+    grid = revisions.select("slug", "revision").join(states.select("slug", "field").distinct(), "slug")
+    whole = grid.join(states.select("slug", "revision", "field", "value"), ["slug", "revision", "field"], "left")
+    before = F.lag("value").over(Window.partitionBy("slug", "field").orderBy("revision"))
+    return whole.withColumn("before", before).filter(~F.col("before").eqNullSafe(F.col("value"))).select("slug", "revision", "field", "before", "value")
+
+
+def fields_at(log: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(slug, at, field, value) of concepts as of the revisions ``wanted`` (slug, revision), from a log of changes alone."""
+    asked = wanted.select("slug", F.col("revision").alias("at")).distinct()
+    known = log.join(asked, "slug").filter(F.col("revision") <= F.col("at"))
+    return known.groupBy("slug", "at", "field").agg(F.max_by("value", "revision").alias("value")).filter(F.col("value").isNotNull())
+
+
 def first_usable(attempts: DataFrame, source: str, usable: Column, order: list[str]) -> DataFrame:
     """(source, status, chosen, failures_before): success if the first attempt works, degraded if a later one, else error.
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import text as tx
 from tidemark.operators.graph import resolve_redirects
+from tidemark.operators.ledger import fields_at
 from tidemark.operators.selection import SLUG
 from tidemark.storage import materialize
 
@@ -259,6 +260,12 @@ def recovered(current: DataFrame, revisions: DataFrame) -> DataFrame:
     return rows.select("slug", status.alias("status"), F.when(F.col("valid"), F.col("revision")).otherwise(F.col("good")).alias("revision"))
 
 
+def recovered_fields(current: DataFrame, revisions: DataFrame, log: DataFrame) -> DataFrame:
+    """(slug, at, field, value): the fields of every concept as of the revision that ``recovered`` chooses, out of a log of changes."""
+    chosen = recovered(current, revisions).filter(F.col("revision").isNotNull()).select("slug", "revision")
+    return fields_at(log, chosen)
+
+
 def history(revisions: DataFrame, newest: int | None = None) -> DataFrame:
     """Revisions of each concept, newest first, with their ``place``; on request only so many."""
     place = F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("revision")))

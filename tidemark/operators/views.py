@@ -133,6 +133,12 @@ def publish(df: DataFrame, issues: int) -> str | None:
     return path
 
 
+def gated(df: DataFrame, *gates: DataFrame) -> DataFrame:
+    """The snapshot as it was written, or no rows of its kind where any gate holds an issue."""
+    path = publish(df, sum(0 if gate.isEmpty() else 1 for gate in gates))
+    return df.limit(0) if path is None else df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_concepts(raw: DataFrame) -> DataFrame:
     """Concepts of an older snapshot (JSON text in ``body``) with every field in place: names, stages, lists, and scores in 0 to 100."""
     schema = "slug string, name string, canonicalName string, stage string, heat double, temperature double, maturity double, aliases array<string>, relations array<struct<target:string>>, relationships array<struct<target:string>>"

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph
+from tidemark.operators import graph, ledger, search, views
 from tidemark.operators import knowledge as kn
 from tidemark.operators import payloads as pl
 from tidemark.plans import payload_queries as pq
 from tidemark.plans.article_queries import CONCEPT_HEAT
-from tidemark.plans.inputs import ART, AS_OF_SQL, articles, as_of
+from tidemark.plans.inputs import ART, AS_OF_SQL, articles, as_of, table
 from tidemark.plans.ledger_queries import _revisions
 
 STAGES = ("archived", "validated", "contested", "cooling", "emerging", "candidate", "validated")
@@ -81,7 +81,64 @@ def f_integrity(spark, sf_dir):
     return pl.integrity_counts(pq.f_recovered(spark, sf_dir), revisions)
 
 
-QUERIES = {f.__name__: f for f in (f_stages, f_maintenance, f_maintained_relations, d_canonical, f_chained_survivors, f_findings, f_integrity)}
+LOGGED = ("o_orderstatus", "o_orderpriority")
+
+
+def _states(spark, sf_dir):
+    """Orders of a customer as revisions of a concept, with gaps in the fields."""
+    rows = _revisions(spark, sf_dir).select(F.col("o_custkey").alias("slug"), "revision", "o_orderkey", *LOGGED)
+    states = rows.select("slug", "revision", "o_orderkey", F.explode(F.create_map(*[x for f in LOGGED for x in (F.lit(f), F.col(f))])).alias("field", "value"))
+    return rows.select("slug", "revision"), states.filter("o_orderkey % 5 <> 0 OR field <> 'o_orderpriority'").drop("o_orderkey")
+
+
+def f_field_log(spark, sf_dir):
+    return ledger.field_log(*_states(spark, sf_dir))
+
+
+def f_recovered_fields(spark, sf_dir):
+    """Fields of the current revision if valid, else of the newest valid one, put together from the log."""
+    revisions = _revisions(spark, sf_dir).select(F.col("o_custkey").alias("slug"), "revision", (F.col("o_orderstatus") == "F").alias("valid"))
+    current = revisions.groupBy("slug").agg(F.max(F.struct("revision", "valid")).alias("r")).select("slug", "r.*")
+    return pl.recovered_fields(current, revisions, f_field_log(spark, sf_dir))
+
+
+def f_claimed(spark, sf_dir):
+    """Attempts after a claim, those of owners that lost their lease superseded, and whether their work is claimed."""
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(key.alias("id"))
+    key = F.col("id")
+    work = orders.withColumn("content_hash", F.lit("a"))
+    leases = orders.filter(key % 3 != 2).select("id", F.when(key % 5 == 0, "b").otherwise("a").alias("content_hash"), F.when(key % 2 == 0, "one").otherwise("two").alias("owner"), F.timestamp_add("DAY", F.when(key % 3 == 0, 1).otherwise(-1), as_of()).alias("leased_until"))
+    attempts = orders.select("id", F.lit("one").alias("owner"), F.when(key % 7 == 0, "completed").otherwise("running").alias("status"))
+    claims, after = ledger.claimed(work, leases, attempts, as_of(), F.lit("me"))
+    return after.join(claims.select("id", F.lit(True).alias("claimed")), "id", "left").select("id", "status", F.coalesce("claimed", F.lit(False)).alias("claimed"))
+
+
+def e_gated(spark, sf_dir):
+    """Two snapshots: one whose gates are open, and one that an issue holds back."""
+    public = articles(spark, sf_dir).filter("publish_decision = 'publish'").select("url", "source_layer", "independent_group")
+    of = lambda layer: public.filter(F.col("source_layer") == layer)
+    none = public.filter("url = ''")
+    return views.gated(of("official"), none, none).unionByName(views.gated(of("practitioner"), none, of("practitioner")))
+
+
+NEEDLE = " C1"
+
+
+def h_search_all(spark, sf_dir):
+    """Items, concepts with their lists and themes, and sources that mention the needle."""
+    fields = pq._payloads(spark, sf_dir).fields
+    labels = fields.filter("field = 'themes'").select(F.col("value").alias("theme"), F.concat(F.lit("Label of "), F.upper("slug")).alias("label"))
+    order = [*pl.TEXT_FIELDS[:9], *pl.ARRAY_FIELDS]
+    art, suppliers = articles(spark, sf_dir), table(spark, sf_dir, "supplier")
+    kinds = {
+        "signal": art.select(F.col("url").alias("id"), F.concat_ws(" ", "title", "signal_slug").alias("text")), "concept": search.concept_texts(fields, labels.distinct(), order).select(F.col("slug").alias("id"), "text"),
+        "source": suppliers.select(F.col("s_suppkey").alias("id"), F.concat_ws(" ", "s_name", F.concat(F.lit("c"), "s_suppkey")).alias("text")),
+    }
+    return search.search(kinds, NEEDLE)
+
+
+QUERIES = {f.__name__: f for f in (f_stages, f_maintenance, f_maintained_relations, d_canonical, f_chained_survivors, f_findings, f_integrity, f_field_log, f_recovered_fields, f_claimed, e_gated, h_search_all)}
 
 JUDGED = f"""ag AS (SELECT concept_slug, CAST(substr(concept_slug, 2) AS INT) AS k, count(*) FILTER (WHERE publish_decision <> 'reject') AS alive, count(DISTINCT independent_group) FILTER (WHERE publish_decision = 'publish' AND stance = 'support') AS g,
   count(DISTINCT independent_group) FILTER (WHERE publish_decision = 'publish' AND stance = 'support' AND source_layer = 'official') AS o, count(DISTINCT independent_group) FILTER (WHERE publish_decision = 'publish' AND stance = 'support' AND source_layer = 'practitioner') AS p,
@@ -95,6 +152,9 @@ MERGED = """mg AS (SELECT slug AS src, 'c' || CASE n WHEN 11 THEN 12 WHEN 12 THE
 wk(src, dst) AS (SELECT src, dst FROM mg UNION SELECT wk.src, mg.dst FROM wk JOIN mg ON wk.dst = mg.src), ends AS (SELECT src, dst FROM wk WHERE dst NOT IN (SELECT src FROM mg))"""
 RECURSIVE = pq.WITH.replace("WITH ", "WITH RECURSIVE ", 1)
 
+LOG = """st AS (SELECT o_custkey AS slug, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS revision, o_orderstatus AS s, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS p FROM orders),
+lg AS (SELECT slug, revision, 'o_orderstatus' AS field, lag(s) OVER h AS before, s AS value FROM st WINDOW h AS (PARTITION BY slug ORDER BY revision) UNION ALL SELECT slug, revision, 'o_orderpriority', lag(p) OVER h, p FROM st WINDOW h AS (PARTITION BY slug ORDER BY revision))"""
+
 ORACLES = {
     "f_stages": f"WITH {ART}, {JUDGED} SELECT concept_slug, current, maturity, stage FROM ju",
     "f_maintenance": f"""{pq.WITH}, {KEPT}, lo AS (SELECT slug, count(*) FILTER (WHERE NOT stays) AS dropped FROM rl GROUP BY 1)
@@ -111,4 +171,13 @@ wa AS (SELECT slug::VARCHAR AS slug, 'RECOVERED_CONCEPT_PAYLOAD' AS code, revisi
 SELECT 'issue' AS level, row_number() OVER (ORDER BY slug, code, item) AS place, * FROM al QUALIFY place <= 40 UNION ALL SELECT 'warning', row_number() OVER (ORDER BY slug, code, item) AS place, * FROM wa QUALIFY place <= 20""",
     "f_integrity": f"""WITH {pq.RECOVERED}, a AS (SELECT count(*) FILTER (WHERE status = 'healthy') AS healthy, count(*) FILTER (WHERE status = 'recovered') AS recovered, count(*) FILTER (WHERE status = 'corrupt') AS corrupt FROM rr),
 b AS (SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS valid_revisions, count(*) FILTER (WHERE o_orderstatus <> 'F') AS invalid_revisions FROM orders) SELECT * FROM a, b""",
+    "f_field_log": f"""WITH {LOG} SELECT slug, revision, field, before, value FROM lg WHERE before IS DISTINCT FROM value""",
+    "f_recovered_fields": f"""WITH {pq.RECOVERED}, {LOG} SELECT lg.slug, lg.revision AS at, field, value FROM lg JOIN rr ON lg.slug = rr.slug AND lg.revision = rr.revision WHERE value IS NOT NULL""",
+    "f_claimed": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'completed' WHEN o_orderkey % 3 <> 2 AND NOT (o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0) AND o_orderkey % 2 = 0 THEN 'superseded' ELSE 'running' END AS status,
+  NOT (o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0) AS claimed FROM orders""",
+    "e_gated": f"WITH {ART} SELECT url, source_layer, independent_group FROM art WHERE publish_decision = 'publish' AND source_layer = 'official'",
+    "h_search_all": f"""{pq.WITH}, lb AS (SELECT slug, 'Label of ' || upper(slug) AS value FROM fi WHERE field = 'themes' AND value <> ''), tx AS (SELECT slug, value FROM fi WHERE field IN {pq._in([*pl.TEXT_FIELDS[:9], *(f for f in pl.ARRAY_FIELDS if f != 'themes')])}
+UNION ALL SELECT a.slug, 'Label of ' || upper(b.slug) FROM fi a JOIN fi b ON a.field = 'themes' AND b.field = 'themes' AND a.value = b.value)
+SELECT 'signal' AS kind, url AS id FROM art WHERE contains(lower(concat_ws(' ', title, signal_slug)), 'c1') UNION ALL SELECT DISTINCT 'concept', slug FROM tx WHERE contains(lower(value), 'c1')
+UNION ALL SELECT 'source', s_suppkey::VARCHAR FROM supplier WHERE contains(lower(concat_ws(' ', s_name, 'c' || s_suppkey)), 'c1')""",
 }
