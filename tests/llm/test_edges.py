@@ -8,6 +8,7 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,33 @@ def test_near_dedup_finds_every_pair_of_the_table(spark):
     assert {r.doc_id: r.component_id for r in simhash_wide.near_duplicate_groups(docs).collect()} == {i: find(i) for i in sets}
 
 
+@pytest.mark.parametrize("few", [0, 32])
+def test_a_passage_that_long_texts_share_crowds_no_list(spark, monkeypatch, few):
+    """40 texts of 1000 words with one passage of 30, in prefixes of no order by frequency; a text at the limit of each of four finds its own."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(30)]
+    bases = [[f"w{rng.random()}" for _ in range(970)] + passage for _ in range(40)]
+    near = [[f"x{rng.random()}" if k < 22 * 40 and k % 40 == 20 else word for k, word in enumerate(b)] for b in bases[:4]]
+    texts = [" ".join(t) for t in bases + near]
+    sets = [frozenset(simhash_wide.shingle_hashes(t.encode()).tolist()) for t in texts]
+    linked = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)}
+    assert linked == {(40 + i, i) for i in range(4)}
+    rows, plain = collections.Counter(), simhash_wide.materialize
+
+    def counted(df, label, keep=False):
+        out = plain(df, label, keep)
+        rows[label] += out.count()
+        return out
+
+    monkeypatch.setattr(simhash_wide, "materialize", counted)
+    monkeypatch.setattr(simhash_wide, "frequencies", lambda sketch: np.zeros(1 << simhash_wide.SKETCH_BITS, np.int64))
+    monkeypatch.setattr(simhash_wide, "FEW_NODES", few)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_wide.near_duplicate_groups(docs).collect()}
+    assert got == {i: i - 40 if i >= 40 else i for i in range(44)}
+    assert rows["wide-pairs"] <= 28 and rows["wide-members"] == 0  # no more than all of the eight that are in enough lists
+
+
 def test_near_duplicates_by_fingerprint(spark):
     """Groups of all fingerprints of the table within two bits, by brute force."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

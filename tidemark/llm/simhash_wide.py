@@ -1,9 +1,11 @@
 """Near-duplicates at a similarity of 0.8 on sets of five-word shingles: an exact prefix-filter join with pivots.
 
 Each distinct set is put in one order for all documents, rare shingles first, and listed under the shingles of its
-prefix: two sets of n shingles each that are similar enough share one among the first n - ceil(0.8 n) + 1. Every order
+prefix: two sets of n shingles each that are similar enough share k among the first n - ceil(0.8 n) + k. Every order
 that is the same for all keeps this true, so a sketch of a fixed size may tell how frequent a shingle is; it only
-decides how long the lists get. No bit estimate takes part: pairs are decided by their whole sets.
+decides how long the lists get. k grows with the set, and a set in fewer lists with other groups than its least k is linked
+to none of them and goes: a passage that long texts share by chance crowds no list. No bit estimate takes part: pairs
+are decided by their whole sets.
 
 What is wanted are groups, not all pairs, so the members of each list are first held against a few of them. Each such
 round is linear in the lists. After that only pairs in different groups are left to compare. The pivot of the lists with one largest
@@ -34,6 +36,7 @@ from tidemark.storage import materialize, scratch
 
 SHARE = (4, 5)  # the least similarity, exactly
 SHINGLE_WORDS = 5
+SHARED_SIZE = 80  # for every so many shingles of a set, one more that its prefix must share
 ROUNDS = 2
 LEADERS = 4  # of a member in a round; what this leaves out is compared after the rounds
 BROADCAST_IDS = 400_000
@@ -148,6 +151,16 @@ def frequencies(sketch: DataFrame) -> np.ndarray:
     return found.ravel()
 
 
+def shared_at_least(n: int | Column) -> int | Column:
+    """How many shingles the prefix of a set of ``n`` must share with that of any set similar enough and not smaller."""
+    return F.floor(n / SHARED_SIZE) + 1 if isinstance(n, Column) else n // SHARED_SIZE + 1
+
+
+def prefix_size(n: int) -> int:
+    """Of two sets with ``o`` common shingles, the k-th of them is among the first n - o + k of either, and o is at least ceil(0.8 n)."""
+    return n - -(-SHARE[0] * n // SHARE[1]) + shared_at_least(n)
+
+
 def prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     """(shingle, node, n, at): the shingles of each set's prefix and their places in it; copies in several tasks repeat."""
     shared = texts.sparkSession.sparkContext.broadcast(counts.astype(np.float32))  # of about equal counts any order will do
@@ -159,7 +172,7 @@ def prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
             if not len(hashes):
                 continue
             order = np.lexsort((hashes, counts[places(hashes)]))
-            head = hashes[order[: len(hashes) - -(-SHARE[0] * len(hashes) // SHARE[1]) + 1]]
+            head = hashes[order[: prefix_size(len(hashes))]]
             nodes.append(node)
             sizes.append(len(hashes))
             heads.append(head)
@@ -215,10 +228,17 @@ def measured(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataF
 
 
 def grouped(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The lists with each member's group so far; lists inside one group go, for they have no pair left to compare."""
+    """The lists with each member's group so far; lists inside one group go, for they have no pair left to compare.
+
+    So do members in too few lists: a set that is linked to one of another group shares as many lists with it as the smaller
+    of the two must, and that one has 0.8 of its shingles at least.
+    """
     named = lists.drop("group").join(roots.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     several = named.groupBy("shingle").agg(F.min("group").alias("_least"), F.max("group").alias("_most")).filter("_least < _most").select("shingle")
-    return materialize(named.join(several, "shingle", "left_semi"), "wide-lists")
+    between = materialize(named.join(several, "shingle", "left_semi"), "wide-between")
+    smallest = F.ceil(F.max("n") * SHARE[0] / SHARE[1])
+    enough_lists = between.groupBy("node").agg(F.count("*").alias("_lists"), shared_at_least(smallest).alias("_least")).filter("_lists >= _least").select("node")
+    return materialize(between.join(enough_lists, "node", "left_semi"), "wide-lists")
 
 
 def ordered(a: Column, b: Column) -> list[Column]:
