@@ -108,6 +108,29 @@ def test_a_passage_that_long_texts_share_crowds_no_list(spark, monkeypatch, few)
     assert rows["wide-pairs"] <= 28 and rows["wide-members"] == 0  # no more than all of the eight that are in enough lists
 
 
+def test_near_dedup_measures_what_fingerprints_name(spark, monkeypatch):
+    """The nearest pairs are linked by op5's method before any list is; where all fingerprints are equal, whole sets still decide."""
+    rng = random.Random(7)
+    bases = [[f"w{rng.random()}" for _ in range(400)] for _ in range(6)]
+    texts = [" ".join(b) for b in bases] + [" ".join([*b[:-1], "new"]) for b in bases]
+    docs = spark.createDataFrame([*enumerate(texts), (12, None), (13, " ")], "doc_id long, text string")
+    want = {i: i % 6 for i in range(12)} | {12: 12, 13: 12}
+    prints = [simhash.fingerprint_of(simhash_wide.shingle_hashes(t.encode())) for t in texts]
+    assert prints == [simhash.signed(simhash.fingerprint(t.encode(), simhash_wide.SHINGLE_WORDS)) for t in texts]
+    rows, plain = collections.defaultdict(list), simhash_wide.materialize
+
+    def counted(df, label, keep=False):
+        out = plain(df, label, keep)
+        rows[label].append(out.filter("linked").count() if label == "wide-tested" else 0)
+        return out
+
+    monkeypatch.setattr(simhash_wide, "materialize", counted)
+    assert {r.doc_id: r.component_id for r in simhash_wide.near_duplicate_groups(docs).collect()} == want
+    assert rows["wide-tested"][0] == sum((a ^ b).bit_count() <= 2 for a, b in zip((p & (1 << 64) - 1 for p in prints[:6]), (p & (1 << 64) - 1 for p in prints[6:]), strict=True)) > 0
+    monkeypatch.setattr(simhash_wide, "fingerprint_of", lambda hashes: 0)
+    assert {r.doc_id: r.component_id for r in simhash_wide.near_duplicate_groups(docs).collect()} == want
+
+
 def test_near_duplicates_by_fingerprint(spark):
     """Groups of all fingerprints of the table within two bits, by brute force."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -88,6 +88,14 @@ def fingerprint(text: bytes | None, words_together: int) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist()))
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Majority of the bits of hashes at hand, as a signed number; 0 of none."""
+    counts = np.zeros(64, np.int64)
+    for first in range(0, len(hashes), BLOCK_SHINGLES):
+        counts += set_bit_counts(hashes[first : first + BLOCK_SHINGLES])
+    return signed(int(sum(1 << i for i in np.flatnonzero(2 * counts > len(hashes)).tolist())))
+
+
 def fingerprints(docs: DataFrame, words_together: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fp) of every row; ``fp`` is the fingerprint as a signed long."""
 

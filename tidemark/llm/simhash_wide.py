@@ -4,8 +4,11 @@ Each distinct set is put in one order for all documents, rare shingles first, an
 prefix: two sets of n shingles each that are similar enough share k among the first n - ceil(0.8 n) + k. Every order
 that is the same for all keeps this true, so a sketch of a fixed size may tell how frequent a shingle is; it only
 decides how long the lists get. k grows with the set, and a set in fewer lists with other groups than its least k is linked
-to none of them and goes: a passage that long texts share by chance crowds no list. No bit estimate takes part: pairs
-are decided by their whole sets.
+to none of them and goes: a passage that long texts share by chance crowds no list.
+
+First come the pairs that op5's method names: sets whose SimHash fingerprints lie within two bits, through cells and the
+table of pivot distances. Near copies at a similarity of 0.8 differ in about ten bits, so this finds only the closest, and
+the lists find the rest. No estimate by bits decides: whole sets do, for every pair.
 
 What is wanted are groups, not all pairs, so the members of each list are first held against a few of them. Each such
 round is linear in the lists. After that only pairs in different groups are left to compare. The pivot of the lists with one largest
@@ -30,8 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm import simhash
 from tidemark.llm.common import unused, utf8_list
-from tidemark.llm.simhash import SEED, components
+from tidemark.llm.simhash import SEED, components, fingerprint_of
 from tidemark.storage import materialize, scratch
 
 SHARE = (4, 5)  # the least similarity, exactly
@@ -98,7 +102,7 @@ def unpacked(held: bytes) -> np.ndarray:
 
 
 def described(texts: DataFrame) -> DataFrame:
-    """(id, text_hash, node, n) of every row of (id, text_hash, text), and rows (part, fan, counts) of the sketch.
+    """(id, text_hash, node, n, fp) of every row of (id, text_hash, text), and rows (part, fan, counts) of the sketch.
 
     The sketch counts how many shingles of a task's sets fall into each bucket, ``SKETCH_ROW`` buckets a row.
     """
@@ -108,10 +112,11 @@ def described(texts: DataFrame) -> DataFrame:
         seen: set[int] = set()
         fan = 0
         for batch in batches:
-            nodes, sizes = [], []
+            nodes, sizes, prints = [], [], []
             for _, node, hashes in sets_in(iter([batch]), 2, False):
                 nodes.append(node)
                 sizes.append(len(hashes))
+                prints.append(fingerprint_of(hashes))
                 if node not in seen:
                     seen.add(node)
                     at, n = np.unique(places(hashes), return_counts=True)
@@ -120,18 +125,18 @@ def described(texts: DataFrame) -> DataFrame:
                 seen.clear()
             fan ^= sum(nodes) % SKETCH_FANS
             none = [None] * len(nodes)
-            yield named([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int32()), pa.array(none, pa.binary())])
+            yield named([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.int32()), pa.array(none, pa.binary())])
         parts = counts.reshape(-1, SKETCH_ROW)
         used = np.flatnonzero(parts.any(axis=1))
         for first in range(0, len(used), 256):
             some = used[first : first + 256]
             none = pa.array([None] * len(some), pa.int64())
-            yield named([none, none, none, none, pa.array(some, pa.int32()), pa.array([fan] * len(some), pa.int32()), pa.array([packed(parts[p]) for p in some], pa.binary())])
+            yield named([none, none, none, none, none, pa.array(some, pa.int32()), pa.array([fan] * len(some), pa.int32()), pa.array([packed(parts[p]) for p in some], pa.binary())])
 
     def named(columns: list[pa.Array]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "node", "n", "part", "fan", "counts"])
+        return pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "node", "n", "fp", "part", "fan", "counts"])
 
-    return texts.mapInArrow(run, "id long, text_hash long, node long, n long, part int, fan int, counts binary")
+    return texts.mapInArrow(run, "id long, text_hash long, node long, n long, fp long, part int, fan int, counts binary")
 
 
 def frequencies(sketch: DataFrame) -> np.ndarray:
@@ -258,13 +263,20 @@ def with_main(lists: DataFrame) -> DataFrame:
     return lists.join(sizes.groupBy("shingle").agg(F.max_by("group", F.struct("c", "group")).alias("main"), F.sum("c").alias("members")), "shingle")
 
 
-def links(posted: DataFrame, fetch: Callable[[DataFrame], DataFrame], counts: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
-    """(a, b) with a > b: links enough to connect all sets that chains of similar enough pairs connect."""
-    spark = posted.sparkSession
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) of (node, fp): pairs enough to connect all sets whose fingerprints chains of at most two differing bits connect."""
+    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "wide-fingerprints")
+    same = nodes.join(firsts, "fp").filter(F.col("node") != F.col("first")).select(*ordered(F.col("node"), F.col("first")))
+    near = simhash.links(firsts.select("fp")).join(firsts.toDF("a", "of_a"), "a").join(firsts.toDF("b", "of_b"), "b")
+    return same.unionByName(near.select(*ordered(F.col("of_a"), F.col("of_b")))).distinct()
+
+
+def links(posted: DataFrame, named: DataFrame, fetch: Callable[[DataFrame], DataFrame], counts: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
+    """(a, b) with a > b: links enough to connect all sets that chains of similar enough pairs connect. Pairs ``named`` are measured first."""
     shared = posted.groupBy("shingle").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("shingle")
-    roots = spark.createDataFrame([], "node long, root long")
+    tested = materialize(measured(named, fetch), "wide-tested")
+    roots = materialize(components(tested.filter("linked").select("a", "b")), "wide-components")
     lists = grouped(materialize(posted.join(shared, "shingle", "left_semi").dropDuplicates(["shingle", "node"]), "wide-shared"), roots)
-    tested = spark.createDataFrame([], "a long, b long, distance double, linked boolean")
     for i in range(rounds):
         member = F.struct("node", "n", "at", "group")
         first = F.col("node") if i == 0 else F.xxhash64("node", F.lit(i))
@@ -371,15 +383,16 @@ def near_duplicate_rows(docs: DataFrame, id_column: str = "doc_id", text_column:
     text = F.col(text_column).cast("string")
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).filter(F.col("id").isNotNull())
     found = materialize(described(texts), "wide-rows")
-    rows = found.filter(F.col("id").isNotNull()).select("id", "text_hash", "node", "n")
-    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("first")).select("node", "first.*"), "wide-nodes")
+    rows = found.filter(F.col("id").isNotNull()).select("id", "text_hash", "node", "n", "fp")
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.max("n").alias("n"), F.max("fp").alias("fp")).select("node", "first.*", "n", "fp"), "wide-nodes")
     counts = frequencies(found.filter(F.col("part").isNotNull()).select("part", "fan", "counts"))
     posted = materialize(prefixes(texts, counts), "wide-prefixes")
 
     def fetch(wanted: DataFrame) -> DataFrame:
         return sets_of(texts, materialize(nodes.join(wanted, "node", "left_semi").select("id", "text_hash"), "wide-wanted"))
 
-    roots = materialize(components(links(posted, fetch, counts, rounds)), "wide-components")
+    near = fingerprint_pairs(nodes.filter("n > 0").select("node", "fp"))
+    roots = materialize(components(links(posted, near, fetch, counts, rounds)), "wide-components")
     rooted = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     labels = rooted.join(first, "root").select("node", "component_id")
