@@ -5,6 +5,7 @@ import functools
 import glob
 import os
 import random
+import re
 import zlib
 
 import duckdb
@@ -108,6 +109,50 @@ def test_a_passage_that_long_texts_share_crowds_no_list(spark, monkeypatch, few)
     assert rows["wide-pairs"] <= 28 and rows["wide-members"] == 0  # no more than all of the eight that are in enough lists
 
 
+def rows_made(spark, since=-1):
+    """(last execution, [(node, rows)]): what the nodes of all plans after execution ``since`` gave out."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    found, last, runs = [], since, store.executionsList()
+    for run in (runs.apply(i) for i in range(runs.size())):
+        if run.executionId() > since:
+            last, values, nodes = max(last, run.executionId()), store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        found.append((node.desc(), int(values.apply(metric.accumulatorId()).replace(",", ""))))
+    return last, found
+
+
+def test_crowded_sets_are_not_taken_apart_to_find_their_center(spark, monkeypatch):
+    """120 texts share a passage and go by differences from what most hold: no join, generator or task gives a row for each shingle of each of them."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    bases = [[f"w{rng.random()}" for _ in range(270)] + passage for _ in range(120)]
+    near = [[f"x{rng.random()}" if k in (40, 90, 140, 190) else word for k, word in enumerate(b)] for b in bases[:5]]
+    texts = [" ".join(t) for t in bases + near]
+    shingles = sum(len(simhash_wide.shingle_hashes(t.encode())) for t in texts)
+    members, centers, plain = [], [], simhash_wide.materialize
+
+    def counted(df, label, keep=False):
+        out = plain(df, label, keep)
+        if label == "wide-members":
+            members.append(out.count())
+        if label == "wide-centers":
+            centers.extend(set(r.of_main) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(simhash_wide, "materialize", counted)
+    monkeypatch.setattr(simhash_wide, "frequencies", lambda sketch: np.zeros(1 << simhash_wide.SKETCH_BITS, np.int64))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    last, _ = rows_made(spark)
+    got = {r.doc_id: r.component_id for r in simhash_wide.near_duplicate_groups(docs).collect()}
+    assert got == {i: i - 120 if i >= 120 else i for i in range(125)}
+    assert sum(members) >= 100
+    assert centers and all(c == set(simhash_wide.shingle_hashes(" ".join(passage).encode()).view(np.int64).tolist()) for c in centers)
+    made = [(rows, node) for node, rows in rows_made(spark, last)[1] if re.match(r"Generate|\w*Join|Cartesian|\w*Arrow|\w*Python|\w*Pandas", node)]
+    assert made and max(made)[0] < shingles / 2, max(made)
+
+
 def test_near_dedup_measures_what_fingerprints_name(spark, monkeypatch):
     """The nearest pairs are linked by op5's method before any list is; where all fingerprints are equal, whole sets still decide."""
     rng = random.Random(7)

@@ -46,6 +46,7 @@ LEADERS = 4  # of a member in a round; what this leaves out is compared after th
 BROADCAST_IDS = 400_000
 FEW_NODES = 32  # around one pivot, all of which meet in their lists at once; more go by differences, which is exact too
 SALT_MEMBERS = 256
+PART_NODES = 32  # or up to twice as many whole sets are counted together
 SKETCH_BITS = 20
 SKETCH_ROW = 1024
 SKETCH_FANS = 256
@@ -289,10 +290,10 @@ def links(posted: DataFrame, named: DataFrame, fetch: Callable[[DataFrame], Data
     # what is left differs from what most sets around its lists' largest groups hold by parts that others share, or is linked through the set nearest to that
     marked = materialize(with_main(lists), "wide-marked")
     sizes = marked.select("node", "main").distinct().groupBy("main").agg(F.count("*").alias("nodes"))
-    few, many = marked.join(sizes.filter(F.col("nodes") <= FEW_NODES), "main", "left_semi"), marked.join(sizes.filter(F.col("nodes") > FEW_NODES), "main", "left_semi")
+    few, many = marked.join(sizes.filter(F.col("nodes") <= FEW_NODES), "main", "left_semi"), marked.join(sizes.filter(F.col("nodes") > FEW_NODES), "main")
     once = (F.col("o.shingle") == F.col("e.shingle")) & (F.col("o.group") != F.col("e.group")) & (F.col("o.node") > F.col("e.node"))
     close = few.alias("o").join(few.alias("e"), once & open_pair("o", "e")).select(*ordered(F.col("o.node"), F.col("e.node")))
-    rows = materialize(differences(many.select("node", "group", "main").distinct(), fetch, counts), "wide-differences")
+    rows = materialize(differences(many.select("node", "group", "main", "nodes").distinct(), fetch, counts), "wide-differences")
     one = rows.filter("at < 0")
     nearest = one.groupBy("main").agg(F.min(F.struct("excess", "node")).alias("_m")).select("main", F.col("_m.excess").alias("least"), F.col("_m.node").alias("nearest"))
     certain = one.join(nearest, "main").filter((F.col("excess") + F.col("least") <= 0) & (F.col("node") != F.col("nearest"))).select(*ordered(F.col("node"), F.col("nearest")))
@@ -301,20 +302,38 @@ def links(posted: DataFrame, named: DataFrame, fetch: Callable[[DataFrame], Data
     return tested.unionByName(rest).filter("linked").select("a", "b").unionByName(certain)
 
 
+def held_by_most(part: pa.Table) -> pa.Table:
+    """(main, shingle, votes, nodes) of one part (main, nodes, part, of_node): the shingles that more than half of its sets hold, with all its sets as votes."""
+    shingles, held = np.unique(np.concatenate([chunk.flatten().to_numpy() for chunk in part.column("of_node").chunks]), return_counts=True)
+    most = shingles[2 * held > len(part)]
+    main, nodes = part.column("main")[0].as_py(), part.column("nodes")[0].as_py()
+    return pa.table([pa.array(most), *[pa.array(np.full(len(most), value, np.int64)) for value in (main, len(part), nodes)]], names=["shingle", "main", "votes", "nodes"]).select(["main", "shingle", "votes", "nodes"])
+
+
+def centers_of(sets: DataFrame) -> DataFrame:
+    """(main, of_main) of (node, main, nodes, of_node): the shingles that most sets hold in parts with most of the main's sets.
+
+    Sets are dealt into parts of bounded size and counted there, so that a part gives at most twice the shingles of its mean
+    set, not a row for each shingle of each set. In one part that is the majority itself; of many it need not be, and any
+    center is exact. A center has at most four times the shingles of the mean set.
+    """
+    part = F.pmod(F.xxhash64("node"), F.greatest(F.floor(F.col("nodes") / PART_NODES), F.lit(1))).alias("part")
+    votes = sets.select("main", "nodes", part, "of_node").groupBy("main", "part").applyInArrow(held_by_most, "main long, shingle long, votes long, nodes long")
+    most = votes.groupBy("main", "shingle").agg(F.sum("votes").alias("votes"), F.max("nodes").alias("nodes")).filter("votes * 2 > nodes")
+    return most.groupBy("main").agg(F.collect_list("shingle").alias("of_main"))
+
+
 def differences(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], counts: np.ndarray) -> DataFrame:
-    """Of each (node, group, main): what its set does not share with the center of ``main``, the shingles of most of its nodes.
+    """Of each (node, group, main, nodes): what its set does not share with the center of ``main``, the shingles of most of its nodes.
 
-    In the row with ``at`` = -1, ``d`` is the size of the symmetric difference, and ``excess`` makes two nodes of one main certain
+    ``nodes`` is how many nodes the main has. In the row with ``at`` = -1, ``d`` is the size of the symmetric difference, and ``excess`` makes two nodes of one main certain
     to be linked where theirs add up to 0 or less. The other rows hold the first shingles of the difference: those that the
-    center lacks before those that only it has, rare ones first, one more than a link may leave unshared. A center has at most twice
-    the shingles of the mean set.
+    center lacks before those that only it has, rare ones first, one more than a link may leave unshared.
     """
     shared = members.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
     members = materialize(members, "wide-members")
     own = materialize(fetch(members.select("node").distinct()), "wide-sets").toDF("node", "of_node")
-    votes = members.join(own, "node").select("main", F.explode("of_node").alias("shingle")).groupBy("main", "shingle").agg(F.count("*").alias("votes"))
-    most = votes.join(members.groupBy("main").agg(F.count("*").alias("nodes")), "main").filter("votes * 2 > nodes")
-    centers = materialize(most.groupBy("main").agg(F.collect_list("shingle").alias("of_main")), "wide-centers")
+    centers = materialize(centers_of(members.join(own, "node")), "wide-centers")
     joined = members.join(own, "node").join(centers, "main", "left").select("node", "main", "group", "of_node", F.coalesce("of_main", F.array().cast("array<bigint>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
