@@ -62,7 +62,9 @@ def resolved_identities(proposals: DataFrame, concepts: DataFrame, owners: DataF
     known = concepts.filter(F.col("merged_into").isNull()).select(F.col("slug").alias("canonical_slug"), F.col("name").alias("known_name"), F.col("aliases").alias("known_aliases"))
     taken = concepts.select(F.col("slug"), F.lit(True).alias("slug_taken"))
     names = proposals.select("id", F.explode(F.array_union(F.array("slug", "name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
-    clashes = names.select("id", tx.alias_key(F.col("alias")).alias("key")).join(owners, "key").groupBy("id").agg(F.min("owner").alias("alias_owner"))
+    # Spark takes exploded rows for as small as the rows they come from, and would send all of them to the driver to broadcast; a stored table has its real size
+    keys = materialize(names.select("id", tx.alias_key(F.col("alias")).alias("key")), "proposed-keys")
+    clashes = keys.join(owners, "key").groupBy("id").agg(F.min("owner").alias("alias_owner"))
     rows = proposals.join(known, "canonical_slug", "left").join(taken, "slug", "left").join(clashes, "id", "left")
     reuse, create = F.col("action") == "reuse-existing", F.col("action") == "create-new"
     is_known = F.col("known_name").isNotNull()
