@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
+from tidemark.operators import clustering as cl
 from tidemark.operators import identity as idn
 
 
@@ -17,3 +20,17 @@ def test_identities_never_broadcast_proposed_names(spark):
     found = idn.resolved_identities(proposals, concepts, owners)
     assert "explode(array_union" not in found._jdf.queryExecution().executedPlan().toString()
     assert [(r.id, r.problem) for r in found.filter("problem IS NOT NULL").collect()] == [(3, "alias-taken")] and found.count() == 2000
+
+
+def test_similar_pairs_of_copies_are_never_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(cl, "BLOCK", 3)
+    rng = random.Random(5)
+    sets = [(i, "kl"[i % 2], ["a", "b", "c"] if i % 3 else sorted({rng.choice("abcdef") for _ in range(rng.randrange(0, 6))})) for i in range(80)]
+    sets += [(7, "k", ["a", "b", "c"]), (None, "k", ["a", "b", "c"]), (90, None, ["a", "b", "c"]), (91, "k", None)]
+    found = cl.similar_pairs(spark.createDataFrame(sets, "doc_id long, key string, tokens array<string>"), "key", 0.5)
+    same = lambda a, b: round(len(set(a) & set(b)) / len(set(a) | set(b)), 6)
+    sound = [s for s in sets if None not in s and s[2]]
+    want = sorted((i, j, same(a, b)) for i, k, a in sound for j, m, b in sound if i < j and k == m and same(a, b) >= 0.5)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 500
+    moved = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert moved and not any("doc_id" in line or "other_id" in line for line in moved)

@@ -21,25 +21,53 @@ def candidate_window(items: DataFrame, as_of: Column, days: int = DAYS, most: in
     return recent if most is None else recent.orderBy(time.desc(), "url").limit(most)
 
 
+BLOCK, TASK_PAIRS = 1000, 2_000_000  # members that travel together; pairs that a task writes
+
+
+def similar_classes_of(classes: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity, members_a, members_b) of classes (cls, key, tokens, members) of one key whose tokens are similar enough, ``a`` being the one with fewer members.
+
+    An exact prefix filter: of n tokens, rarest first, two similar sets share one of the first n - ceil(least n) + 1. A pair is made at the first
+    token that both have; sizes, and what may still be shared behind it, tell apart most pairs before tokens are compared. Tokens go as numbers.
+    Exploded rows look small to Spark, so joins of them are never left to a broadcast.
+    """
+    each = classes.select("cls", "members", "key", F.explode("tokens").alias("token")).hint("merge")
+    numbers = materialize(each.groupBy("key", "token").agg(F.count("*").alias("c")).select(F.monotonically_increasing_id().alias("id"), "*"), "token-numbers")
+    order = each.join(numbers, ["key", "token"]).groupBy("cls", "members").agg(F.array_sort(F.collect_list(F.struct("c", "id"))).alias("order"))
+    sets = materialize(order.select("cls", "members", F.transform("order", lambda t: t["id"]).alias("ids")).withColumn("n", F.size("ids")), "numbered-sets")
+    prefix = F.slice("ids", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
+    listed = sets.select("*", F.posexplode(prefix).alias("before", "id")).hint("merge")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))  # both sides are one exchange
+    room = F.least(x("n") - x("before"), y("n") - y("before"))  # at most so many are shared
+    sized = (x("cls") < y("cls")) & (F.least(x("n"), y("n")) >= least * F.greatest(x("n"), y("n"))) & (F.round(room / (x("n") + y("n") - room), 6) >= least)
+    common = F.array_intersect(x("ids"), y("ids"))
+    similarity = F.round(F.size(common) / (x("n") + y("n") - F.size(common)), 6)
+    met = listed.alias("x").join(listed.alias("y"), x("id") == y("id")).filter(sized).filter((F.get(common, F.lit(0)) == x("id")) & (similarity >= least))
+    fewer = x("members") <= y("members")
+    either = lambda c, one, other: F.when(fewer, one(c)).otherwise(other(c))
+    return met.select(either("cls", x, y).alias("a"), either("cls", y, x).alias("b"), similarity.alias("similarity"), either("members", x, y).alias("members_a"), either("members", y, x).alias("members_b"))
+
+
 def similar_pairs(items: DataFrame, key: str, least: float = LEAST_TITLE) -> DataFrame:
     """(doc_id, other_id, similarity) of pairs of one key whose ``tokens`` are similar enough, doc_id being the smaller.
 
-    An exact prefix filter: of n tokens, rarest first, two similar sets share one of the first n - ceil(least n) + 1. Sizes
-    tell apart what is left, and only then tokens are compared.
+    Rows of equal tokens are one class, and only classes are compared. The pairs of rows themselves, as many as there are, are made last, block by
+    block of members in the tasks that write them; what is shuffled are blocks. Rows with a null id or key pair with nothing.
     """
-    rows = items.filter(F.size("tokens") > 0).select("doc_id", key, "tokens", F.size("tokens").alias("n"))
-    each = rows.select("doc_id", key, "n", F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("c"))
-    order = each.join(counts, "token").groupBy("doc_id", key, "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("sorted"))
-    prefix = F.slice("sorted", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
-    listed = order.select("doc_id", key, "n", F.explode(F.transform(prefix, lambda t: t["token"])).alias("token"))
-    right = listed.select(F.col("doc_id").alias("other_id"), key, F.col("n").alias("m"), "token")
-    sized = (F.col("doc_id") < F.col("other_id")) & (F.least("n", "m") >= least * F.greatest("n", "m"))
-    pairs = listed.join(right, [key, "token"]).filter(sized).select("doc_id", "other_id").distinct()
-    of = rows.select("doc_id", "tokens")
-    both = pairs.join(of, "doc_id").join(of.select(F.col("doc_id").alias("other_id"), F.col("tokens").alias("other_tokens")), "other_id")
-    scored = both.select("doc_id", "other_id", F.round(tx.jaccard(F.col("tokens"), F.col("other_tokens")), 6).alias("similarity"))
-    return scored.filter(F.col("similarity") >= least)
+    sound = F.col("doc_id").isNotNull() & F.col(key).isNotNull() & (F.size("tokens") > 0)
+    rows = materialize(items.filter(sound).select("doc_id", F.col(key).alias("key"), F.array_sort(F.array_distinct("tokens")).alias("tokens")), "token-sets")
+    classes = materialize(rows.groupBy("key", "tokens").agg(F.count("*").alias("members")).select(F.monotonically_increasing_id().alias("cls"), "*"), "token-classes")
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / BLOCK))
+    blocks = materialize(rows.join(classes, ["key", "tokens"]).groupBy("cls", block.alias("block")).agg(F.collect_list("doc_id").alias("ids")), "blocks-of-members")
+    own = classes.filter((F.col("members") > 1) & F.lit(least <= 1)).select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(1.0).alias("similarity"), F.col("members").alias("members_a"), F.col("members").alias("members_b"))
+    pairs = materialize(similar_classes_of(classes, least).unionByName(own), "similar-classes")
+    most = pairs.agg(F.sum(F.col("members_a") * F.col("members_b"))).first()[0] or 0
+    tasks = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), most // TASK_PAIRS + 1)
+    of = lambda side: blocks.select(F.col("cls").alias(side), F.col("block").alias(f"block_{side}"), F.col("ids").alias(f"ids_{side}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b").filter("a <> b OR block_a <= block_b").repartition(tasks, "a", "b", "block_a", "block_b")
+    one = met.select("*", F.explode("ids_a").alias("x")).select("a", "b", "block_a", "block_b", "similarity", "x", F.explode("ids_b").alias("y"))
+    once = one.filter("x <> y AND (a <> b OR block_a <> block_b OR x < y)")
+    return once.select(F.least("x", "y").alias("doc_id"), F.greatest("x", "y").alias("other_id"), "similarity")
 
 
 ITEM_COLUMNS = ["concept_slug", "title", "tags", "independent_group", "event_key"]
