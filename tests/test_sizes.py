@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.operators import clustering as cl
 from tidemark.operators import identity as idn
+from tidemark.plans import registry
+from tidemark.plans.inputs import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def rows_of(spark, name, folder, own):
+    """What a query gives, and what its SQL gives, on the tables of ``own`` and the smallest ones besides."""
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        if not os.path.exists(to := f"{folder}/{os.path.basename(path)}"):
+            os.symlink(path, to)
+    for made, rows in own.items():
+        os.unlink(f"{folder}/{made}.parquet")
+        rows.coalesce(1).write.parquet(f"{folder}/{made}.parquet")
+    for to in glob.glob(f"{folder}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(to).removesuffix('.parquet')} AS SELECT * FROM read_parquet('{to}{'/*.parquet' if os.path.isdir(to) else ''}')")
+    found = registry.queries()[name](spark, str(folder))
+    said = con.execute(f"SELECT {', '.join(found.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    return sorted(tuple(map(str, r)) for r in found.collect()), sorted(tuple(map(str, r)) for r in said)
 
 
 def test_identities_never_broadcast_proposed_names(spark):
@@ -34,3 +57,10 @@ def test_similar_pairs_of_copies_are_never_shuffled(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == want and len(want) > 500
     moved = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
     assert moved and not any("doc_id" in line or "other_id" in line for line in moved)
+
+
+def test_page_items_keep_the_source_of_a_label(spark, tmp_path):
+    page = '<article><p>Inoure token = {}f91f2b873 and words enough for a text. <p>Some more here of it</article>'
+    pages = spark.createDataFrame([(i, f"https://e.example.com/{i}/", page.format(c)) for i, c in enumerate(["&quot;", "&amp;", "&#39;", "&amp;amp;", "'", "x"])], table(spark, SF, "pages").schema)
+    got, want = rows_of(spark, "b_page_items", tmp_path, {"pages": pages})
+    assert got == want and sum("&quot;" in str(r) for r in got) == 1

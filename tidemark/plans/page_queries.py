@@ -110,8 +110,14 @@ SAID = "Written 2024-02-01 with words enough for a section."
 
 
 def b_page_items(spark, sf_dir):
-    """Links of pages whose paragraphs begin with a list of open items, one of them a link with a label only, and a headed section."""
-    html = F.replace(F.regexp_replace("html", r"<p>(\w{3,}) ([^<]{8,60})", LISTED.replace("\\", "$")), F.lit("</article>"), F.lit(f'<aside><aside>no</aside>no</aside><h2 id="more">{MORE}</h2><p>{SAID}</p></article>'))
+    """Links of pages whose paragraphs begin with a list of open items, one of them a link with a label only, and a headed section.
+
+    The label is the paragraph's source as it stands, so it is escaped like any text that goes into an attribute.
+    """
+    marked = LISTED.replace("\\", "$").replace('label="', 'label="\x01').replace('"></a>', '\x01"></a>')
+    cut = F.split(F.regexp_replace("html", r"<p>(\w{3,}) ([^<]{8,60})", marked), "\x01")  # every other piece is a label
+    made = F.array_join(F.transform(cut, lambda piece, i: F.when(i % 2 == 1, F.replace(_escaped(piece), F.lit('"'), F.lit("&quot;"))).otherwise(piece)), "")
+    html = F.replace(made, F.lit("</article>"), F.lit(f'<aside><aside>no</aside>no</aside><h2 id="more">{MORE}</h2><p>{SAID}</p></article>'))
     return pages.page_items(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")))
 
 
