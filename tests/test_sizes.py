@@ -10,6 +10,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.operators import clustering as cl
+from tidemark.operators import graph
 from tidemark.operators import identity as idn
 from tidemark.plans import registry
 from tidemark.plans.inputs import table
@@ -70,3 +71,8 @@ def test_shortlist_hints_of_words_without_capitals_of_their_own(spark, tmp_path)
     docs = table(spark, SF, "documents").withColumn("text", F.when(F.col("doc_id") == 20, F.concat(F.lit("berzußen und\n"), "text")).when(F.col("doc_id") == 40, F.concat(F.lit("strassen\n"), "text")).otherwise(F.col("text")))
     got, want = rows_of(spark, "d_shortlist", tmp_path, {"documents": docs})
     assert got == want and any(r[0] == "21" and "100" in r for r in got)
+
+
+def test_levels_rank_nodes_of_one_place_by_themselves(spark):
+    edges = spark.createDataFrame([("root", f"n{i * 37 % 60:02}", i % 2) for i in range(60)], "src string, dst string, position int")
+    assert [r.node for r in graph.levels(edges).filter("depth = 1").orderBy("rank").collect()] == [f"n{i * 37 % 60:02}" for p in (0, 1) for i in sorted(range(p, 60, 2), key=lambda i: i * 37 % 60)]

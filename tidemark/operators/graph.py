@@ -116,7 +116,7 @@ def depths(edges: DataFrame) -> DataFrame:
 def levels(edges: DataFrame) -> DataFrame:
     """(node, depth, rank, column_size): the longest path from a root; members of cycles, and what lies behind them, lie one below all others.
 
-    Nodes are of any type. With a column ``position`` (numbers) nodes are ranked in their level by where they first appear, as src before dst; else by themselves. Self
+    Nodes are of any type. With a column ``position`` (numbers) nodes are ranked in their level by where they first appear, as src before dst, those of one place by themselves; else by themselves. Self
     loops and edges without an end are left out.
     """
     sound = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
@@ -126,6 +126,6 @@ def levels(edges: DataFrame) -> DataFrame:
     by = "node"
     if "position" in edges.columns:
         seen = sound.select(F.explode(F.array(F.struct(F.col("src").alias("node"), (F.col("position") * 2).alias("first")), F.struct(F.col("dst").alias("node"), (F.col("position") * 2 + 1).alias("first")))).alias("s")).select("s.*")
-        placed, by = placed.join(seen.groupBy("node").agg(F.min("first").alias("first")), "node"), "first"
+        placed, by = placed.join(seen.groupBy("node").agg(F.min("first").alias("first")), "node").withColumn("first", F.struct("first", "node")), "first"
     sizes = placed.groupBy("depth").agg(F.count("*").alias("column_size"))
     return ranked(placed, "depth", by, "rank").join(sizes, "depth").select("node", "depth", "rank", "column_size")
