@@ -76,3 +76,13 @@ def test_shortlist_hints_of_words_without_capitals_of_their_own(spark, tmp_path)
 def test_levels_rank_nodes_of_one_place_by_themselves(spark):
     edges = spark.createDataFrame([("root", f"n{i * 37 % 60:02}", i % 2) for i in range(60)], "src string, dst string, position int")
     assert [r.node for r in graph.levels(edges).filter("depth = 1").orderBy("rank").collect()] == [f"n{i * 37 % 60:02}" for p in (0, 1) for i in sorted(range(p, 60, 2), key=lambda i: i * 37 % 60)]
+
+
+def test_owners_of_terms_are_found_once_for_a_text(spark):
+    texts = spark.createDataFrame([(i, None if i == 3 else f"{'ab' * (i % 7)} Cd{i} e{i % 5}") for i in range(60)], "id long, text string")
+    terms = spark.createDataFrame([(f"m{m}", None if m == 2 else m, t) for m in range(4) for t in ["ab", "b", "ba", f"cd{m}", f"e{m}", "zz", "", None]] * 2, "model string, n int, term string")
+    want = sorted({(r.id, t.model, str(t.n)) for r in texts.collect() for t in terms.collect() if r.text and t.term and t.term in r.text.lower()})
+    for most in (1 << 20, 0):
+        found = idn.mentioned_owners(texts, terms, most)
+        assert sorted((r.id, r.model, str(r.n)) for r in found.collect()) == want and want
+    assert idn.mentioned_owners(texts, terms.limit(0)).collect() == []

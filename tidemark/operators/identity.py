@@ -141,6 +141,43 @@ def mentions(texts: DataFrame, terms: DataFrame, most_bytes: int = MOST_TERM_BYT
     return found.join(terms, "term").select(*[c for c in texts.columns if c != "text"], *terms.columns)
 
 
+def mentioned_owners(texts: DataFrame, terms: DataFrame, most_bytes: int = MOST_TERM_BYTES) -> DataFrame:
+    """(columns of texts but ``text``, columns of terms but ``term``): for each text, whose terms (see ``mentions``) it contains, each owner once however many of its terms do.
+
+    Terms and their owners' numbers of up to ``most_bytes`` go to all tasks, and a text is read only until all owners are found. Beyond that
+    size rows come from ``mentions``, and those that are equal are one.
+    """
+    of, kept = [c for c in terms.columns if c != "term"], [c for c in texts.columns if c != "text"]
+    sound = terms.filter(F.length("term") > 0).distinct()
+    pairs = materialize(sound.select("term", F.struct(*of).alias("of")), "terms-of-owners")
+    owners = materialize(pairs.select("of").distinct().select(F.monotonically_increasing_id().alias("owner"), "of"), "owners-of-terms")
+    if (pairs.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0) > most_bytes:
+        return mentions(texts, sound, most_bytes).select(*kept, *of).distinct()
+    held = pairs.join(owners, pairs["of"].eqNullSafe(owners["of"])).groupBy("term").agg(F.collect_list("owner").alias("owners")).collect()
+    shared, name = texts.sparkSession.sparkContext.broadcast({r.term: tuple(r.owners) for r in held}), uuid4().hex
+    low = texts.select(F.lower("text").alias("text"), *kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, owners_of = _automaton(name, shared), shared.value
+        total = len({o for each in owners_of.values() for o in each})
+        for batch in batches:
+            found: list[set[int]] = []
+            for text in batch.column(0).to_pylist():
+                seen, own = set(), set()
+                for _, term in machine.iter(text) if text and total else ():
+                    if term not in seen:
+                        seen.add(term)
+                        own.update(owners_of[term])
+                        if len(own) == total:
+                            break
+                found.append(own)
+            rows = pa.array([i for i, each in enumerate(found) for _ in each], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in batch.columns[1:]), pa.array([o for each in found for o in each], pa.int64())], [*kept, "owner"])
+
+    met = low.mapInArrow(run, low.select(*kept, F.lit(0).cast("long").alias("owner")).schema)
+    return met.join(owners, "owner").select(*kept, "of.*")
+
+
 def shortlist(texts: DataFrame, hints: DataFrame, concepts: DataFrame, most: int = 24) -> DataFrame:
     """(id, slug, score, rank): the concepts to compare each text with.
 

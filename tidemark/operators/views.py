@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.identity import mentions
+from tidemark.operators.identity import mentioned_owners
 from tidemark.operators.signals import LAYERS, event_time, heat, layer_weight
-from tidemark.storage import new_path
+from tidemark.storage import materialize, new_path
 
 ZONE = "Asia/Shanghai"
 VERIFIED = ("community-only", "practitioner-only", "independently-observed", "official-only", "cross-verified")  # from weak to strong
@@ -91,7 +91,9 @@ def alias_pulses(items: DataFrame, aliases: DataFrame, as_of: Column, most_sourc
     """
     age = F.unix_seconds(as_of) - F.unix_seconds(event_time())
     texts = items.select("url", F.col("source_layer").alias("layer"), age.alias("age"), event_time().alias("at"), F.concat_ws(" ", "title", "text").alias("text")).filter(F.col("age").between(0, 30 * 86400))
-    hits = mentions(texts, aliases.select("model", "name", F.lower("alias").alias("term"))).groupBy("model", "url").agg(F.first("name").alias("name"), F.first("layer").alias("layer"), F.min("age").alias("age"), F.max("at").alias("at"))
+    owners = mentioned_owners(texts, aliases.select("model", "name", F.lower("alias").alias("term")))
+    hits = owners.groupBy("model", "url").agg(F.first("name").alias("name"), F.first("layer").alias("layer"), F.min("age").alias("age"), F.max("at").alias("at"))
+    hits = materialize(hits, "hits-of-models")  # read twice
     weekly = F.col("age") <= 7 * 86400
     sums = hits.groupBy("model").agg(F.min("name").alias("name"), F.count_if(weekly).alias("week"), F.count("*").alias("month"), *[F.count_if(weekly & (F.col("layer") == x)).alias(f"week_{x}") for x in LAYERS], *[F.count_if(F.col("layer") == x).alias(f"month_{x}") for x in LAYERS])
     rank = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("at"), "url"))
