@@ -86,3 +86,17 @@ def test_owners_of_terms_are_found_once_for_a_text(spark):
         found = idn.mentioned_owners(texts, terms, most)
         assert sorted((r.id, r.model, str(r.n)) for r in found.collect()) == want and want
     assert idn.mentioned_owners(texts, terms.limit(0)).collect() == []
+
+
+def test_titles_are_compared_by_numbers_of_tokens(spark):
+    rows = [("c", i, i, f"title w{i % 4} of words x{i % 3} y{i % 2}" if i % 5 else f"other z{i % 2}", ["t", f"u{i % 2}"], None, None, True) for i in range(40)]
+    items = spark.createDataFrame(rows, "concept_slug string, place long, id long, title string, tags array<string>, independent_group string, event_key string, joins boolean")
+    stored = items.limit(0).drop("id", "joins").withColumn("signal_slug", F.lit(""))
+    classes = cl.title_classes(cl.comparable(items, stored))
+    met = cl.similar_classes(classes)
+    assert "my_tokens" not in (plan := met._jdf.queryExecution().executedPlan().toString()) and "tokens#" not in plan
+    of = {r.cls: r for r in classes.collect()}
+    share = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    score = lambda a, b: round(0.8 * share(a.tokens, b.tokens) + 0.2 * share(a.tags, b.tags), 9)
+    want = sorted((a.cls, score(a, b), b.first.id) for a in of.values() for b in of.values() if score(a, b) >= 0.5 and share(a.tokens, b.tokens) >= 0.375)
+    assert sorted((r.cls, round(r.score, 9), r.first.id) for r in met.collect()) == want and len(want) > len(of)

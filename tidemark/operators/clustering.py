@@ -24,25 +24,42 @@ def candidate_window(items: DataFrame, as_of: Column, days: int = DAYS, most: in
 BLOCK, TASK_PAIRS = 1000, 2_000_000  # members that travel together; pairs that a task writes
 
 
-def similar_classes_of(classes: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity, members_a, members_b) of classes (cls, key, tokens, members) of one key whose tokens are similar enough, ``a`` being the one with fewer members.
+def prefixes(classes: DataFrame, least: float) -> DataFrame:
+    """(columns of classes but key and tokens, ids, n, before, id) of (cls, key, tokens, ...): the tokens as numbers, rarest of their key first, and a row for each of the prefix.
 
-    An exact prefix filter: of n tokens, rarest first, two similar sets share one of the first n - ceil(least n) + 1. A pair is made at the first
-    token that both have; sizes, and what may still be shared behind it, tell apart most pairs before tokens are compared. Tokens go as numbers.
-    Exploded rows look small to Spark, so joins of them are never left to a broadcast.
+    Of n tokens, rarest first, two similar sets share one of the first n - ceil(least n) + 1. Exploded rows look small to Spark, so joins of
+    them are never left to a broadcast.
     """
-    each = classes.select("cls", "members", "key", F.explode("tokens").alias("token")).hint("merge")
+    each = classes.select("cls", "key", F.explode("tokens").alias("token")).hint("merge")
     numbers = materialize(each.groupBy("key", "token").agg(F.count("*").alias("c")).select(F.monotonically_increasing_id().alias("id"), "*"), "token-numbers")
-    order = each.join(numbers, ["key", "token"]).groupBy("cls", "members").agg(F.array_sort(F.collect_list(F.struct("c", "id"))).alias("order"))
-    sets = materialize(order.select("cls", "members", F.transform("order", lambda t: t["id"]).alias("ids")).withColumn("n", F.size("ids")), "numbered-sets")
+    order = each.join(numbers, ["key", "token"]).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("c", "id"))).alias("order"))
+    ids = order.select("cls", F.transform("order", lambda t: t["id"]).alias("ids")).withColumn("n", F.size("ids"))
+    sets = materialize(classes.drop("key", "tokens").join(ids, "cls"), "numbered-sets")
     prefix = F.slice("ids", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))
-    listed = sets.select("*", F.posexplode(prefix).alias("before", "id")).hint("merge")
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))  # both sides are one exchange
+    return sets.select("*", F.posexplode(prefix).alias("before", "id")).hint("merge")
+
+
+def meeting(least: float) -> tuple[Column, Column]:
+    """Of rows ``x`` and ``y`` of ``prefixes`` with one id: whether they may be similar and meet here first; and their share of tokens.
+
+    Sizes, and what may still be shared behind the token, tell apart most pairs before tokens are compared.
+    """
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     room = F.least(x("n") - x("before"), y("n") - y("before"))  # at most so many are shared
-    sized = (x("cls") < y("cls")) & (F.least(x("n"), y("n")) >= least * F.greatest(x("n"), y("n"))) & (F.round(room / (x("n") + y("n") - room), 6) >= least)
+    sized = (F.least(x("n"), y("n")) >= least * F.greatest(x("n"), y("n"))) & (F.round(room / (x("n") + y("n") - room), 6) >= least)
     common = F.array_intersect(x("ids"), y("ids"))
-    similarity = F.round(F.size(common) / (x("n") + y("n") - F.size(common)), 6)
-    met = listed.alias("x").join(listed.alias("y"), x("id") == y("id")).filter(sized).filter((F.get(common, F.lit(0)) == x("id")) & (similarity >= least))
+    return sized & (F.get(common, F.lit(0)) == x("id")), F.size(common) / (x("n") + y("n") - F.size(common))
+
+
+def similar_classes_of(classes: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity, members_a, members_b) of classes (cls, key, tokens, members) of one key whose tokens are similar enough, ``a`` being the one with fewer members.
+
+    An exact prefix filter: a pair is made at the first token that both have.
+    """
+    listed, (meet, share) = prefixes(classes, least), meeting(least)
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))  # both sides are one exchange
+    similarity = F.round(share, 6)
+    met = listed.alias("x").join(listed.alias("y"), x("id") == y("id")).filter((x("cls") < y("cls")) & meet & (similarity >= least))
     fewer = x("members") <= y("members")
     either = lambda c, one, other: F.when(fewer, one(c)).otherwise(other(c))
     return met.select(either("cls", x, y).alias("a"), either("cls", y, x).alias("b"), similarity.alias("similarity"), either("members", x, y).alias("members_a"), either("members", y, x).alias("members_b"))
@@ -107,27 +124,24 @@ def equal_before(rows: DataFrame) -> DataFrame:
     return met.select("at", F.least(*earlier).alias("equal"))
 
 
-def similar_classes(rows: DataFrame) -> DataFrame:
+def title_classes(rows: DataFrame) -> DataFrame:
+    """(cls, name, key, tokens, tags, version, first, asks): classes of equal titles by number, their first candidate, and whether items are among them."""
+    classes = rows.filter(F.size("tokens") > 0).groupBy("cls").agg(*[F.first(c).alias(c) for c in ("concept", "tokens", "tags", "version")], F.min(F.when(F.col("joins"), F.col("at"))).alias("first"), F.max(F.col("at.kind") == 1).alias("asks"))
+    named = classes.withColumnsRenamed({"cls": "name", "concept": "key"})
+    return materialize(named.select(F.monotonically_increasing_id().alias("cls"), "*"), "title-classes")
+
+
+def similar_classes(classes: DataFrame) -> DataFrame:
     """(cls, score, first): for each class of equal titles, the classes that its items may join, with their first candidate.
 
-    An exact prefix filter as in ``similar_pairs``, over classes instead of rows; a pair is made at the first token that both prefixes have.
+    An exact prefix filter as in ``similar_pairs``; a pair is made at the first token that both have.
     """
-    classes = rows.filter(F.size("tokens") > 0).groupBy("cls").agg(*[F.first(c).alias(c) for c in ("concept", "tokens", "tags", "version")], F.min(F.when(F.col("joins"), F.col("at"))).alias("first"), F.max(F.col("at.kind") == 1).alias("asks"))
-    classes = materialize(classes, "title-classes")
-    counts = classes.select("concept", F.explode("tokens").alias("token")).groupBy("concept", "token").agg(F.count("*").alias("c"))
-    order = classes.select("cls", "concept", F.explode("tokens").alias("token")).join(counts, ["concept", "token"]).groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("sorted"))
-    n = F.size("tokens")
-    prefix = F.transform(F.slice("sorted", F.lit(1), (n - F.ceil(n * LEAST_TITLE) + 1).cast("int")), lambda t: t["token"])
-    listed = materialize(classes.join(order, "cls").withColumn("prefix", prefix).drop("sorted").withColumn("token", F.explode("prefix")), "title-prefixes")
-    mine = ("cls", "tokens", "tags", "version", "prefix")
-    left = listed.filter("asks").select("concept", "token", *[F.col(c).alias(f"my_{c}") for c in mine])
-    right = listed.filter("first IS NOT NULL").select("concept", "token", *mine, "first")
-    sized = F.least(F.size("my_tokens"), F.size("tokens")) >= LEAST_TITLE * F.greatest(F.size("my_tokens"), F.size("tokens"))
-    once = F.get(F.array_intersect("my_prefix", "prefix"), F.lit(0)) == F.col("token")
-    apart = F.coalesce(F.col("my_version") != F.col("version"), F.lit(False))
-    score = TITLE_WEIGHT * tx.jaccard(F.col("my_tokens"), F.col("tokens")) + TAG_WEIGHT * tx.jaccard(F.col("my_tags"), F.col("tags"))
-    met = left.join(right, ["concept", "token"]).filter(sized & once & ~apart)
-    return met.select(F.col("my_cls").alias("cls"), score.alias("score"), "first").filter(F.col("score") >= LEAST_SCORE)
+    listed, (meet, share) = prefixes(classes.drop("name"), LEAST_TITLE), meeting(LEAST_TITLE)
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    apart = F.coalesce(x("version") != y("version"), F.lit(False))
+    score = TITLE_WEIGHT * share + TAG_WEIGHT * tx.jaccard(x("tags"), y("tags"))
+    met = listed.filter("asks").alias("x").join(listed.filter("first IS NOT NULL").alias("y"), x("id") == y("id")).filter(meet & ~apart)
+    return met.select(x("cls").alias("cls"), score.alias("score"), y("first").alias("first")).filter(F.col("score") >= LEAST_SCORE)
 
 
 def best_before(rows: DataFrame) -> DataFrame:
@@ -137,8 +151,10 @@ def best_before(rows: DataFrame) -> DataFrame:
     place is looked up in, so a class with many items and many neighbours makes no pairs of both.
     """
     past = Window.partitionBy("cls").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    changes = similar_classes(rows).withColumn("best", F.max("score").over(past)).filter(F.col("best").isNull() | (F.col("score") > F.col("best")))
-    steps = materialize(changes.select("cls", "first", F.lead("first").over(Window.partitionBy("cls").orderBy("first")).alias("until")), "title-steps")
+    classes = title_classes(rows)
+    changes = similar_classes(classes).withColumn("best", F.max("score").over(past)).filter(F.col("best").isNull() | (F.col("score") > F.col("best")))
+    until = changes.select("cls", "first", F.lead("first").over(Window.partitionBy("cls").orderBy("first")).alias("until"))
+    steps = materialize(until.join(classes.select("cls", "name"), "cls").select(F.col("name").alias("cls"), "first", "until"), "title-steps")
     own = rows.filter("at.kind = 1").select("at", "cls")
     inside = (own["cls"] == steps["cls"]) & (steps["first"] < own["at"]) & (steps["until"].isNull() | (own["at"] <= steps["until"]))
     return own.join(steps, inside).select("at", F.col("first").alias("similar"))
